@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudfork.llm import neighbors
+from cloudfork.llm import clusters, diverse, neighbors, percentiles
 from cloudfork.session import read_table as t
 
 
@@ -20,5 +20,47 @@ def p1_knn(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.nearest_vectors(cells, 10, queries=cells.filter(F.col("cell_id") % 20 == 0), factor=neighbors.FACTOR)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_knn)}
+def p2_subset(spark: SparkSession, d: str) -> DataFrame:
+    """One percent of the complete cells, chosen for variety."""
+    return diverse.varied_subset(t(spark, d, "all_struct"), fraction=0.01)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the transitively linked clusters (links of at most 0.25) of at least 6 cells."""
+    members = clusters.similarity_clusters(t(spark, d, "all_struct"), 0.25)
+    large = members.groupBy("cluster_id").count().filter("count >= 6").select("cluster_id")
+    return members.join(large, "cluster_id", "left_semi").select("cluster_id", "cell_id")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Average-linkage clusters in which members without a link count as 0.5 apart: size, spread and typical members."""
+    cells = t(spark, d, "all_struct")
+    return clusters.cluster_profiles(clusters.similarity_clusters(cells, 0.25, missing=0.5), cells)
+
+
+def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
+    cells = t(spark, d, "all_struct").filter("cell_id is not null and size(all_data) = 12 and all_labels is not null")
+    once = cells.select("cell_id", F.lower(F.trim("all_labels")).alias("all_labels"), "acq_day", "all_data").dropDuplicates(["cell_id"])
+    return percentiles.quantile_sketches(once, "all_data", ["all_labels", "acq_day"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Label, day and position whose median or 95th percentile is off the reference by more than the tolerance."""
+    answers = percentiles.sketch_quantiles(_day_sketches(spark, d).filter("n >= 40"), [50, 95])
+    reference = t(spark, d, "marker_reference").withColumn("all_labels", F.lower(F.trim("all_labels")))
+    return (
+        answers.withColumnRenamed("position", "marker_no")
+        .join(reference, ["all_labels", "marker_no", "q_pct"])
+        .filter(F.abs(F.col("value") - F.col("ref_value")) > F.col("tolerance"))
+        .select("all_labels", F.date_format("acq_day", "yyyy-MM-dd").alias("acq_day"), "marker_no", "q_pct")
+    )
+
+
+def p4_label_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The days' sketches combined to labels: 1, 5, 25, 50, 75, 95 and 99 % of every position."""
+    labels = percentiles.merge_sketches(_day_sketches(spark, d), ["all_labels"])
+    return percentiles.sketch_quantiles(labels, [1, 5, 25, 50, 75, 95, 99]).withColumnRenamed("position", "marker_no")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_knn, p2_subset, p3_found, p3_clusters, p4_found, p4_label_percentiles)}
 ORACLE: dict[str, str] = {}
