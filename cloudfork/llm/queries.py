@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudfork.llm import clusters, diverse, neighbors, percentiles
+from cloudfork.llm import clusters, diverse, mixing, neighbors, percentiles, reading, tokens
 from cloudfork.session import read_table as t
 
 
@@ -62,5 +62,46 @@ def p4_label_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.sketch_quantiles(labels, [1, 5, 25, 50, 75, 95, 99]).withColumnRenamed("position", "marker_no")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_knn, p2_subset, p3_found, p3_clusters, p4_found, p4_label_percentiles)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(t(spark, d, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document the number of ids, and whether decoding them gives its text (empty for null)."""
+    documents = t(spark, d, "documents").filter("doc_id is not null")
+    encoded = tokens.encode_corpus(documents, keep=("text",))
+    decoded = tokens.decode_corpus(encoded.select("doc_id", "ids")).withColumnRenamed("text", "decoded")
+    counts = encoded.select("doc_id", F.size("ids").alias("n_ids"), F.coalesce("text", F.lit("")).alias("text"))
+    return counts.join(decoded, "doc_id").select("doc_id", "n_ids", (F.col("text") == F.col("decoded")).alias("exact"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(t(spark, d, "documents"), t(spark, d, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(t(spark, d, "documents"), t(spark, d, "mix_targets"))
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(t(spark, d, "documents"))
+
+
+def p8_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by reading band: documents, words and mean level; null where there is too little prose."""
+    bands = reading.reading_bands(t(spark, d, "documents"), t(spark, d, "reading_labels"))
+    return bands.groupBy("band").agg(F.count("*").alias("n_docs"), F.sum("words").alias("words"), F.avg("level").alias("mean_level"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the most demanding band, with at least 40 words of prose."""
+    bands = reading.reading_bands(t(spark, d, "documents"), t(spark, d, "reading_labels"))
+    return bands.filter("band = 5").select("doc_id")
+
+
+_ALL = (
+    p1_found, p1_knn, p2_subset, p3_found, p3_clusters, p4_found, p4_label_percentiles,
+    p6_ids, p6_roundtrip, p7_mix, p7_report, p8_found, p8_levels, p8_bands,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
