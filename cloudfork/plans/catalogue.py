@@ -1,4 +1,9 @@
-"""The registered queries for the core operators and their SQL."""
+"""All registered queries of the core and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from cloudfork.plans import drift
+
+_MODULES = (drift,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
