@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cloudfork.llm.neighbors import POINT, QUERY
 from cloudfork.llm.vectors import DIM, SHARD_ROWS, complete_cells, copies_rank, fit_router, lists, matrix
 from cloudfork.llm.vptree import Router, Tree
-from cloudfork.session import cut
+from cloudfork.session import cut, drop_cut
 
 COPY = 4  # a row that only says: this cell has the vector of that one
 _ROUTED = "shard int, role int, id long, of long, vec array<double>"
@@ -133,7 +133,7 @@ def similarity_links(
     return routed.groupBy("shard").applyInArrow(_links(dim, k, threshold), _LINKS)
 
 
-def reciprocal_linkage(links: DataFrame, threshold: float, missing: float | None = None, max_rounds: int = 10_000) -> DataFrame:
+def reciprocal_linkage(links: DataFrame, threshold: float, missing: float | None = None, max_rounds: int = 100_000) -> DataFrame:
     """(node, cluster_id): average linkage on a sparse graph (a, b, distance), by reciprocal best pairs.
 
     The distance of two clusters is the mean over their links; with ``missing``, pairs of
@@ -141,44 +141,47 @@ def reciprocal_linkage(links: DataFrame, threshold: float, missing: float | None
     clusters that are each other's nearest (ties by the smaller ids) within the threshold.
     cluster_id is the smallest node of a cluster; nodes without a link do not appear.
     """
-    links = links.filter("a <> b and distance <= %r" % float(threshold))
-    edges = cut(
-        links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
-        .groupBy("a", "b").agg(F.min("distance").alias("w"))
-        .withColumns({"n": F.lit(1).cast("long"), "sa": F.lit(1).cast("long"), "sb": F.lit(1).cast("long")})
+    one = F.lit(1).cast("long")
+    start = cut(
+        links.filter((F.col("a") != F.col("b")) & (F.col("distance") <= threshold))
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .agg(F.min("distance").alias("w"))
+        .withColumns({"n": one, "sa": one, "sb": one})
     )
-    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("cluster_id")))
-    mean = F.col("w") / F.col("n") if missing is None else (F.col("w") + missing * (F.col("sa") * F.col("sb") - F.col("n"))) / (F.col("sa") * F.col("sb"))
+    pairs = F.col("sa") * F.col("sb")
+    mean = F.col("w") / F.col("n") if missing is None else (F.col("w") + missing * (pairs - F.col("n"))) / pairs
+    edges, rounds = start, []
     for _ in range(max_rounds):
         live = edges.withColumn("d", mean).filter(F.col("d") <= threshold)
-        half = live.select(F.explode(F.array("a", "b")).alias("c"), F.struct("d", "a", "b").alias("pair"))
+        half = live.select(F.explode(F.array("a", "b")).alias("c"), F.struct("d", "a", "b", "sa", "sb").alias("pair"))
         best = half.groupBy("c").agg(F.min("pair").alias("pair"))
-        merges = cut(best.groupBy("pair.a", "pair.b").count().filter("count = 2").select(F.col("b").alias("old"), F.col("a").alias("new")))
+        merges = cut(best.groupBy("pair").count().filter("count = 2").select(F.col("pair.b").alias("old"), F.col("pair.a").alias("new"), (F.col("pair.sa") + F.col("pair.sb")).alias("size")))
         if merges.isEmpty():
-            return labels.select("node", "cluster_id")
-        old_labels = labels
-        labels = cut(
-            old_labels.join(merges, F.col("cluster_id") == F.col("old"), "left")
-            .select("node", F.coalesce("new", "cluster_id").alias("cluster_id"))
+            break
+        rounds.append(merges)
+        # both clusters of a pair get the smaller id and the common size
+        into = merges.select(F.inline(F.array(F.struct(F.col("old").alias("was"), "new", "size"), F.struct(F.col("new").alias("was"), "new", "size"))))
+        moved = edges
+        for side, size in (("a", "sa"), ("b", "sb")):
+            moved = moved.join(into, F.col(side) == F.col("was"), "left").withColumns({side: F.coalesce("new", side), size: F.coalesce("size", size)}).drop("was", "new", "size")
+        flip = F.col("a") > F.col("b")
+        ordered = moved.filter(F.col("a") != F.col("b")).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "n",
+            F.when(flip, F.col("sb")).otherwise(F.col("sa")).alias("sa"), F.when(flip, F.col("sa")).otherwise(F.col("sb")).alias("sb"),
         )
-        into = merges.select("old", "new")
-        moved = (
-            edges.join(into, F.col("a") == F.col("old"), "left").select(F.coalesce("new", "a").alias("a"), "b", "w", "n")
-            .join(into, F.col("b") == F.col("old"), "left").select("a", F.coalesce("new", "b").alias("b"), "w", "n")
-            .filter("a <> b")
-            .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-        )
-        if missing is not None:
-            sizes = labels.groupBy("cluster_id").agg(F.count("*").alias("size"))
-            moved = (
-                moved.join(sizes.withColumnsRenamed({"cluster_id": "a", "size": "sa"}), "a")
-                .join(sizes.withColumnsRenamed({"cluster_id": "b", "size": "sb"}), "b")
-            )
-        else:
-            moved = moved.withColumns({"sa": F.lit(1).cast("long"), "sb": F.lit(1).cast("long")})
-        edges = cut(moved)
-    raise RuntimeError(f"linkage did not end in {max_rounds} rounds")
+        old = edges
+        edges = cut(ordered.groupBy("a", "b", "sa", "sb").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).select("a", "b", "w", "n", "sa", "sb"))
+        if old is not start:
+            drop_cut(old)
+    else:
+        raise RuntimeError(f"linkage did not end in {max_rounds} rounds")
+    labels = start.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster_id", F.col("node"))
+    for i, merges in enumerate(rounds, start=1):
+        step = merges.select("old", "new")
+        labels = labels.join(step, F.col("cluster_id") == F.col("old"), "left").select("node", F.coalesce("new", "cluster_id").alias("cluster_id"))
+        if i % 6 == 0:
+            labels = cut(labels)
+    return labels
 
 
 def similarity_clusters(cells: DataFrame, threshold: float, *, missing: float | None = None, **graph) -> DataFrame:
