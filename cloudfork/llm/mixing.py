@@ -73,9 +73,11 @@ def permute(i: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 24) ->
     return i.astype(np.int64)
 
 
-@F.pandas_udf("long")
-def _permuted(i: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series(permute(i.to_numpy(), n.to_numpy(), key.to_numpy()))
+def _permuted(i: str, n: str, key: Column) -> Column:
+    def run(i: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series(permute(i.to_numpy(), n.to_numpy(), key.to_numpy()))
+
+    return F.pandas_udf(run, "long")(i, n, key)
 
 
 def shard_counts(blocks: dict[str, int], slots: int, seed: int) -> pd.DataFrame:
