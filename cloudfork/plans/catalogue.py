@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cloudfork.plans import drift
+from cloudfork.plans import basics, drift
 
-_MODULES = (drift,)
+_MODULES = (basics, drift)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
