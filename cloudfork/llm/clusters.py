@@ -128,7 +128,7 @@ def similarity_links(
     """
     rows = cells.count()
     points = complete_cells(cells, id_col, vec_col, dim)
-    router = fit_router(points, rows, dim, shard_rows)
+    router = fit_router(points, rows, dim, shard_rows, reach=threshold)
     routed = points.mapInArrow(_route(router, dim, threshold), _ROUTED)
     return routed.groupBy("shard").applyInArrow(_links(dim, k, threshold), _LINKS)
 

@@ -127,7 +127,7 @@ def nearest_vectors(
     """
     rows = cells.count()
     points = complete_cells(cells, id_col, vec_col, dim)
-    router = fit_router(points, rows, dim, shard_rows)
+    router = fit_router(points, rows, dim, shard_rows, reach=max_distance)
     schema = "query_id long, neighbor_id long, distance double"
     if queries is None and np.isfinite(max_distance):
         routed = points.mapInArrow(_route_points(router, dim, k, max_distance, True), _ROUTED)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cloudfork.llm.vptree import Router
 
 DIM = 12
-SHARD_ROWS = 40_000  # rows that a shard should hold
+SHARD_ROWS = 250_000  # rows that a shard should hold; some 100 MB in a task
 SAMPLE_ROWS = 131_072  # bound of the sample from which the router is fitted
 
 
@@ -41,7 +41,9 @@ def lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(x.ravel()))
 
 
-def fit_router(points: DataFrame, rows: int, dim: int, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> Router:
+def fit_router(
+    points: DataFrame, rows: int, dim: int, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS, reach: float = math.inf
+) -> Router:
     """A router with about ``rows / shard_rows`` shards.
 
     ``rows`` may be an upper estimate. The sample is chosen by hash of the id, has at
@@ -55,7 +57,7 @@ def fit_router(points: DataFrame, rows: int, dim: int, shard_rows: int = SHARD_R
     wanted = min(sample_rows, max(2048, 64 * 2**depth))
     buckets = max(1, rows // wanted)
     sample = points.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) == 0).select("vec").limit(sample_rows).toArrow()
-    return Router.fit(matrix(sample.column("vec"), dim), depth)
+    return Router.fit(matrix(sample.column("vec"), dim), depth, reach)
 
 
 def copies_rank(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

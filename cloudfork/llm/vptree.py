@@ -26,6 +26,15 @@ def widest(points: np.ndarray, rng: np.random.Generator, tries: int = 6) -> np.n
     return candidates[int(np.argmax([distances(sample, c).std() for c in candidates]))]
 
 
+def outlook(points: np.ndarray, rng: np.random.Generator, tries: int = 8) -> np.ndarray:
+    """Candidate vantage points: some of the points, and places far out along the main directions of the cloud."""
+    some = points[rng.integers(0, len(points), min(len(points), 512))]
+    mean = some.mean(axis=0)
+    _, size, axes = np.linalg.svd(some - mean, full_matrices=False)
+    far = [mean + side * times * size[i] / np.sqrt(len(some)) * axes[i] for i in range(min(3, len(axes))) for times in (2, 5, 20) for side in (-1, 1)]
+    return np.array([*points[rng.integers(0, len(points), tries)], *far])
+
+
 @dataclass
 class Router:
     """A complete vantage-point tree over a bounded sample; its leaves are the shards."""
@@ -35,7 +44,9 @@ class Router:
     radii: np.ndarray
 
     @classmethod
-    def fit(cls, sample: np.ndarray, depth: int, seed: int = 7) -> Router:
+    def fit(cls, sample: np.ndarray, depth: int, reach: float = np.inf, seed: int = 7) -> Router:
+        """Halves the sample ``depth`` times, each time by the vantage point, of several, around
+        whose median sphere the fewest vectors lie within ``reach`` (if infinite, a tenth of the spread)."""
         dim = sample.shape[1] if sample.ndim == 2 else 0
         inner = 2**depth - 1
         centres, radii = np.zeros((inner, dim)), np.zeros(inner)
@@ -44,10 +55,14 @@ class Router:
         for node in range(inner):
             rows = parts.pop(node)
             if len(rows):
-                centres[node] = widest(sample[rows], rng)
-                d = distances(sample[rows], centres[node])
-                radii[node] = np.median(d)
-                inside = d <= radii[node]
+                least = np.inf
+                for c in outlook(sample[rows], rng):
+                    d = distances(sample[rows], c)
+                    middle = np.median(d)
+                    near = np.mean(np.abs(d - middle) <= (reach if np.isfinite(reach) else 0.1 * d.std()))
+                    if near < least:
+                        least, centres[node], radii[node] = near, c, middle
+                inside = distances(sample[rows], centres[node]) <= radii[node]
                 parts[2 * node + 1], parts[2 * node + 2] = rows[inside], rows[~inside]
             else:
                 parts[2 * node + 1] = parts[2 * node + 2] = rows
@@ -138,10 +153,11 @@ class Tree:
             side = np.maximum(bounds[0] - d, d - bounds[1]) > np.maximum(bounds[2] - d, d - bounds[3])
             todo += [(right, rows[side]), (left, rows[~side])]
 
-    def kth(self, queries: np.ndarray, k: int, reach: np.ndarray, factor: float = 1.0) -> np.ndarray:
-        """For each query the distance within which its ``k`` nearest points lie, at most ``reach``."""
+    def kth(self, queries: np.ndarray, k: int, reach: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the distance within which its ``k`` nearest points lie, at most ``reach``,
+        and those points, -1 where there are fewer; with a factor above 1, of the leaves that it looks at."""
         squares = np.einsum("ij,ij->i", queries, queries)
-        best = np.full((len(queries), k), np.inf)
+        best, who = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1)
         reach = reach.astype(float).copy()
         first = np.full(len(queries), -1)
 
@@ -153,7 +169,10 @@ class Tree:
                 if hit.any():
                     some = some[hit]
                     both = np.concatenate([best[some], d[hit]], axis=1)
-                    best[some] = np.partition(both, k - 1, axis=1)[:, :k]
+                    keep = np.argpartition(both, k - 1, axis=1)[:, :k]
+                    best[some] = np.take_along_axis(both, keep, axis=1)
+                    old = np.take_along_axis(who[some], np.minimum(keep, k - 1), axis=1)
+                    who[some] = np.where(keep < k, old, self.order[np.minimum(lo + np.maximum(keep - k, 0), hi - 1)])
                     reach[some] = np.minimum(reach[some], np.sqrt(np.maximum(best[some].max(axis=1), 0)))
 
         for lo, hi, rows in self._home(queries):
@@ -161,7 +180,7 @@ class Tree:
             look(lo, hi, rows)
         for lo, hi, rows in self._walk(queries, reach, factor):
             look(lo, hi, rows[first[rows] != lo])
-        return reach
+        return reach, who
 
     def within(self, queries: np.ndarray, reach: np.ndarray, factor: float = 1.0, bound: np.ndarray | None = None):
         """Blocks (query row, point row, distance) of the points at most ``reach`` away.
@@ -186,8 +205,16 @@ class Tree:
 
         A point with the query's own id is no neighbour of it.
         """
-        bound = self.kth(queries, k + 1, reach, factor)
-        a, b, d = (np.concatenate(x) for x in zip(*self.within(queries, reach, factor, bound), (np.empty(0, int), np.empty(0, int), np.empty(0))))
+        bound, who = self.kth(queries, k + 1, reach, factor)
+        if factor > 1:
+            a, b = np.nonzero(who >= 0)
+            b = who[a, b]
+            d = distances(queries[a], self.points[b])
+            near = d <= reach[a]
+            a, b, d = a[near], b[near], d[near]
+        else:
+            blocks = [*self.within(queries, reach, 1.0, bound), (np.empty(0, int), np.empty(0, int), np.empty(0))]
+            a, b, d = (np.concatenate(x) for x in zip(*blocks))
         other = query_ids[a] != point_ids[b]
         a, b, d = a[other], b[other], d[other]
         order = np.lexsort((point_ids[b], d, a))
