@@ -112,7 +112,7 @@ def _references(c: DataFrame) -> DataFrame:
     return exact_sample(c, "vec_id", REFERENCES, portable_uniform(F.col("vec_id")))
 
 
-@query(f"WITH {_NODES}, {_REF} SELECT vec_id, round(sum(exp(-(({_D['L1']}) / {SIGMA}) ** 2 / 2)) - max(CASE WHEN ref_id = vec_id THEN 1 ELSE 0 END), 6) + 0.0 AS density FROM cells, refs GROUP BY vec_id")
+@query(f"WITH {_NODES}, {_REF} SELECT vec_id, round(sum(exp(-0.5 * pow(({_D['L1']}) / {SIGMA}, 2))) - max(CASE WHEN ref_id = vec_id THEN 1 ELSE 0 END), 6) + 0.0 AS density FROM cells, refs GROUP BY vec_id")
 def kde_density(spark, d):
     """Gaussian kernel density against a sample of at most 5000 reference rows (the operator's own parameter)."""
     c = cells(spark, d)

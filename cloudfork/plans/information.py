@@ -123,8 +123,8 @@ def mi_matrix(spark, d):
     return info.pairwise_information(binned_markers(spark, d), MARKERS).withColumn("mi", F.round("mi", 6) + 0.0)
 
 
-@query(f"""WITH {_BINNED}, pairs AS ({_PAIRS}), both AS (SELECT m1 AS marker, mi FROM pairs UNION ALL SELECT m2, mi FROM pairs)
-SELECT marker, marker IN ('l_quantity', 'l_extendedprice') AS used, round(greatest(0, max(mi)), 6) + 0.0 AS max_mi, round(sum(mi) / 4, 6) + 0.0 AS mean_mi FROM both GROUP BY marker""")
+@query(f"""WITH {_BINNED}, pairs AS ({_PAIRS}), sided AS (SELECT m1 AS marker, mi FROM pairs UNION ALL SELECT m2, mi FROM pairs)
+SELECT marker, marker IN ('l_quantity', 'l_extendedprice') AS used, round(greatest(0, max(mi)), 6) + 0.0 AS max_mi, round(sum(mi) / 4, 6) + 0.0 AS mean_mi FROM sided GROUP BY marker""")
 def mi_summary(spark, d):
     s = info.information_summary(info.pairwise_information(binned_markers(spark, d), MARKERS), MARKERS, ["l_quantity", "l_extendedprice"])
     return s.select("marker", "used", (F.round("max_mi", 6) + 0.0).alias("max_mi"), (F.round("mean_mi", 6) + 0.0).alias("mean_mi"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudfork.config import Options
+from cloudfork.functions.quantiles import quantile_value
 from cloudfork.functions.scalar import parent_stem, stem_depth
+from cloudfork.plans.branch import KEY, analyse
+from cloudfork.session import cut
 
 
 def branch_tree(stems: DataFrame) -> DataFrame:
@@ -30,3 +34,95 @@ def floor_keys(requests: DataFrame, grid: DataFrame, keys: dict[str, str]) -> Da
 
 def _not_above(column: str):
     return lambda x: x <= F.col(column)
+
+
+def score_limit(null_scores: DataFrame, n_ref: int, n_points: int, n_dims: int, p: float) -> float:
+    """The ``p`` quantile of the null scores of the grid point next below; infinite up to 1000 points.
+
+    null_scores: (n_ref_cells, n_points, n_dims, score), one row a score.
+    """
+    if n_points <= 1000:
+        return float("inf")
+    spark = null_scores.sparkSession
+    grid = null_scores.select("n_ref_cells", "n_points", "n_dims").distinct()
+    asked = spark.createDataFrame([(n_ref, n_points, n_dims)], "a long, b long, c long")
+    point = floor_keys(asked, grid, {"a": "n_ref_cells", "b": "n_points", "c": "n_dims"}).drop("a", "b", "c")
+    value = quantile_value(null_scores.join(point, ["n_ref_cells", "n_points", "n_dims"]), "score", p)
+    return float("inf") if value is None else value
+
+
+def analyse_recursively(cells: DataFrame, options: Options, null_scores: DataFrame, dim: int, max_depth: int = 6) -> DataFrame:
+    """(stem, parent_stem, depth, run_flag, cell_id, top_node, at_branch_point): every level's rows under their branch stems.
+
+    A level splits while its best score exceeds the null quantile: each branch goes on with its own
+    rows and those of the branch point, without taking out outliers again. Branches of fewer than
+    min_branch_rows rows, or too few for the nodes needed, are listed with run_flag false. The
+    work queue holds branches, the rows stay in tables.
+    """
+    queue, levels = [("branch", cells, 0, options)], []
+    top_nodes: DataFrame | None = None
+    while queue:
+        stem, rows, depth, opts = queue.pop(0)
+        run = analyse(rows, opts)
+        n = run.cells.count()
+        if top_nodes is None:
+            top_nodes = cut(run.cells.select(KEY, F.col("node_id").alias("top_node")))
+        limit = score_limit(null_scores, opts.nodes_for(n), n, dim, opts.p_cutoff)
+        best = run.scores.agg(F.max("score")).first()[0] or 0.0
+        if best <= limit or depth >= max_depth:
+            continue
+        placed = run.cells.join(run.branches, "node_id")
+        names = [r[0] for r in run.branches.filter("branch > 0").select("branch").distinct().orderBy("branch").collect()]
+        if len(names) < 2:
+            continue
+        for b in names:
+            part = cut(placed.filter(F.col("branch").isin(0, b)))
+            n_part, child = part.count(), f"{stem}_{b}"
+            big = n_part >= opts.min_branch_rows and n_part // 100 * 10 >= opts.min_nodes
+            levels.append(part.select(F.lit(child).alias("stem"), F.lit(stem).alias("parent_stem"), F.lit(depth + 1).alias("depth"), F.lit(big).alias("run_flag"), KEY, (F.col("branch") == 0).alias("at_branch_point")))
+            if big:
+                queue.append((child, part.select(*rows.columns), depth + 1, opts.with_(outlier=0.0)))
+    if not levels:
+        empty = "stem string, parent_stem string, depth int, run_flag boolean, cell_id long, at_branch_point boolean, top_node long"
+        return cells.sparkSession.createDataFrame([], empty)
+    every = levels[0]
+    for part in levels[1:]:
+        every = every.unionByName(part)
+    return every.join(top_nodes, KEY, "left")
+
+
+def deepest_labels(levels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, stem): the deepest branch that wins the vote of a top-level node's rows; 'branch' where there is none.
+
+    At each depth the most frequent stem wins, ties by the smaller stem; rows of branch points do not vote.
+    """
+    votes = levels.filter("not at_branch_point and top_node <> 0").groupBy("depth", "top_node", "stem").count()
+    won = votes.groupBy("depth", "top_node").agg(F.min(F.struct((-F.col("count")).alias("c"), "stem")).alias("w"))
+    deep = won.groupBy("top_node").agg(F.max(F.struct("depth", "w.stem")).alias("d"))
+    return nodes.select("node_id").join(deep, F.col("node_id") == F.col("top_node"), "left").select("node_id", F.coalesce("d.stem", F.lit("branch")).alias("stem"))
+
+
+def branch_points(levels: DataFrame) -> DataFrame:
+    """(parent_stem, node_id): the top-level node that most of a split's branch-point rows belong to, ties by node."""
+    votes = levels.filter("at_branch_point and top_node <> 0").groupBy("parent_stem", "top_node").agg(F.countDistinct("cell_id").alias("n"))
+    return votes.groupBy("parent_stem").agg(F.min(F.struct((-F.col("n")).alias("c"), "top_node")).alias("w")).select("parent_stem", F.col("w.top_node").alias("node_id"))
+
+
+def central_node(labels: DataFrame, layout: DataFrame) -> DataFrame:
+    """(stem, node_id): the node nearest to the centre of a stem's nodes on the layout, ties by node."""
+    placed = labels.join(layout, "node_id")
+    centre = placed.groupBy("stem").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    away = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
+    best = F.min(F.struct(away.alias("d"), "node_id")).alias("b")
+    return placed.join(centre, "stem").groupBy("stem").agg(best).select("stem", "b.node_id")
+
+
+def null_table(spark: SparkSession, n_ref: int, n_points: int, n_dims: int, options: Options, runs: int = 10) -> DataFrame:
+    """(n_ref_cells, n_points, n_dims, score): the best scores of clouds without branches (Gaussian), for ``score_limit``."""
+    out = []
+    for r in range(runs):
+        noise = F.array(*[F.randn(seed=options.seed + 1000 * r + i) for i in range(n_dims)])
+        cloud = cut(spark.range(n_points).select(F.col("id").alias(KEY), F.lit("null").alias("label"), noise.alias("features")))
+        run = analyse(cloud, options.with_(n_ref_cells=n_ref, seed=options.seed + r))
+        out.append((n_ref, n_points, n_dims, run.scores.agg(F.max("score")).first()[0]))
+    return spark.createDataFrame(out, "n_ref_cells long, n_points long, n_dims long, score double")
