@@ -213,8 +213,15 @@ class Tree:
             near = d <= reach[a]
             a, b, d = a[near], b[near], d[near]
         else:
-            blocks = [*self.within(queries, reach, 1.0, bound), (np.empty(0, int), np.empty(0, int), np.empty(0))]
-            a, b, d = (np.concatenate(x) for x in zip(*blocks))
+            # a query with at most k points in reach has them all; the others collect again, for the ties at the last place
+            some = np.flatnonzero(bound >= reach)
+            a, b = np.nonzero(who[some] >= 0)
+            a, b = some[a], who[some[a], b]
+            d = distances(queries[a], self.points[b])
+            near = d <= reach[a]
+            full = np.flatnonzero(bound < reach)
+            blocks = [(full[p], q, r) for p, q, r in self.within(queries[full], reach[full], 1.0, bound[full])] if len(full) else []
+            a, b, d = (np.concatenate(x) for x in zip((a[near], b[near], d[near]), *blocks))
         other = query_ids[a] != point_ids[b]
         a, b, d = a[other], b[other], d[other]
         order = np.lexsort((point_ids[b], d, a))
