@@ -34,15 +34,15 @@ def shares(df: DataFrame, row: str, column: str) -> DataFrame:
 def majority(df: DataFrame, group: str, label: str) -> DataFrame:
     """(group, label, count): the most frequent label of each group, ties by the smaller label."""
     counts = df.groupBy(group, label).count()
-    best = F.min(F.struct((-F.col("count")).alias("c"), label))
-    return counts.groupBy(group).agg(best.alias("b")).select(group, F.col(f"b.{label}").alias(label), (-F.col("b.c")).alias("count"))
+    best = F.min(F.struct((-F.col("count")).alias("_less"), F.col(label).alias("_label")))
+    return counts.groupBy(group).agg(best.alias("_b")).select(group, F.col("_b._label").alias(label), (-F.col("_b._less")).alias("count"))
 
 
 def largest_share(df: DataFrame, group: str, label: str) -> DataFrame:
     """(group, label, share): the label of which the group holds the largest part, ties by the smaller label."""
     part = shares(df, group, label)
-    best = F.min(F.struct((-F.col("column_share")).alias("s"), label))
-    return part.groupBy(group).agg(best.alias("b")).select(group, F.col(f"b.{label}").alias(label), (-F.col("b.s")).alias("share"))
+    best = F.min(F.struct((-F.col("column_share")).alias("_less"), F.col(label).alias("_label")))
+    return part.groupBy(group).agg(best.alias("_b")).select(group, F.col("_b._label").alias(label), (-F.col("_b._less")).alias("share"))
 
 
 def mean_order(df: DataFrame, group: str, value: str) -> DataFrame:

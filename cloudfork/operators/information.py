@@ -20,7 +20,7 @@ def _list(x: Vars | None) -> list[str]:
 
 
 def joint_counts(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
-    """(columns..., c, w): rows and total weight of each joint state; without weight, w = c."""
+    """(columns..., _c, _w): rows and total weight of each joint state; without weight the two are equal."""
     kinds = dict(df.dtypes)
     missing = [c for c in columns if c not in kinds]
     if missing:
@@ -28,27 +28,27 @@ def joint_counts(df: DataFrame, columns: list[str], weight: str | None = None) -
     states = [F.floor(c).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns]
     total = F.sum("_w") if weight else F.count("*")
     rows = df.select(*states, *([F.col(weight).cast("double").alias("_w")] if weight else []))
-    return rows.groupBy(*columns).agg(F.count("*").alias("c"), total.cast("double").alias("w"))
+    return rows.groupBy(*columns).agg(F.count("*").alias("_c"), total.cast("double").alias("_w"))
 
 
 def _terms(df: DataFrame, sets: dict[str, list[str]], weight: str | None, power: float | None = None) -> DataFrame:
     """One row: n, sw, and for each named set its T (or, with ``power``, the sum of count ** power)."""
     columns = sorted({c for s in sets.values() for c in s})
     counts = joint_counts(df, columns, weight)
-    term = F.pow("c", F.lit(power)) if power is not None else F.col("w") * F.log2("c")
-    out = counts.agg(F.sum("c").alias("n"), F.sum("w").alias("sw"))
+    term = F.pow("_c", F.lit(power)) if power is not None else F.col("_w") * F.log2("_c")
+    out = counts.agg(F.sum("_c").alias("n"), F.sum("_w").alias("sw"))
     named = {}
     for name, s in sets.items():
         named.setdefault(tuple(sorted(s)), []).append(name)
     grouped = [(list(s), names) for s, names in named.items() if s]
     if grouped:
         tagged = counts.groupingSets([[F.col(c) for c in s] for s, _ in grouped], *columns).agg(
-            F.sum("c").alias("c"), F.sum("w").alias("w"), F.grouping_id().alias("gid")
+            F.sum("_c").alias("_c"), F.sum("_w").alias("_w"), F.grouping_id().alias("_gid")
         )
         ids = {}
         for s, names in grouped:  # a bit is 1 for each column that the set leaves out
             ids[sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s)] = names
-        sums = tagged.agg(*[F.sum(F.when(F.col("gid") == gid, term)).alias(name) for gid, names in ids.items() for name in names])
+        sums = tagged.agg(*[F.sum(F.when(F.col("_gid") == gid, term)).alias(name) for gid, names in ids.items() for name in names])
         out = out.crossJoin(sums)  # one row each
     for name in named.get((), []):
         out = out.withColumn(name, F.pow("n", F.lit(power)) if power is not None else F.col("sw") * F.log2("n"))
@@ -121,16 +121,16 @@ def state_table(df: DataFrame, x: Vars, y: Vars | None = None, weight: str | Non
     """
     a, b = _list(x), _list(y)
     counts = joint_counts(df, a + b, weight)
-    total = counts.agg(F.sum("c").alias("_n"))
+    total = counts.agg(F.sum("_c").alias("_n"))
     sides = {"": a + b} | ({"x": a, "y": b} if b else {})
     out = counts.crossJoin(total)  # one row
     for tag, cols in sides.items():
         if tag:
-            margin = counts.groupBy(F.struct(*cols).alias(f"_k{tag}")).agg(F.sum("c").alias(f"_c{tag}"), F.sum("w").alias(f"_w{tag}"))
+            margin = counts.groupBy(F.struct(*cols).alias(f"_k{tag}")).agg(F.sum("_c").alias(f"_c{tag}"), F.sum("_w").alias(f"_w{tag}"))
             out = out.join(margin, F.struct(*cols) == F.col(f"_k{tag}"))
-    pick = [(F.col(f"c" if not tag else f"_c{tag}") / F.col("_n")).alias(f"p{tag}") for tag in sides]
+    pick = [(F.col("_c" if not tag else f"_c{tag}") / F.col("_n")).alias(f"p{tag}") for tag in sides]
     if weight:
-        pick += [(F.col("w" if not tag else f"_w{tag}") / F.col("c" if not tag else f"_c{tag}")).alias("weight" + (f"_{tag}" if tag else "")) for tag in sides]
+        pick += [(F.col("_w" if not tag else f"_w{tag}") / F.col("_c" if not tag else f"_c{tag}")).alias("weight" + (f"_{tag}" if tag else "")) for tag in sides]
     return out.select(*a, *b, *pick)
 
 

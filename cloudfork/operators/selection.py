@@ -17,8 +17,8 @@ def _scores(counts: DataFrame, sets: dict[tuple, list[str]]) -> dict:
     distinct = sorted(set(wanted.values()))
     parts = None
     for i, s in enumerate(distinct):
-        grouped = counts.groupBy(*s).agg(F.sum("c").alias("c")) if s else counts.agg(F.sum("c").alias("c"))
-        part = grouped.agg(F.sum(F.col("c") * F.log2("c")).alias("t")).select(F.lit(i).alias("i"), "t")
+        grouped = counts.groupBy(*s).agg(F.sum("_c").alias("_c")) if s else counts.agg(F.sum("_c").alias("_c"))
+        part = grouped.agg(F.sum(F.col("_c") * F.log2("_c")).alias("t")).select(F.lit(i).alias("i"), "t")
         parts = part if parts is None else parts.unionByName(part)
     found = {distinct[r["i"]]: r["t"] or 0.0 for r in parts.collect()}  # a number a set
     return {key: found[s] for key, s in wanted.items()}
@@ -27,7 +27,7 @@ def _scores(counts: DataFrame, sets: dict[tuple, list[str]]) -> dict:
 class _Counts:
     def __init__(self, df: DataFrame, features: list[str], target: str):
         self.counts = joint_counts(df, [*features, target]).persist()
-        self.n = self.counts.agg(F.sum("c")).first()[0] or 0
+        self.n = self.counts.agg(F.sum("_c")).first()[0] or 0
 
     def terms(self, sets: dict) -> dict:
         return _scores(self.counts, sets)
