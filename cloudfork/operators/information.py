@@ -39,7 +39,7 @@ def _terms(df: DataFrame, sets: dict[str, list[str]], weight: str | None, power:
     out = counts.agg(F.sum("_c").alias("n"), F.sum("_w").alias("sw"))
     named = {}
     for name, s in sets.items():
-        named.setdefault(tuple(sorted(s)), []).append(name)
+        named.setdefault(tuple(sorted(set(s))), []).append(name)
     grouped = [(list(s), names) for s, names in named.items() if s]
     if grouped:
         tagged = counts.groupingSets([[F.col(c) for c in s] for s, _ in grouped], *columns).agg(
