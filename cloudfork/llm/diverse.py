@@ -43,7 +43,7 @@ def farthest_first(x: np.ndarray, picks: int, start: int | None = None) -> tuple
 
 
 def _local(dim: int, share: float):
-    """Of each batch, the picks of its farthest-first selection."""
+    """Of each batch, as many picks of its farthest-first selection as are its share by rows, copies included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -51,7 +51,7 @@ def _local(dim: int, share: float):
             rows, rank, _ = copies_rank(ids, x)
             rows = rows[rank == 0]
             ids, x = ids[rows], x[rows]
-            order, _ = farthest_first(x, int(np.ceil(share * len(x))))
+            order, _ = farthest_first(x, int(np.ceil(share * b.num_rows)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[order], pa.int64()), lists(x[order])], names=["id", "vec"])
 
     return run

@@ -34,8 +34,8 @@ _CODE_WORD = regex.compile(r"[\p{Ll}]\p{Lu}|[_\d(){}<>=\\/|$]|\w\.\w{2,}")
 _VOWELS = regex.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿаеёиоуыэюя]+")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 #: Letter groups of English words that add a syllable to the count of vowel groups, or take one away.
-_MORE = regex.compile(r"i[aou](?!us\b)|e[ou]s?$|ua|[aeiouy]ing$|[^aeiouy]les?$|ism$|[^aeiou]eo|uous")
-_LESS = regex.compile(r"(?:[^aeiouyl]|[aeiouy]l)es?$|[^td]ed$|[ts]ion|[cg]i[aou]|ious|iour|tia[ln]")
+_MORE = regex.compile(r"i[aou](?!us\b)|e[ou]s?$|ua|[aeiouy]ing$|ism$|[^aeiou]eo|uous")
+_LESS = regex.compile(r"(?:[^aeiouyl]|[aeiouy]l)e$|(?:[^aeiouylszxcgh]|[aeiouy]l)es$|[^td]ed$|[ts]ion|[cg]i[aou]|ious|iour|tia[ln]")
 
 
 def syllables(word: str) -> int:
