@@ -23,6 +23,16 @@ HEADER_SCHEMA = (
 )
 
 
+_PAR = pa.struct([
+    ("par_no", pa.int32()), ("par_name", pa.string()), ("par_name2", pa.string()), ("par_bit", pa.int32()), ("par_range", pa.int64()),
+    ("par_decade", pa.float64()), ("par_logzero", pa.float64()), ("par_gain", pa.float64()),
+])
+_HEADER = pa.schema([
+    ("path", pa.string()), ("fcstype", pa.string()), ("total_events", pa.int64()), ("num_of_par", pa.int32()), ("datatype", pa.string()), ("byteorder", pa.string()),
+    ("keywords", pa.map_(pa.string(), pa.string())), ("par", pa.list_(_PAR)), ("comp_labels", pa.list_(pa.string())), ("comp", pa.list_(pa.list_(pa.float64()))),
+])
+
+
 def keywords(text: bytes) -> dict[str, str]:
     """Keyword -> value of a text segment; its first byte is the delimiter, doubled inside values. Keys in upper case."""
     body = text.decode("utf-8", errors="replace")
@@ -95,23 +105,13 @@ def read_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row a file: version, counts, parameters, all keywords, spillover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
-        names = [c.split()[0] for c in ("path", "fcstype", "total_events", "num_of_par", "datatype", "byteorder", "keywords", "par", "comp_labels", "comp")]
         for b in batches:
             rows = [{"path": p, **parse(c)} for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             for r in rows:
                 r["keywords"] = list(r["keywords"].items())
-            yield pd.DataFrame([{k: r[k] for k in names} for r in rows], columns=names)
-
-    return _files(spark, path).mapInPandas(_as_pandas(run), HEADER_SCHEMA)
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in _HEADER.names} for r in rows], schema=_HEADER)
 
-
-def _as_pandas(run):
-    def inner(frames):
-        return run(pa.RecordBatch.from_pandas(f, preserve_index=False) for f in frames)
-
-    return inner
+    return _files(spark, path).mapInArrow(run, HEADER_SCHEMA)
 
 
 def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -153,13 +153,17 @@ def compensated(events: DataFrame, headers: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                labels, names = r["comp_labels"], r["names"]
+            files, of = np.unique(np.array(b.column("path").to_pylist(), object), return_inverse=True)
+            out = [None] * b.num_rows
+            for f in range(len(files)):
+                rows = np.flatnonzero(of == f)
+                values = np.array(b.column("values").take(pa.array(rows)).to_pylist(), float)
+                names, labels, comp = (b.column(c)[int(rows[0])].as_py() for c in ("names", "comp_labels", "comp"))
                 if labels and all(x in names for x in labels):
-                    at, v = [names.index(x) for x in labels], np.array(r["values"], float)
-                    v[at] = np.linalg.solve(np.array(r["comp"], float).T, v[at])
-                    r["values"] = v.tolist()
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("path", "event_no", "values")} for r in rows], schema=pa.schema([("path", pa.string()), ("event_no", pa.int64()), ("values", pa.list_(pa.float64()))]))
+                    at = [names.index(x) for x in labels]
+                    values[:, at] = np.linalg.solve(np.array(comp, float).T, values[:, at].T).T
+                for r, v in zip(rows, values):
+                    out[r] = v
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("event_no"), pa.array(out, pa.list_(pa.float64()))], names=["path", "event_no", "values"])
 
     return events.join(heads, "path").mapInArrow(run, "path string, event_no long, values array<double>")
