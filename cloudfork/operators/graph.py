@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cloudfork.operators.distance import METRICS
 
 MAX_EDGES = 5_000_000
+DRIVER_EDGES = 200_000  # of a graph that is folded on the driver; larger ones stay in tables
 THRESHOLDS = tuple(range(99, 0, -1))  # percent of the trees
 
 
@@ -58,20 +59,45 @@ def ensemble_graph(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("freq"), F.avg("dist").alias("mean_len")).withColumn("inv_freq", F.lit(1.0) / F.col("freq"))
 
 
-def bottleneck(graph: DataFrame, weight: str = "inv_freq") -> float | None:
+def bottleneck(graph: DataFrame, weight: str = "inv_freq", driver_edges: int = DRIVER_EDGES) -> float | None:
     """The smallest threshold at which the edges not above it still connect all nodes; None if they never do.
 
-    The graph has as many nodes as the reference set; its edges are folded on the driver within MAX_EDGES.
+    Bisection over the weights that occur. Up to ``driver_edges`` edges are folded on the driver;
+    more stay in tables, and every step counts the components of the edges below its threshold.
     """
-    rows = graph.select("src", "dst", F.col(weight).alias("w")).limit(MAX_EDGES + 1).collect()
-    if len(rows) > MAX_EDGES:
-        raise ValueError(f"more than {MAX_EDGES} edges")
-    parts = Parts({n for r in rows for n in (r["src"], r["dst"])})
-    for r in sorted(rows, key=lambda r: r["w"]):
-        parts.join(r["src"], r["dst"])
-        if parts.count == 1:
-            return r["w"]
-    return None
+    rows = graph.select("src", "dst", F.col(weight).alias("w")).limit(driver_edges + 1).collect()
+    if len(rows) <= driver_edges:
+        parts = Parts({n for r in rows for n in (r["src"], r["dst"])})
+        for r in sorted(rows, key=lambda r: r["w"]):
+            parts.join(r["src"], r["dst"])
+            if parts.count == 1:
+                return r["w"]
+        return None
+    from cloudfork.session import cut
+
+    edges = cut(graph.select("src", "dst", F.col(weight).alias("w")))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
+
+    def connects(limit: float) -> bool:
+        parts = connected_components(edges.filter(F.col("w") <= F.lit(limit)).select("src", "dst"))
+        row = parts.agg(F.count("*").alias("n"), F.countDistinct("component").alias("parts")).first()
+        return row["n"] == nodes and row["parts"] == 1
+
+    levels = cut(edges.select("w").distinct())
+    low, high = None, levels.agg(F.max("w")).first()[0]
+    if not connects(high):
+        return None
+    while True:  # low does not connect, high does
+        between = levels.filter(F.col("w") < F.lit(high))
+        if low is not None:
+            between = between.filter(F.col("w") > F.lit(low))
+        middle = between.agg(F.percentile_approx("w", 0.5)).first()[0]
+        if middle is None:
+            return high
+        if connects(middle):
+            high = middle
+        else:
+            low = middle
 
 
 class Parts:

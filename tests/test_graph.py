@@ -132,3 +132,11 @@ def test_correlation_metric(spark):
     assert d.shape == (8, 5) and (d <= 1).all()
     with pytest.raises(ValueError):
         distance.squared_to_nearest(None, None, "corr")
+
+
+@pytest.mark.parametrize("closing, expected", [(2.0, 2.0), (9.0, 9.0), (None, None)])
+def test_bottleneck_in_tables_and_on_the_driver(spark, closing, expected):
+    rows = [(i, i + 1, 1.0 + (i % 3) / 4) for i in range(12) if i != 6] + [(0, 3, 20.0)] + ([(6, 7, closing)] if closing else [])
+    g = spark.createDataFrame(rows, "src long, dst long, inv_freq double")
+    assert graph.bottleneck(g) == expected
+    assert graph.bottleneck(g, driver_edges=0) == expected
