@@ -68,7 +68,7 @@ def parse(content: bytes) -> dict:
     labels, matrix = spillover(words.get("$SPILLOVER") or words.get("SPILL") or words.get("SPILLOVER"))
     return {
         "fcstype": version, "total_events": int(_number(words.get("$TOT"))), "num_of_par": len(par), "datatype": words.get("$DATATYPE", "").upper(), "byteorder": words.get("$BYTEORD", "4,3,2,1"),
-        "keywords": words, "par": par, "comp_labels": labels, "comp": matrix, "begin": begin, "end": end,
+        "delimiter": chr(content[places[0]]) if len(content) > places[0] else "", "keywords": words, "par": par, "comp_labels": labels, "comp": matrix, "begin": begin, "end": end,
     }
 
 
@@ -82,21 +82,54 @@ def spillover(text: str | None) -> tuple[list[str] | None, list[list[float]] | N
     return parts[1 : 1 + n], [values[i * n : (i + 1) * n] for i in range(n)]
 
 
-def decode(content: bytes, head: dict) -> np.ndarray:
-    """Events x parameters."""
-    order = "<" if head["byteorder"].startswith("1,2") else ">"
+#: How some instruments' integers differ from the standard's. Storage type, bits that count, divisor of a
+#: remainder, and the range above which a channel is rescaled to 0 .. 1024 (None: as the standard has it).
+CONVENTIONS = {
+    "standard": {},
+    "ten_bit": {"kind": "u2", "order": "<", "bits": 10},
+    "wide_to_1024": {"rescale_above": 4096},
+    "all_to_1024": {"kind": "u2", "rescale_above": 0},
+    "signed_32": {"kind": "i4"},
+    "remainder_1024": {"kind": "i4", "remainder": 1024},
+    "unsigned_16": {"kind": "u2"},
+}
+
+
+def convention_of(head: dict) -> str:
+    """The convention that version, delimiter and cytometer of a file with integer data point to."""
+    cytometer, mark = head.get("keywords", {}).get("$CYT", "").lower(), head.get("delimiter", "")
+    if head["datatype"] != "I":
+        return "standard"
+    if head.get("fcstype") == "FCS2.0":
+        return "ten_bit" if mark == "!" else "wide_to_1024" if head["par"] and head["par"][0]["par_bit"] == 16 else "standard"
+    if mark == "|":
+        return "all_to_1024"
+    known = {"accuri": "signed_32", "partec": "unsigned_16", "lx": "remainder_1024"} if mark == "/" else {}
+    return next((c for name, c in known.items() if name in cytometer), "standard")
+
+
+def decode(content: bytes, head: dict, convention: str | None = None) -> np.ndarray:
+    """Events x parameters; integers by ``convention``, or by the one that the header points to."""
+    rule = CONVENTIONS[convention or convention_of(head)]
+    order = rule.get("order") or ("<" if head["byteorder"].startswith("1,2") else ">")
     bits, n = [p["par_bit"] for p in head["par"]], head["num_of_par"]
     body = content[head["begin"] : head["end"] + 1]
-    kind = {"F": lambda b: "f4", "D": lambda b: "f8", "I": lambda b: {8: "u1", 16: "u2", 32: "u4"}.get(b)}.get(head["datatype"])
-    if kind is None or any(kind(b) is None for b in bits):
+    by_type = {"F": lambda b: "f4", "D": lambda b: "f8", "I": lambda b: rule.get("kind") or {8: "u1", 16: "u2", 32: "u4"}.get(b)}.get(head["datatype"])
+    if by_type is None or any(by_type(b) is None for b in bits):
         raise ValueError(f"data type {head['datatype']!r} with {bits} bits is not supported")
-    row = np.dtype([(str(i), order + kind(b)) for i, b in enumerate(bits)])
+    row = np.dtype([(str(i), order + by_type(b)) for i, b in enumerate(bits)])
     events = np.frombuffer(body, row, count=min(head["total_events"] or 1 << 62, len(body) // row.itemsize if n else 0))
     out = np.empty((len(events), n))
     for i, p in enumerate(head["par"]):
-        x = events[str(i)]
-        if head["datatype"] == "I" and 1 < p["par_range"] < 2 ** p["par_bit"]:
-            x = x & (2 ** math.ceil(math.log2(p["par_range"])) - 1)
+        x, limit = events[str(i)], p["par_range"]
+        if "bits" in rule:
+            x = x & (2 ** rule["bits"] - 1)
+        elif "remainder" in rule:
+            x = x % rule["remainder"]
+        elif "rescale_above" in rule and limit > rule["rescale_above"]:
+            x = x * (1024 / limit)
+        elif head["datatype"] == "I" and not rule.get("kind") and 1 < limit < 2 ** p["par_bit"]:
+            x = x & (2 ** math.ceil(math.log2(limit)) - 1)
         out[:, i] = x
     return out
 
@@ -118,14 +151,17 @@ def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, event_no, values): every event of every file; event_no counts from 1 within the file."""
+def read_events(spark: SparkSession, path: str | list[str], convention: str | None = None) -> DataFrame:
+    """(path, event_no, values): every event of every file; event_no counts from 1 within the file.
+
+    ``convention``: one of CONVENTIONS, by default the one that a file's header points to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, content in zip(b.column(0).to_pylist(), b.column(1)):
                 content = content.as_py()
-                events = decode(content, parse(content))
+                events = decode(content, parse(content), convention)
                 for lo in range(0, len(events), EVENTS_AT_ONCE):
                     part = events[lo : lo + EVENTS_AT_ONCE]
                     values = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))

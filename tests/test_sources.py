@@ -59,6 +59,27 @@ def test_range_mask():
     assert fcs.decode(struct.pack("<2H", 0xFC01, 1023), {"byteorder": "1,2,3,4", "par": [{"par_bit": 16, "par_range": 1024}], "num_of_par": 1, "begin": 0, "end": 3, "datatype": "I", "total_events": 2}).tolist() == [[1], [1023]]
 
 
+@pytest.mark.parametrize(
+    "convention,raw,expected",
+    [("ten_bit", 0xFC01, 1), ("wide_to_1024", 32768, 512), ("all_to_1024", 32768, 512), ("unsigned_16", 65535, 65535), ("standard", 32768, 32768)],
+)
+def test_conventions_of_instruments(convention, raw, expected):
+    head = {"byteorder": "1,2,3,4", "par": [{"par_bit": 16, "par_range": 65536}], "num_of_par": 1, "begin": 0, "end": 1, "datatype": "I", "total_events": 1}
+    assert fcs.decode(struct.pack("<H", raw), head, convention).tolist() == [[expected]]
+    long = head | {"par": [{"par_bit": 32, "par_range": 0}], "end": 3}
+    assert fcs.decode(struct.pack("<i", 2050), long, "remainder_1024").tolist() == [[2]]
+    assert fcs.decode(struct.pack("<i", -7), long, "signed_32").tolist() == [[-7]]
+
+
+def test_convention_follows_the_header():
+    head = {"datatype": "I", "fcstype": "FCS3.0", "delimiter": "/", "keywords": {"$CYT": "Accuri C6"}, "par": [{"par_bit": 32}]}
+    assert fcs.convention_of(head) == "signed_32"
+    assert fcs.convention_of(head | {"keywords": {"$CYT": "LX200"}}) == "remainder_1024"
+    assert fcs.convention_of(head | {"delimiter": "|"}) == "all_to_1024"
+    assert fcs.convention_of(head | {"delimiter": "!", "fcstype": "FCS2.0"}) == "ten_bit"
+    assert fcs.convention_of(head | {"datatype": "F"}) == fcs.convention_of(head | {"keywords": {}}) == "standard"
+
+
 def test_cells_by_name(spark, tmp_path):
     df = spark.createDataFrame([(1, "s", 5.0, 2.0)], "id int, lab string, b double, a double")
     row = tables.cells_from_wide(df, "id", "lab", ["a", "b"]).first()
