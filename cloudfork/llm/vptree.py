@@ -12,6 +12,7 @@ import numpy as np
 
 LEAF = 96  # rows of a leaf inside a shard
 CHUNK = 4096  # queries that meet a leaf at a time
+SEARCHED = 16_384  # queries that are searched at a time
 
 
 def distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -203,8 +204,18 @@ class Tree:
     def nearest(self, queries, query_ids, point_ids, k: int, reach, factor: float = 1.0):
         """(query row, point row, distance) of the ``k`` nearest other points, ties by smaller id.
 
-        A point with the query's own id is no neighbour of it.
+        A point with the query's own id is no neighbour of it. Queries are searched leaf after
+        leaf, SEARCHED of them at a time, so that what a search holds stays small.
         """
+        parts = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        order = np.concatenate([rows for _, _, rows in self._home(queries)]) if len(queries) else np.empty(0, int)
+        for i in range(0, len(order), SEARCHED):
+            some = order[i : i + SEARCHED]
+            a, b, d = self._nearest(queries[some], query_ids[some], point_ids, k, reach[some], factor)
+            parts.append((some[a], b, d))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _nearest(self, queries, query_ids, point_ids, k: int, reach, factor: float):
         bound, who = self.kth(queries, k + 1, reach, factor)
         if factor > 1:
             a, b = np.nonzero(who >= 0)
