@@ -92,6 +92,18 @@ def test_tree_and_router_miss_nothing():
         assert all((i, home[j]) in visits for j in near)
 
 
+def test_blocks_of_queries_find_the_same(monkeypatch):
+    from cloudfork.llm import vptree
+
+    x = blobs(2000, seed=11)
+    monkeypatch.setattr(vptree, "SEARCHED", 128)
+    q, p, d = Tree(x).nearest(x, np.arange(2000), np.arange(2000), 3, np.full(2000, np.inf))
+    assert set(zip(q.tolist(), p.tolist())) == brute(x, np.arange(2000), range(2000), 3)
+    assert np.allclose(d, np.sqrt(((x[q] - x[p]) ** 2).sum(axis=1)))
+    none = Tree(x).nearest(x[:0], np.arange(0), np.arange(2000), 3, np.empty(0))
+    assert [len(y) for y in none] == [0, 0, 0]
+
+
 def linked(x, threshold):
     label = np.arange(len(x))
     a, b = np.nonzero(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= threshold)
