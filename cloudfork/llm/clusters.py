@@ -5,9 +5,11 @@ longer than the threshold; each round merges, in parallel, every pair of cluster
 are each other's best, and averages the links that then run in parallel; it stops when
 no link is left within the threshold.
 
-The graph comes from the sharded vantage-point trees: each vector's nearest links within
-the threshold, and besides, so that no connection is lost where more vectors than that
-lie within the threshold, the links of a spanning forest of each shard and its fringe.
+The graph comes from the sharded vantage-point trees. Where pairs without a link count with
+a distance of their own, it holds every link within the threshold. Where only connections
+matter, it holds each vector's nearest links within the threshold, and besides, so that no
+connection is lost where more vectors than that lie within the threshold, the links of a
+spanning forest of each shard and its fringe.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cloudfork.llm.neighbors import POINT, QUERY
 from cloudfork.llm.vectors import DIM, SHARD_ROWS, complete_cells, copies_rank, fit_router, lists, matrix
-from cloudfork.llm.vptree import Router, Tree
+from cloudfork.llm.vptree import SEARCHED, Router, Tree
 from cloudfork.session import cut, drop_cut
 
 COPY = 4  # a row that only says: this cell has the vector of that one
@@ -118,19 +120,54 @@ def _links(dim: int, k: int, threshold: float):
     return run
 
 
+def _every_link(dim: int, threshold: float):
+    """All links of a shard's points within the threshold, each from the query with the smaller id, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        role, ids = t.column("role").to_numpy(), t.column("id").to_numpy()
+        if role[0] & COPY:
+            yield _linked(ids, t.column("of").to_numpy(), np.zeros(len(ids)), True)
+            return
+        x = matrix(t.column("vec"), dim)
+        at, ask = (r[np.unique(ids[r], return_index=True)[1]] for r in (np.flatnonzero(role & POINT), np.flatnonzero(role & QUERY)))
+        if not len(at) or not len(ask):
+            return
+        tree, queries = Tree(x[at]), x[ask]
+        order = np.concatenate([rows for _, _, rows in tree._home(queries)])
+        for i in range(0, len(order), SEARCHED):
+            some = order[i : i + SEARCHED]
+            for q, p, d in tree.within(queries[some], np.full(len(some), threshold)):
+                a, b = ids[ask[some[q]]], ids[at[p]]
+                use = a < b
+                if use.any():
+                    yield _linked(a[use], b[use], d[use], False)
+
+    return run
+
+
+def _linked(a: np.ndarray, b: np.ndarray, d: np.ndarray, copy: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(np.full(len(a), copy))], names=["a", "b", "distance", "copy"]
+    )
+
+
 def similarity_links(
-    cells: DataFrame, threshold: float, *, k: int = 16, id_col: str = "cell_id", vec_col: str = "all_data", dim: int = DIM, shard_rows: int = SHARD_ROWS
+    cells: DataFrame, threshold: float, *, k: int | None = 16, id_col: str = "cell_id", vec_col: str = "all_data", dim: int = DIM, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
-    """(a, b, distance, copy): a sparse graph in which the same cells are connected as by all links of at most ``threshold``.
+    """(a, b, distance, copy): a graph of links of at most ``threshold``.
 
-    ``copy``: cell a has the vector of cell b, which stands for it. At most k + 1 links a
-    cell and shard that it reaches, so the graph grows with the cells, not with their pairs.
+    ``copy``: cell a has the vector of cell b, which stands for it. With a number ``k``, a
+    sparse graph in which the same cells are connected as by all links: at most k + 1 links a
+    cell and shard that it reaches, so it grows with the cells, not with their pairs. None:
+    every link; the graph grows with the pairs that lie within the threshold.
     """
     rows = cells.count()
     points = complete_cells(cells, id_col, vec_col, dim)
     router = fit_router(points, rows, dim, shard_rows, reach=threshold)
-    routed = points.mapInArrow(_route(router, dim, threshold), _ROUTED)
-    return routed.groupBy("shard").applyInArrow(_links(dim, k, threshold), _LINKS)
+    # of all links each is reported from one side only, so the rounding of a gap must not keep that side away
+    routed = points.mapInArrow(_route(router, dim, threshold if k else threshold * (1 + 1e-9)), _ROUTED)
+    return routed.groupBy("shard").applyInArrow(_links(dim, k, threshold) if k else _every_link(dim, threshold), _LINKS)
 
 
 def reciprocal_linkage(links: DataFrame, threshold: float, missing: float | None = None, max_rounds: int = 100_000) -> DataFrame:
@@ -190,11 +227,14 @@ def similarity_clusters(cells: DataFrame, threshold: float, *, missing: float |
     ``missing`` None: the mean over the links that exist, which never exceeds the threshold,
     so that linked clusters merge until each is a whole transitively linked set. A number:
     average linkage in which unlinked members count with that distance and hold clusters
-    apart. Copies of a vector belong to the cluster of the cell that stands for them.
+    apart; only pairs beyond the threshold are unlinked then, as every link within it is
+    searched for, whatever ``k``. Copies of a vector belong to the cluster of the cell that stands for them.
 
     Cells without id or complete vector take no part; a repeated id counts once; an empty
     table gives no rows; extra columns are ignored.
     """
+    if missing is not None:
+        graph["k"] = None
     graph_links = cut(similarity_links(cells, threshold, **graph))
     labels = reciprocal_linkage(graph_links.filter("not copy"), threshold, missing)
     copies = graph_links.filter("copy").select(F.col("a").alias("cell"), F.col("b").alias("of")).distinct()

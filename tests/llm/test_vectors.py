@@ -133,6 +133,42 @@ def test_average_linkage_stops_below_the_threshold(spark):
     assert got == {(0, 0), (1, 0), (2, 0), (5, 5), (6, 5)}
 
 
+def average_linkage(x, threshold, missing):
+    """{cluster: members} of plain average linkage over all pairs, those beyond the threshold at ``missing``."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    d = np.where(d <= threshold, d, missing)
+    np.fill_diagonal(d, np.inf)
+    members = {i: [i] for i in range(len(x))}
+    while True:
+        a, b = sorted(np.unravel_index(np.argmin(d), d.shape))
+        if d[a, b] > threshold:
+            return {min(m): sorted(m) for m in members.values()}
+        na, nb = len(members[a]), len(members[b])
+        d[a] = d[:, a] = (na * d[a] + nb * d[b]) / (na + nb)
+        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
+        members[a] += members.pop(b)
+
+
+@pytest.mark.parametrize("shard_rows", [10_000, 60])
+def test_average_linkage_counts_every_pair_within_the_threshold(spark, shard_rows):
+    x = np.r_[np.random.default_rng(2).normal(0, 0.01, (150, 3)) + 20, blobs(250, seed=9)]  # a ball of 150, all near each other
+    truth = average_linkage(x, 0.25, 0.5)
+    assert max(map(len, truth.values())) == 150
+    found = {}
+    for r in clusters.similarity_clusters(frame(spark, as_rows(x) + DIRTY), 0.25, missing=0.5, dim=3, shard_rows=shard_rows).collect():
+        found.setdefault(r.cluster_id, []).append(r.cell_id)
+    alone = lambda c: {k: sorted(m) for k, m in c.items() if len(m) > 1}
+    assert alone(found) == alone(truth)
+
+
+def test_p3_clusters_keeps_a_ball_whole(spark, tmp_path):
+    from cloudfork.llm import queries
+
+    x = np.random.default_rng(4).normal(0, 0.01, (300, 12))
+    frame(spark, as_rows(x)).write.parquet(str(tmp_path / "all_struct.parquet"))
+    assert [(r.cluster_id, r["size"]) for r in queries.p3_clusters(spark, str(tmp_path)).collect()] == [(0, 300)]
+
+
 def test_cluster_profiles(spark):
     rows = [(i, [float(i % 3) * 0.01, 0.0, 0.0]) for i in range(9)] + [(20, [5.0, 5.0, 5.0])]
     cells = frame(spark, rows)
