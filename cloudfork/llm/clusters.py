@@ -29,6 +29,7 @@ from cloudfork.session import cut, drop_cut
 COPY = 4  # a row that only says: this cell has the vector of that one
 _ROUTED = "shard int, role int, id long, of long, vec array<double>"
 _LINKS = "a long, b long, distance double, copy boolean"
+_ALL_LINKS = f"{_LINKS}, across boolean"
 
 
 def _routed(shard, role, ids, of, x) -> pa.RecordBatch:
@@ -121,17 +122,26 @@ def _links(dim: int, k: int, threshold: float):
 
 
 def _every_link(dim: int, threshold: float):
-    """All links of a shard's points within the threshold, each from the query with the smaller id, block by block."""
+    """All links of a shard's points within the threshold, each from the query with the smaller id, block by block.
+
+    Equal vectors have one home shard and visit the same others, so the smallest id among them
+    is the same everywhere; it alone is searched, and ``across`` says for which ids of other batches it stands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         role, ids = t.column("role").to_numpy(), t.column("id").to_numpy()
         if role[0] & COPY:
-            yield _linked(ids, t.column("of").to_numpy(), np.zeros(len(ids)), True)
+            yield _linked(ids, t.column("of").to_numpy(), np.zeros(len(ids)), True, False)
             return
         x = matrix(t.column("vec"), dim)
-        at, ask = (r[np.unique(ids[r], return_index=True)[1]] for r in (np.flatnonzero(role & POINT), np.flatnonzero(role & QUERY)))
-        if not len(at) or not len(ask):
+        rows, rank, first = copies_rank(ids, x)
+        home = (role[rows] & POINT) > 0
+        same = home & (rank > 0)
+        if same.any():
+            yield _linked(ids[rows[same]], first[same], np.zeros(same.sum()), True, True)
+        at, ask = rows[home & (rank == 0)], rows[rank == 0]
+        if not len(at):
             return
         tree, queries = Tree(x[at]), x[ask]
         order = np.concatenate([rows for _, _, rows in tree._home(queries)])
@@ -141,17 +151,40 @@ def _every_link(dim: int, threshold: float):
                 a, b = ids[ask[some[q]]], ids[at[p]]
                 use = a < b
                 if use.any():
-                    yield _linked(a[use], b[use], d[use], False)
+                    yield _linked(a[use], b[use], d[use], False, False)
 
     return run
 
 
-def _linked(a: np.ndarray, b: np.ndarray, d: np.ndarray, copy: bool) -> pa.RecordBatch:
+def _linked(a: np.ndarray, b: np.ndarray, d: np.ndarray, copy: bool, across: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(np.full(len(a), copy))], names=["a", "b", "distance", "copy"]
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(np.full(len(a), copy)), pa.array(np.full(len(a), across))],
+        names=["a", "b", "distance", "copy", "across"],
     )
 
 
+def _one_vector(points: DataFrame) -> DataFrame:
+    """The points, where an id that was delivered with several vectors has the smallest of them."""
+    value = F.xxhash64(F.transform("vec", lambda x: x + 0.0))
+    mixed = cut(points.groupBy("id").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo <> hi").select("id"))
+    if mixed.isEmpty():
+        return points
+    one = points.join(mixed, "id", "left_semi").groupBy("id").agg(F.min("vec").alias("vec"))
+    return points.join(mixed, "id", "left_anti").unionByName(one)
+
+
+def _all_links(points: DataFrame, router: Router, dim: int, threshold: float) -> DataFrame:
+    """(a, b, distance, copy): every link, and every copy with the one cell that stands for its vector in the whole table."""
+    # each link is reported from one side only, so the rounding of a gap must not keep that side away
+    routed = _one_vector(points).mapInArrow(_route(router, dim, threshold * (1 + 1e-9)), _ROUTED)
+    found = cut(routed.groupBy("shard").applyInArrow(_every_link(dim, threshold), _ALL_LINKS))
+    across = found.filter("across").select("a", "b")
+    stands = across.select(F.col("a").alias("via"), F.col("b").alias("whole"))
+    copies = found.filter("copy and not across").join(stands, F.col("b") == F.col("via"), "left").select("a", F.coalesce("whole", "b").alias("b"))
+    copies = copies.unionByName(across).filter("a <> b").distinct()
+    return found.filter("not copy").select("a", "b", "distance", "copy").unionByName(copies.select("a", "b", F.lit(0.0).alias("distance"), F.lit(True).alias("copy")))
+
+
 def similarity_links(
     cells: DataFrame, threshold: float, *, k: int | None = 16, id_col: str = "cell_id", vec_col: str = "all_data", dim: int = DIM, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
@@ -160,31 +193,42 @@ def similarity_links(
     ``copy``: cell a has the vector of cell b, which stands for it. With a number ``k``, a
     sparse graph in which the same cells are connected as by all links: at most k + 1 links a
     cell and shard that it reaches, so it grows with the cells, not with their pairs. None:
-    every link; the graph grows with the pairs that lie within the threshold.
+    every link between different vectors, and one cell stands for all equal ones of the table;
+    the graph grows with the pairs that lie within the threshold.
     """
     rows = cells.count()
     points = complete_cells(cells, id_col, vec_col, dim)
     router = fit_router(points, rows, dim, shard_rows, reach=threshold)
-    # of all links each is reported from one side only, so the rounding of a gap must not keep that side away
-    routed = points.mapInArrow(_route(router, dim, threshold if k else threshold * (1 + 1e-9)), _ROUTED)
-    return routed.groupBy("shard").applyInArrow(_links(dim, k, threshold) if k else _every_link(dim, threshold), _LINKS)
+    if k is None:
+        return _all_links(points, router, dim, threshold)
+    routed = points.mapInArrow(_route(router, dim, threshold), _ROUTED)
+    return routed.groupBy("shard").applyInArrow(_links(dim, k, threshold), _LINKS)
 
 
-def reciprocal_linkage(links: DataFrame, threshold: float, missing: float | None = None, max_rounds: int = 100_000) -> DataFrame:
+def reciprocal_linkage(
+    links: DataFrame, threshold: float, missing: float | None = None, max_rounds: int = 100_000, sizes: DataFrame | None = None
+) -> DataFrame:
     """(node, cluster_id): average linkage on a sparse graph (a, b, distance), by reciprocal best pairs.
 
     The distance of two clusters is the mean over their links; with ``missing``, pairs of
-    members without a link count with that distance. Every round merges each pair of
+    members without a link count with that distance. ``sizes`` (node, size): a node that stands
+    for several cells counts as so many. Every round merges each pair of
     clusters that are each other's nearest (ties by the smaller ids) within the threshold.
     cluster_id is the smallest node of a cluster; nodes without a link do not appear.
     """
     one = F.lit(1).cast("long")
-    start = cut(
+    start = (
         links.filter((F.col("a") != F.col("b")) & (F.col("distance") <= threshold))
         .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .agg(F.min("distance").alias("w"))
-        .withColumns({"n": one, "sa": one, "sb": one})
     )
+    if sizes is None:
+        start = start.withColumns({"n": one, "sa": one, "sb": one})
+    else:
+        for side, size in (("a", "sa"), ("b", "sb")):
+            start = start.join(sizes.select(F.col("node").alias("of"), F.col("size").alias(size)), F.col(side) == F.col("of"), "left").withColumn(size, F.coalesce(size, one)).drop("of")
+        start = start.withColumn("n", F.col("sa") * F.col("sb")).withColumn("w", F.col("w") * F.col("n"))
+    start = cut(start)
     pairs = F.col("sa") * F.col("sb")
     mean = F.col("w") / F.col("n") if missing is None else (F.col("w") + missing * (pairs - F.col("n"))) / pairs
     edges, rounds = start, []
@@ -230,14 +274,15 @@ def similarity_clusters(cells: DataFrame, threshold: float, *, missing: float |
     apart; only pairs beyond the threshold are unlinked then, as every link within it is
     searched for, whatever ``k``. Copies of a vector belong to the cluster of the cell that stands for them.
 
-    Cells without id or complete vector take no part; a repeated id counts once; an empty
-    table gives no rows; extra columns are ignored.
+    Cells without id or complete vector take no part; a repeated id counts once (with a
+    number, one that comes with several vectors has the smallest); an empty table gives no rows; extra columns are ignored.
     """
     if missing is not None:
         graph["k"] = None
     graph_links = cut(similarity_links(cells, threshold, **graph))
-    labels = reciprocal_linkage(graph_links.filter("not copy"), threshold, missing)
     copies = graph_links.filter("copy").select(F.col("a").alias("cell"), F.col("b").alias("of")).distinct()
+    sizes = None if missing is None else copies.groupBy(F.col("of").alias("node")).agg((F.count("*") + 1).alias("size"))
+    labels = reciprocal_linkage(graph_links.filter("not copy"), threshold, missing, sizes=sizes)
     of_copies = copies.join(labels, copies["of"] == labels["node"], "left").select(
         F.coalesce("cluster_id", "of").alias("cluster"), F.col("cell").alias("cell_id")
     )
@@ -255,8 +300,9 @@ def cluster_profiles(
 
     The most typical members are kept by a bounded per-group minimum, not by collecting the group.
     """
-    points = complete_cells(cells, id_col, vec_col, dim).dropDuplicates(["id"])
-    inside = members.join(points, members["cell_id"] == points["id"]).select("cluster_id", "cell_id", "vec")
+    points = complete_cells(cells, id_col, vec_col, dim)
+    # an id counts once, with the vector by which it was placed
+    inside = members.join(points, members["cell_id"] == points["id"]).groupBy("cluster_id", "cell_id").agg(F.min("vec").alias("vec"))
     mean = inside.groupBy("cluster_id").agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(dim)]).alias("mean"), F.count("*").alias("size"))
     apart = F.sqrt(F.aggregate(F.zip_with("vec", "mean", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     near = inside.join(mean, "cluster_id").select("cluster_id", "cell_id", "size", apart.alias("d"))

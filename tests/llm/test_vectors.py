@@ -161,6 +161,27 @@ def test_average_linkage_counts_every_pair_within_the_threshold(spark, shard_row
     assert alone(found) == alone(truth)
 
 
+@pytest.mark.parametrize("shard_rows", [10_000, 8])
+def test_copies_in_many_batches_are_one_weighted_vector(spark, shard_rows):
+    # p and q merge at 0.1; r is 0.24 from the 40 copies of p and unlinked (0.5) with q: (40 * 0.24 + 0.5) / 41 is within 0.25, (0.24 + 0.5) / 2 is not
+    p, q, r = [0.0, 0.0, 0.0], [-0.1, 0.0, 0.0], [0.24, 0.0, 0.0]
+    far = [[9.0 + i, 5.0, -5.0] for i in range(30)]
+    x = np.array([p] * 40 + [q, r] + far)
+    truth = {c: m for c, m in average_linkage(x, 0.25, 0.5).items() if len(m) > 1}
+    assert list(map(len, truth.values())) == [42]
+    rows = as_rows(x)
+    # cells 3 and 7 come again, cell 60 also with a larger vector and cell 42 with a smaller one, which counts: that of p
+    cells = spark.createDataFrame([(i, v, 0, "x", 1.0) for i, v in rows + [rows[3], rows[7], (60, [99.0, 0.0, 0.0]), (42, [0.0, 0.0, 0.0])]], SCHEMA).repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 6)  # some 16 batches, each with a representative of p
+    try:
+        found = clusters.similarity_clusters(cells, 0.25, missing=0.5, dim=3, shard_rows=shard_rows).collect()
+        profile = clusters.cluster_profiles(clusters.similarity_clusters(cells, 0.25, missing=0.5, dim=3, shard_rows=shard_rows), cells, dim=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.cluster_id, r.cell_id) for r in found) == [(0, i) for i in [*range(43)]]
+    assert [(r.cluster_id, r["size"]) for r in profile] == [(0, 43)]
+
+
 def test_p3_clusters_keeps_a_ball_whole(spark, tmp_path):
     from cloudfork.llm import queries
 
