@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cloudfork.config import Options
 from cloudfork.operators import graph, layout, sampling
 from cloudfork.plans import branch, recursive
-from cloudfork.plans.distances import _D, _NODES, cells, centroids
+from cloudfork.plans.distances import _D, _NODES, DIM, cells, centroids
 from cloudfork.session import cut
 from cloudfork.session import read_table as t
 
@@ -124,18 +124,25 @@ def branching_scores(spark, d):
     return graph.branching_scores(sizes, t(spark, d, "embeddings").select(F.col("label").cast("long").alias("node_id")).distinct(), 10)
 
 
-@query()
-def best_branches(spark, d):
-    trees = _ensemble(spark, d)
+def _branches(spark: SparkSession, trees: DataFrame) -> DataFrame:
     sizes = cut(graph.branch_sizes(spark, trees))
     return graph.best_branches(spark, trees, sizes, graph.branching_scores(sizes, sizes.select("node_id").distinct(), 10))
 
 
+@query()
+def best_branches(spark, d):
+    return _branches(spark, _ensemble(spark, d))
+
+
 @query()
 def mean_tree_distance(spark, d):
+    """Signed distance of every label from the branch point of the ensemble; no rows if it has none."""
     trees = _ensemble(spark, d)
-    branches = spark.createDataFrame([(i, 0 if i == 0 else 1 + i % 3) for i in range(10)], "node_id long, branch int")
-    return graph.signed_distance(graph.tree_hops(trees, 0), branches)
+    branches = _branches(spark, trees)
+    point = branches.filter("branch = 0").first()
+    if point is None:
+        return spark.createDataFrame([], "node_id long, branch int, signed_dist double")
+    return graph.signed_distance(graph.tree_hops(trees, point["node_id"]), branches)
 
 
 @query()
@@ -145,10 +152,10 @@ def layout_xy(spark, d):
 
 @query()
 def gp_profile(spark, d):
-    """Smooth profiles of four positions of the node vectors along the branches."""
+    """Smooth profiles of every position of the node vectors along the branches."""
     dist = mean_tree_distance(spark, d)
     nodes = centroids(cells(spark, d))
-    values = nodes.select("node_id", F.inline(F.array(*[F.struct(F.lit(f"e{i}").alias("marker"), F.col("features")[i].alias("value")) for i in range(4)])))
+    values = nodes.select("node_id", F.inline(F.array(*[F.struct(F.lit(f"e{i}").alias("marker"), F.col("features")[i].alias("value")) for i in range(DIM)])))
     return layout.branch_profiles(values.join(dist, "node_id"))
 
 

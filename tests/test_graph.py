@@ -140,3 +140,18 @@ def test_bottleneck_in_tables_and_on_the_driver(spark, closing, expected):
     g = spark.createDataFrame(rows, "src long, dst long, inv_freq double")
     assert graph.bottleneck(g) == expected
     assert graph.bottleneck(g, driver_edges=0) == expected
+
+
+def test_profiles_follow_the_branches_of_the_data(spark, tmp_path):
+    from cloudfork.plans import graphs
+
+    # labels on three arms of three nodes around label 14: positions 0, 1 and 2 of 64
+    where = {14: [0.0, 0.0, 0.0]} | {20 + 3 * a + i: [5.0 * (i + 1) * (a == b) for b in range(3)] for a in range(3) for i in range(3)}
+    rows = [(n * 5 + j, [float(v) for v in x] + [0.01 * j] * 61, n) for n, x in where.items() for j in range(5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    dist = {r.node_id: (r.branch, r.signed_dist) for r in graphs.mean_tree_distance(spark, str(tmp_path)).collect()}
+    assert set(dist) == set(where) and dist[14] == (0, 0.0)
+    arms = [{dist[20 + 3 * a + i][0] for i in range(3)} for a in range(3)]
+    assert sorted(map(tuple, arms)) == [(1,), (2,), (3,)]
+    found = graphs.gp_profile(spark, str(tmp_path)).select("marker", "branch").distinct().collect()
+    assert {tuple(r) for r in found} == {(f"e{i}", b) for i in range(64) for b in (2, 3)}
