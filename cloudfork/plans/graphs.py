@@ -180,9 +180,8 @@ def pipeline_label_table(spark, d):
 
 @query()
 def recursive_labels(spark, d):
-    """The recursive analysis, against a null table of zero scores, and the stem of every top-level node."""
-    c = _analysis_cells(spark, d)
-    nulls = spark.createDataFrame([(20, 1001, 2, 0.0)], "n_ref_cells long, n_points long, n_dims long, score double")
-    levels = recursive.analyse_recursively(c, OPTIONS.with_(n_trees=20), nulls, 64, max_depth=1)
+    """The recursive analysis, against null scores of clouds without branches, and the stem of every top-level node."""
+    c, options = _analysis_cells(spark, d), OPTIONS.with_(n_trees=20)
+    levels = recursive.analyse_recursively(c, options, recursive.null_tables(spark, options), DIM)
     top = spark.range(1, 31).withColumnRenamed("id", "node_id")
     return recursive.deepest_labels(levels, top)

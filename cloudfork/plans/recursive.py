@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from cloudfork.plans.branch import KEY, analyse
 from cloudfork.session import cut
 
 
+LEAST_POINTS = 1000  # up to so many rows there is no null distribution, and no branch
+
+
 def branch_tree(stems: DataFrame) -> DataFrame:
     """(stem, parent_stem, depth): each stem with the stem without its last number, if that is one of them."""
     parents = stems.select(F.col("stem").alias("parent_stem"))
@@ -37,11 +42,11 @@ def _not_above(column: str):
 
 
 def score_limit(null_scores: DataFrame, n_ref: int, n_points: int, n_dims: int, p: float) -> float:
-    """The ``p`` quantile of the null scores of the grid point next below; infinite up to 1000 points.
+    """The ``p`` quantile of the null scores of the grid point next below; infinite up to LEAST_POINTS.
 
     null_scores: (n_ref_cells, n_points, n_dims, score), one row a score.
     """
-    if n_points <= 1000:
+    if n_points <= LEAST_POINTS:
         return float("inf")
     spark = null_scores.sparkSession
     grid = null_scores.select("n_ref_cells", "n_points", "n_dims").distinct()
@@ -51,13 +56,17 @@ def score_limit(null_scores: DataFrame, n_ref: int, n_points: int, n_dims: int,
     return float("inf") if value is None else value
 
 
-def analyse_recursively(cells: DataFrame, options: Options, null_scores: DataFrame, dim: int, max_depth: int = 6) -> DataFrame:
+def analyse_recursively(
+    cells: DataFrame, options: Options, null_scores: DataFrame | Callable[[int, int, int], DataFrame], dim: int, max_depth: int = 6
+) -> DataFrame:
     """(stem, parent_stem, depth, run_flag, cell_id, top_node, at_branch_point): every level's rows under their branch stems.
 
     A level splits while its best score exceeds the null quantile: each branch goes on with its own
     rows and those of the branch point, without taking out outliers again. Branches of fewer than
-    min_branch_rows rows, or too few for the nodes needed, are listed with run_flag false. The
-    work queue holds branches, the rows stay in tables.
+    min_branch_rows rows, or too few for the nodes needed, are listed with run_flag false. Branches
+    that cannot split, by depth or for want of a null distribution, are not analysed again.
+    ``null_scores`` is a table, or gives one for (n_ref_cells, n_points, n_dims) when a level needs
+    it, see ``null_tables``. The work queue holds branches, the rows stay in tables.
     """
     queue, levels = [("branch", cells, 0, options)], []
     top_nodes: DataFrame | None = None
@@ -67,9 +76,12 @@ def analyse_recursively(cells: DataFrame, options: Options, null_scores: DataFra
         n = run.cells.count()
         if top_nodes is None:
             top_nodes = cut(run.cells.select(KEY, F.col("node_id").alias("top_node")))
-        limit = score_limit(null_scores, opts.nodes_for(n), n, dim, opts.p_cutoff)
+        if n <= LEAST_POINTS or depth >= max_depth:
+            continue
+        nulls = null_scores(opts.nodes_for(n), n, dim) if callable(null_scores) else null_scores
+        limit = score_limit(nulls, opts.nodes_for(n), n, dim, opts.p_cutoff)
         best = run.scores.agg(F.max("score")).first()[0] or 0.0
-        if best <= limit or depth >= max_depth:
+        if best <= limit:
             continue
         placed = run.cells.join(run.branches, "node_id")
         names = [r[0] for r in run.branches.filter("branch > 0").select("branch").distinct().orderBy("branch").collect()]
@@ -80,7 +92,7 @@ def analyse_recursively(cells: DataFrame, options: Options, null_scores: DataFra
             n_part, child = part.count(), f"{stem}_{b}"
             big = n_part >= opts.min_branch_rows and n_part // 100 * 10 >= opts.min_nodes
             levels.append(part.select(F.lit(child).alias("stem"), F.lit(stem).alias("parent_stem"), F.lit(depth + 1).alias("depth"), F.lit(big).alias("run_flag"), KEY, (F.col("branch") == 0).alias("at_branch_point")))
-            if big:
+            if big and depth + 1 < max_depth and n_part > LEAST_POINTS:
                 queue.append((child, part.select(*rows.columns), depth + 1, opts.with_(outlier=0.0)))
     if not levels:
         empty = "stem string, parent_stem string, depth int, run_flag boolean, cell_id long, at_branch_point boolean, top_node long"
@@ -126,3 +138,17 @@ def null_table(spark: SparkSession, n_ref: int, n_points: int, n_dims: int, opti
         run = analyse(cloud, options.with_(n_ref_cells=n_ref, seed=options.seed + r))
         out.append((n_ref, n_points, n_dims, run.scores.agg(F.max("score")).first()[0]))
     return spark.createDataFrame(out, "n_ref_cells long, n_points long, n_dims long, score double")
+
+
+def null_tables(spark: SparkSession, options: Options) -> Callable[[int, int, int], DataFrame]:
+    """Null scores of the grid points that a run meets, each made once: 1001 or a power of two times 1000 points, next below."""
+    made: dict[tuple[int, int, int], DataFrame] = {}
+
+    def table(n_ref: int, n_points: int, n_dims: int) -> DataFrame:
+        doubled = 1000 * 2 ** ((n_points // 1000).bit_length() - 1)
+        point = n_ref, max(LEAST_POINTS + 1, doubled), n_dims
+        if point not in made:
+            made[point] = null_table(spark, *point, options)
+        return made[point]
+
+    return table

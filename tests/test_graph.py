@@ -155,3 +155,28 @@ def test_profiles_follow_the_branches_of_the_data(spark, tmp_path):
     assert sorted(map(tuple, arms)) == [(1,), (2,), (3,)]
     found = graphs.gp_profile(spark, str(tmp_path)).select("marker", "branch").distinct().collect()
     assert {tuple(r) for r in found} == {(f"e{i}", b) for i in range(64) for b in (2, 3)}
+
+
+def test_recursive_labels_reach_the_second_level(spark, tmp_path, monkeypatch):
+    from cloudfork.plans import graphs
+
+    # three arms from the middle; the first, with most rows, ends in three arms of its own
+    rng = np.random.default_rng(3)
+    n = 2600
+    x, arm, far = rng.normal(scale=0.05, size=(n, 64)), rng.choice(3, n, p=[0.7, 0.15, 0.15]), rng.uniform(0, 1, n)
+    x[np.arange(n), arm] += 10 * far
+    split = np.flatnonzero((arm == 0) & (far > 0.25))
+    x[split, 0] = 10 + rng.normal(scale=0.05, size=len(split))
+    x[split, 3 + rng.integers(0, 3, len(split))] += 10 * rng.uniform(0, 1, len(split))
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    asked = []
+
+    def nulls(spark, n_ref, n_points, n_dims, options, runs=10):
+        asked.append((n_ref, n_points, n_dims))
+        return spark.createDataFrame([(n_ref, n_points, n_dims, 0.0)], "n_ref_cells long, n_points long, n_dims long, score double")
+
+    monkeypatch.setattr(recursive, "null_table", nulls)
+    stems = {r.stem for r in graphs.recursive_labels(spark, str(tmp_path)).collect()}
+    assert any(s.count("_") >= 2 for s in stems), stems
+    assert asked[0] == (30, 2000, 64) and len(asked) == len(set(asked))
