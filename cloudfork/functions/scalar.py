@@ -89,36 +89,44 @@ def cube_root_bins(n: int) -> int:
     return k
 
 
+ROUND_WIDTHS = (1, 2, 3, 5, 10)  # fixed values: times a power of ten, the widths taken where the number of bins is free
+
+
+def _grains(count: int, power: int) -> float:
+    """``count`` times ten to the ``power``, as the double nearest to that decimal number."""
+    return float(count * 10**power) if power >= 0 else count / 10**-power
+
+
+def _in_grains(x: float, power: int) -> float:
+    return x / 10**power if power >= 0 else x * 10**-power
+
+
 def round_edges(lo: float, hi: float, bins: int | None, width: float | None = None) -> list[float]:
-    """Equal-width bin edges at round numbers that cover [lo, hi].
+    """Edges of equal bins that cover [lo, hi], all of them multiples of a power of ten.
 
-    With ``bins``, exactly that many: the left edge is a multiple of the leading digit of the
-    raw width, the bin width the least round one that still reaches ``hi``. Without, the width
-    is the round number (1, 2, 3 or 5 times a power of ten) next to ``width``. Nearly equal
-    ends give unit-wide bins around them.
+    With ``bins``, exactly so many: on the coarsest decimal grid on which none of them lies
+    beyond ``hi``, they begin at the last grid point up to ``lo`` and are as narrow as covers
+    ``hi``. Without, the width is the one of ROUND_WIDTHS nearest to ``width``, and there are as
+    many bins as are needed. If the ends are too close to tell bins apart, the bins share a unit
+    interval (or what doubles of that size resolve) from the whole number up to ``lo``.
     """
-    largest = max(abs(lo), abs(hi))
-    tiny = math.ulp(largest)
-    raw = max((hi - lo) / bins if width is None else width, tiny)
-    if hi - lo <= max(math.sqrt(tiny), 2.3e-308):
-        count = bins or 1
-        span = max(1, math.ceil(count * tiny))
-        left, right = math.floor(2 * (lo - span / 4)) / 2, math.ceil(2 * (hi + span / 4)) / 2
-        return [left, *(left + i * (right - left) / count for i in range(1, count)), right]
-    ten = 10.0 ** math.floor(math.log10(raw))
-    lead = raw / ten
+    if hi - lo <= (bins or 1) ** 2 * math.ulp(max(abs(lo), abs(hi))):
+        count, left = bins or 1, math.floor(lo)
+        span = max(1, math.ceil(hi) - left, math.ceil(4 * count * math.ulp(float(hi))))
+        return [left + i * span / count for i in range(count + 1)]
+    power = math.ceil(math.log10(hi - lo if bins else width))
     if bins is None:
-        step = ten * next((s for s, most in ((1, 1.5), (2, 2.5), (3, 4), (5, 7.5)) if lead < most), 10)
-        left = min(step * math.floor(lo / step), lo)
-        count = max(1, math.ceil((hi - left) / step))
+        step, power = min(((m, k) for k in (power - 1, power) for m in ROUND_WIDTHS), key=lambda c: abs(_grains(*c) - width))
+        first = math.floor(_in_grains(lo, power) / step) * step
+        count = max(1, math.ceil((_in_grains(hi, power) - first) / step))
     else:
-        count, step = bins, ten * math.floor(lead)
-        left = min(step * math.floor(lo / step), lo)
-        if bins > 1:
-            least, below = (hi - left) / bins, (hi - left) / (bins - 1)
-            grain = 10.0 ** math.floor(math.log10(below - least))
-            step = grain * math.ceil(least / grain)
-    return [left, *(left + i * step for i in range(1, count)), max(left + count * step, hi)]
+        count, step = bins, 0
+        while not step or _grains(first + (count - 1) * step, power) > hi:
+            power -= bool(step)
+            first = math.floor(_in_grains(lo, power))
+            step = max(1, math.ceil((_in_grains(hi, power) - first) / count))
+    edges = [_grains(first + i * step, power) for i in range(count + 1)]
+    return [min(edges[0], lo), *edges[1:-1], max(edges[-1], hi)]
 
 
 def bin_number(x: Column, edges: list[float]) -> Column:

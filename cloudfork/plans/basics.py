@@ -108,12 +108,17 @@ def marginal_histogram(spark, d):
     return contingency.histogram(t(spark, d, "events"), scalar.bin_number(y, [i / 2 for i in range(17)]), ["event_type"]).select("event_type", F.col("bin").cast("long").alias("bin"), "count")
 
 
-@query("""WITH s AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 20 AS raw FROM events),
-w AS (SELECT *, pow(10, floor(log10(raw))) * floor(raw / pow(10, floor(log10(raw)))) AS step FROM s),
-l AS (SELECT *, least(step * floor(lo / step), lo) AS lft FROM w),
-g AS (SELECT *, (hi - lft) / 20 AS ll, pow(10, floor(log10((hi - lft) / 19 - (hi - lft) / 20))) AS p10 FROM l),
-e AS (SELECT lft, p10 * ceil(ll / p10) AS bw FROM g)
-SELECT CAST(least(floor((value - lft) / bw), 19) + 1 AS BIGINT) AS bin, count(*) AS count FROM events, e GROUP BY ALL""")
+def grid_sql(table: str, value: str, bins: str) -> str:
+    """A SELECT of the left edges (a list) of so many round equal bins: of every power of ten the fit, and of these the coarsest whose last bin begins up to the largest value."""
+    at = "(first + {i} * step) * pow(10, greatest(p, 0)) / pow(10, greatest(-p, 0))"
+    return f"""SELECT max_by(list_transform(range(0, CAST(bins AS BIGINT)), lambda i: {at.format(i='i')}), p) AS edges FROM (
+SELECT *, greatest(1, ceil((hi / pow(10, greatest(p, 0)) * pow(10, greatest(-p, 0)) - first) / bins)) AS step FROM (
+SELECT *, floor(lo / pow(10, greatest(p, 0)) * pow(10, greatest(-p, 0))) AS first FROM (
+SELECT min({value})::DOUBLE AS lo, max({value})::DOUBLE AS hi, {bins} AS bins FROM {table}), (SELECT unnest(range(-9, 10)) AS p)
+WHERE p <= ceil(log10(hi - lo)))) WHERE {at.format(i='(bins - 1)')} <= hi"""
+
+
+@query(f"""WITH g AS ({grid_sql('events', 'value', '20')}) SELECT CAST(len(list_filter(edges, lambda q: q <= value)) AS BIGINT) AS bin, count(*) AS count FROM events, g WHERE value IS NOT NULL GROUP BY ALL""")
 def equal_width_bins(spark, d):
     """20 bins at round numbers over all event values."""
     return contingency.histogram(t(spark, d, "events"), scalar.bin_number(F.col("value"), _edges(spark, d, "events", "value", 20)), []).select(F.col("bin").cast("long").alias("bin"), "count")

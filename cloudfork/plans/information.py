@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cloudfork.functions import scalar
 from cloudfork.operators import information as info
 from cloudfork.operators import selection
+from cloudfork.plans.basics import grid_sql
 from cloudfork.session import read_table as t
 
 QUERIES: dict = {}
@@ -100,12 +101,11 @@ def binned_markers(spark: SparkSession, d: str) -> DataFrame:
     return df.select("l_returnflag", *[scalar.bin_number(F.col(m), scalar.round_edges(row[f"{m}0"], row[f"{m}1"], bins)).alias(m) for m in MARKERS])
 
 
+_CUBE_ROOT = "(SELECT count(*) FROM range(1, 10000) r(i) WHERE (i - 1) ** 3 < (SELECT count(*) FROM lineitem))"
+
+
 def _bin_sql(m: str) -> str:
-    return f"""b_{m} AS (WITH s AS (SELECT min({m}) AS lo, max({m}) AS hi, (SELECT count(*) FROM range(1, 10000) r(i) WHERE (i - 1) ** 3 < (SELECT count(*) FROM lineitem) AND i >= 1) AS k FROM lineitem),
-w AS (SELECT *, (hi - lo) / k AS raw FROM s), v AS (SELECT *, pow(10, floor(log10(raw))) * floor(raw / pow(10, floor(log10(raw)))) AS step FROM w),
-l AS (SELECT *, least(step * floor(lo / step), lo) AS lft FROM v), g AS (SELECT *, (hi - lft) / k AS ll, pow(10, floor(log10((hi - lft) / (k - 1) - (hi - lft) / k))) AS p10 FROM l),
-e AS (SELECT list_transform(range(0, k), lambda i: lft + i * (p10 * ceil(ll / p10))) AS edges FROM g)
-SELECT x, len(list_filter(edges, lambda q: q <= x)) AS bin FROM (SELECT DISTINCT {m} AS x FROM lineitem), e)"""
+    return f"""b_{m} AS (SELECT x, len(list_filter(edges, lambda q: q <= x)) AS bin FROM (SELECT DISTINCT {m} AS x FROM lineitem), ({grid_sql('lineitem', m, _CUBE_ROOT)}))"""
 
 
 _BINNED = ", ".join(_bin_sql(m) for m in MARKERS) + ", binned AS (SELECT l_returnflag, " + ", ".join(f"b{i}.bin AS m{i}" for i in range(4)) + " FROM lineitem " + " ".join(

@@ -27,13 +27,21 @@ def test_hazen(spark):
     assert quantiles.quantile_value(df.limit(0), "x", 0.5) is None
 
 
-@pytest.mark.parametrize("lo,hi,bins", [(0.0, 1.0, 10), (-3.2, 17.9, 7), (1.0, 50.0, 40), (2.0, 2.0, 5)])
+@pytest.mark.parametrize("lo,hi,bins", [(0.0, 1.0, 10), (-3.2, 17.9, 7), (1.0, 50.0, 40), (0.0, 0.08, 85), (-1e-7, 3e5, 3), (901.0, 104949.5, 19), (2.0, 3.0, 1)])
 def test_round_edges(lo, hi, bins):
     e = scalar.round_edges(lo, hi, bins)
-    assert len(e) == bins + 1 and e[0] <= lo and e[-1] >= hi and e[-2] <= hi or lo == hi
-    assert np.allclose(np.diff(e)[:-1], e[1] - e[0])
-    auto = scalar.round_edges(lo, hi, None, 0.3)
-    assert auto[0] <= lo and auto[-1] >= hi
+    assert len(e) == bins + 1 and e[0] <= lo and e[-1] >= hi and e[-2] <= hi
+    assert np.allclose(np.diff(e), (e[-1] - e[0]) / bins) and len(repr(e[1])) <= 9
+    auto = scalar.round_edges(lo, hi, None, (hi - lo) / 4.1)
+    assert auto[0] <= lo and auto[-1] >= hi and auto[-2] <= hi and np.allclose(np.diff(auto), auto[1] - auto[0])
+    assert f"{auto[1] - auto[0]:.3e}"[:5] in ("1.000", "2.000", "3.000", "5.000")
+
+
+def test_round_edges_by_hand():
+    assert scalar.round_edges(0.03, 0.97, 4) == [0.0, 0.3, 0.6, 0.9, 1.2]
+    assert scalar.round_edges(0.0, 1.0, None, 0.26) == [0.0, 0.3, 0.6, 0.9, 1.2]
+    assert scalar.round_edges(2.0, 2.0, 4) == [2.0, 2.25, 2.5, 2.75, 3.0]
+    assert scalar.round_edges(1e300, 1e300, 2)[0] <= 1e300 < scalar.round_edges(1e300, 1e300, 2)[1]
 
 
 def test_bin_number(spark):
