@@ -1,15 +1,15 @@
 """Grouping records into similarity clusters.
 
-Method: reciprocal-nearest-neighbour average linkage. A sparse graph holds links no
+Method: reciprocal-nearest-neighbour average linkage. A sparse graph holds every link no
 longer than the threshold; each round merges, in parallel, every pair of clusters that
 are each other's best, and averages the links that then run in parallel; it stops when
 no link is left within the threshold.
 
-The graph comes from the sharded vantage-point trees. Where pairs without a link count with
-a distance of their own, it holds every link within the threshold. Where only connections
-matter, it holds each vector's nearest links within the threshold, and besides, so that no
-connection is lost where more vectors than that lie within the threshold, the links of a
-spanning forest of each shard and its fringe.
+The links come from the sharded vantage-point trees, and the first rounds run where they are
+found: a shard sees all links of its own vectors, those to vectors of other shards included, so
+it merges its reciprocal pairs until all that are left have their best link outside. (Merging
+others can't bring a third cluster nearer, so such a pair would merge in any order of rounds.)
+What leaves the shard is one summed link for each two parts, not the pairs within them.
 """
 
 from __future__ import annotations
@@ -21,48 +21,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudfork.llm.neighbors import POINT, QUERY
-from cloudfork.llm.vectors import DIM, SHARD_ROWS, complete_cells, copies_rank, fit_router, lists, matrix
+from cloudfork.llm.vectors import (
+    COPY, DIM, POINT, QUERY, ROUTED, SHARD_ROWS, complete_cells, copies_rank, depth_for, fit_router, gathered, inner_routers, matrix, route_again, routed_rows,
+)
 from cloudfork.llm.vptree import SEARCHED, Router, Tree
 from cloudfork.session import cut, drop_cut
 
-COPY = 4  # a row that only says: this cell has the vector of that one
-_ROUTED = "shard int, role int, id long, of long, vec array<double>"
-_LINKS = "a long, b long, distance double, copy boolean"
-_ALL_LINKS = f"{_LINKS}, across boolean"
-
-
-def _routed(shard, role, ids, of, x) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shard, pa.int32()), pa.array(np.full(len(ids), role), pa.int32()), pa.array(ids, pa.int64()), pa.array(of, pa.int64()), lists(x)],
-        names=["shard", "role", "id", "of", "vec"],
-    )
+HELD = 2_000_000  # links that a shard holds at a time
+_PARTS = "a long, b long, w double, n long, member boolean"
 
 
 def _route(router: Router, dim: int, reach: float):
-    """One of the equal vectors of a batch goes to its shard and, as a query, to those within
-    ``reach``; the others go, spread by id, as copies of it."""
+    """Of equal vectors the one with the smallest id goes, with their number, to its shard and to those within ``reach``; the others say that they are copies of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, x = b.column("id").to_numpy(), matrix(b.column("vec"), dim)
+        for t in gathered(batches):
+            ids, x = t.column("id").to_numpy(), matrix(t.column("vec"), dim)
             rows, rank, first = copies_rank(ids, x)
             copy = rank > 0
-            if copy.any():
-                own = ids[rows[copy]]
-                yield _routed(-1 - own % 1024, COPY, own, first[copy], np.empty((len(own), 0)))
+            yield routed_rows(-1, COPY, ids[rows[copy]], first[copy], 1, 0.0, np.empty((copy.sum(), 0)))
+            size = np.diff(np.r_[np.flatnonzero(~copy), len(rows)])
             rows = rows[~copy]
             ids, x = ids[rows], x[rows]
             home = router.home(x)
-            yield _routed(home, POINT | QUERY, ids, ids, x)
-            if router.depth:
-                row, shard = router.visits(x, np.full(len(x), reach))
-                away = shard != home[row]
-                row, shard = row[away], shard[away]
-                if len(row):
-                    yield _routed(shard, QUERY, ids[row], ids[row], x[row])
+            yield routed_rows(home, POINT | QUERY, ids, ids, size, reach, x)
+            row, shard = router.visits(x, np.full(len(x), reach))
+            away = shard != home[row]
+            row, shard = row[away], shard[away]
+            if len(row):
+                yield routed_rows(shard, QUERY, ids[row], ids[row], size[row], reach, x[row])
 
     return run
 
@@ -81,133 +68,167 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join parts not joined before, one for each two parts, and the new labels."""
-    lo, hi = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-    apart = np.flatnonzero(lo != hi)
-    order = apart[np.lexsort((d[apart], hi[apart], lo[apart]))]
-    first = np.r_[True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])] if len(order) else np.empty(0, bool)
-    use = order[first]
-    return use, _components(len(label), lo[use], hi[use])[label] if len(use) else label
-
+class _Graph:
+    """The links between the vectors of a shard and its visitors, summed between the clusters that they form.
 
-def _links(dim: int, k: int, threshold: float):
-    def run(t: pa.Table) -> pa.Table:
-        role, ids = t.column("role").to_numpy(), t.column("id").to_numpy()
-        if len(role) and role[0] & COPY:
-            of = t.column("of").to_numpy()
-            a, b, d, copy = ids, of, np.zeros(len(ids)), np.ones(len(ids), bool)
-        else:
-            x = matrix(t.column("vec"), dim)
-            at, ask = (r[np.unique(ids[r], return_index=True)[1]] for r in (np.flatnonzero(role & POINT), np.flatnonzero(role & QUERY)))
-            empty = np.empty(0, int), np.empty(0, int), np.empty(0)
-            found = [empty]
-            if len(at) and len(ask):
-                tree, reach = Tree(x[at]), np.full(len(ask), threshold)
-                q, p, d = tree.nearest(x[ask], ids[ask], ids[at], k, reach)
-                found.append((ask[q], at[p], d))
-                full = np.flatnonzero(np.bincount(q, minlength=len(ask)) >= k)
-                label = _components(len(ids), ask[q], at[p])
-                for q, p, d in tree.within(x[ask[full]], reach[full]) if len(full) else ():
-                    q, p = ask[full[q]], at[p]
-                    use, label = _forest(label, q, p, d)
-                    found.append((q[use], p[use], d[use]))
-            q, p, d = (np.concatenate(y) for y in zip(*found))
-            a, b = np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p])
-            other = a != b
-            a, b, d, copy = a[other], b[other], d[other], np.zeros(other.sum(), bool)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array(d, pa.float64()), "copy": pa.array(copy)})
+    Nodes are numbered by id; ``own`` ones may merge. Of each two nodes a < b: the summed distance
+    w over n pairs of vectors, and the part (ew, en) of it that this shard passes on: every link
+    is passed on by the shard of its larger id.
+    """
 
-    return run
+    def __init__(self, size: np.ndarray, own: np.ndarray, threshold: float, missing: float | None):
+        self.vectors, self.size, self.own, self.threshold, self.missing = size, size.copy(), own, threshold, missing
+        self.label, self.linked, self.new, self.waiting = np.arange(len(size)), np.zeros(len(size), bool), [], 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.a = self.b = self.n = self.en = np.empty(0, int)
+        self.w = self.ew = np.empty(0)
+
+    def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> int:
+        """Takes links between single vectors, each once, a < b; gives how many links are held."""
+        self.linked[a] = self.linked[b] = True
+        self.new.append((a, b, d))
+        self.waiting += len(a)
+        return len(self.a) + self.waiting
+
+    def settle(self) -> None:
+        if self.new:
+            a, b, d = (np.concatenate(x) for x in zip(*self.new))
+            n, passed = self.vectors[a] * self.vectors[b], self.own[b]
+            self.new, self.waiting = [], 0
+            fresh = self.label[a], self.label[b], d * n, n, d * n * passed, n * passed
+            self._sum(*(np.concatenate(x) for x in zip((self.a, self.b, self.w, self.n, self.ew, self.en), fresh)))
+
+    def _sum(self, a, b, w, n, ew, en) -> None:
+        apart = a != b
+        key, at = np.unique((np.minimum(a, b) * len(self.size) + np.maximum(a, b))[apart], return_inverse=True)
+        self.a, self.b = key // len(self.size), key % len(self.size)
+        self.w, self.ew = (np.bincount(at, x[apart], len(key)) for x in (w, ew))
+        self.n, self.en = (np.bincount(at, x[apart], len(key)).astype(int) for x in (n, en))
+
+    def merge(self) -> None:
+        """Rounds of reciprocal best pairs among the own nodes, until there is none."""
+        while True:
+            pairs = self.size[self.a] * self.size[self.b]
+            mean = self.w / self.n if self.missing is None else (self.w + self.missing * (pairs - self.n)) / pairs
+            live = np.flatnonzero(mean <= self.threshold)
+            live = live[np.lexsort((self.b[live], self.a[live], mean[live]))]
+            a, b, place = self.a[live], self.b[live], np.arange(len(live))
+            best = np.full(len(self.size), len(live))
+            np.minimum.at(best, a, place)
+            np.minimum.at(best, b, place)
+            both = (best[a] == place) & (best[b] == place) & self.own[a] & self.own[b]
+            if not both.any():
+                return
+            to = np.arange(len(self.size))
+            to[b[both]] = a[both]
+            self.size[a[both]] += self.size[b[both]]
+            self.label = to[self.label]
+            self._sum(to[self.a], to[self.b], self.w, self.n, self.ew, self.en)
+
+    def reaching(self) -> np.ndarray:
+        """Which links belong to parts that reach into another shard."""
+        part = _components(len(self.size), self.a, self.b)
+        reaches = np.zeros(len(self.size), bool)
+        reaches[part[~self.own]] = True
+        return reaches[part[self.a]]
+
+
+def _rows(a, b, w, n, member: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.float64()), pa.array(n, pa.int64()), pa.array(np.full(len(a), member))],
+        names=["a", "b", "w", "n", "member"],
+    )
 
 
-def _every_link(dim: int, threshold: float):
-    """All links of a shard's points within the threshold, each from the query with the smaller id, block by block.
+def _parts(dim: int, threshold: float, missing: float | None):
+    """The clusters that a shard's own vectors form by themselves (member rows: cell a belongs to
+    node b), and the summed links from these to one another and to vectors of other shards.
 
-    Equal vectors have one home shard and visit the same others, so the smallest id among them
-    is the same everywhere; it alone is searched, and ``across`` says for which ids of other batches it stands.
+    Equal vectors have one home and visit the same shards, so the smallest id among them is the
+    same everywhere. With ``missing``, more than HELD links are passed on as they are, block by block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
-        role, ids = t.column("role").to_numpy(), t.column("id").to_numpy()
-        if role[0] & COPY:
-            yield _linked(ids, t.column("of").to_numpy(), np.zeros(len(ids)), True, False)
-            return
+        role, ids, sizes = (t.column(c).to_numpy() for c in ("role", "id", "size"))
         x = matrix(t.column("vec"), dim)
         rows, rank, first = copies_rank(ids, x)
         home = (role[rows] & POINT) > 0
+        start = np.flatnonzero(rank == 0)
+        size = np.add.reduceat(sizes[rows], start) if len(start) else np.empty(0, int)
+        order = np.argsort(ids[rows[start]])
+        node, own, size = rows[start][order], home[start][order], size[order]  # nodes by id
+        name = ids[node]
         same = home & (rank > 0)
-        if same.any():
-            yield _linked(ids[rows[same]], first[same], np.zeros(same.sum()), True, True)
-        at, ask = rows[home & (rank == 0)], rows[rank == 0]
+        at = np.flatnonzero(own)
         if not len(at):
             return
-        tree, queries = Tree(x[at]), x[ask]
-        order = np.concatenate([rows for _, _, rows in tree._home(queries)])
-        for i in range(0, len(order), SEARCHED):
-            some = order[i : i + SEARCHED]
-            for q, p, d in tree.within(queries[some], np.full(len(some), threshold)):
-                a, b = ids[ask[some[q]]], ids[at[p]]
-                use = a < b
-                if use.any():
-                    yield _linked(a[use], b[use], d[use], False, False)
-
-    return run
-
-
-def _linked(a: np.ndarray, b: np.ndarray, d: np.ndarray, copy: bool, across: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(np.full(len(a), copy)), pa.array(np.full(len(a), across))],
-        names=["a", "b", "distance", "copy", "across"],
-    )
-
+        graph, most = _Graph(size, own, threshold, missing), HELD
 
-def _one_vector(points: DataFrame) -> DataFrame:
-    """The points, where an id that was delivered with several vectors has the smallest of them."""
-    value = F.xxhash64(F.transform("vec", lambda x: x + 0.0))
-    mixed = cut(points.groupBy("id").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo <> hi").select("id"))
-    if mixed.isEmpty():
-        return points
-    one = points.join(mixed, "id", "left_semi").groupBy("id").agg(F.min("vec").alias("vec"))
-    return points.join(mixed, "id", "left_anti").unionByName(one)
+        def passed(keep: np.ndarray) -> pa.RecordBatch:
+            keep = keep & (graph.en > 0)
+            return _rows(name[graph.a[keep]], name[graph.b[keep]], graph.ew[keep], graph.en[keep], False)
 
+        tree, queries, whole = Tree(x[node[at]]), x[node], True
+        asked = np.concatenate([some for _, _, some in tree._home(queries)])
+        for i in range(0, len(asked), SEARCHED):
+            some = asked[i : i + SEARCHED]
+            for q, p, d in tree.within(queries[some], np.full(len(some), threshold)):
+                q, p = some[q], at[p]
+                use = (q < p) | ~own[q]  # a link between own vectors is found from both sides
+                q, p, d = q[use], p[use], d[use]
+                if not len(q) or graph.add(np.minimum(q, p), np.maximum(q, p), d) <= most:
+                    continue
+                graph.settle()
+                if missing is None:  # means of existing links only: any order of merging ends alike
+                    graph.merge()
+                    most = max(HELD, 2 * len(graph.a))
+                else:
+                    whole = False
+                    yield passed(np.ones(len(graph.a), bool))
+                    graph.clear()
+        graph.settle()
+        if whole:
+            graph.merge()
+        yield passed(graph.reaching() if whole else np.ones(len(graph.a), bool))
+        member = at[graph.linked[at] | (size[at] > 1)]
+        a = np.r_[name[member], ids[rows[same]]]
+        b = name[graph.label[np.r_[member, np.searchsorted(name, first[same])]]]
+        yield _rows(a, b, np.zeros(len(a)), np.zeros(len(a), int), True)
 
-def _all_links(points: DataFrame, router: Router, dim: int, threshold: float) -> DataFrame:
-    """(a, b, distance, copy): every link, and every copy with the one cell that stands for its vector in the whole table."""
-    # each link is reported from one side only, so the rounding of a gap must not keep that side away
-    routed = _one_vector(points).mapInArrow(_route(router, dim, threshold * (1 + 1e-9)), _ROUTED)
-    found = cut(routed.groupBy("shard").applyInArrow(_every_link(dim, threshold), _ALL_LINKS))
-    across = found.filter("across").select("a", "b")
-    stands = across.select(F.col("a").alias("via"), F.col("b").alias("whole"))
-    copies = found.filter("copy and not across").join(stands, F.col("b") == F.col("via"), "left").select("a", F.coalesce("whole", "b").alias("b"))
-    copies = copies.unionByName(across).filter("a <> b").distinct()
-    return found.filter("not copy").select("a", "b", "distance", "copy").unionByName(copies.select("a", "b", F.lit(0.0).alias("distance"), F.lit(True).alias("copy")))
+    return run
 
 
-def similarity_links(
-    cells: DataFrame, threshold: float, *, k: int | None = 16, id_col: str = "cell_id", vec_col: str = "all_data", dim: int = DIM, shard_rows: int = SHARD_ROWS
-) -> DataFrame:
-    """(a, b, distance, copy): a graph of links of at most ``threshold``.
+def similarity_parts(
+    cells: DataFrame, threshold: float, *, missing: float | None = None, id_col: str = "cell_id", vec_col: str = "all_data", dim: int = DIM, shard_rows: int = SHARD_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """(cell_id, node) of the cells that have a link or a copy, and the links (a, b, w, n) of at most ``threshold`` between nodes.
 
-    ``copy``: cell a has the vector of cell b, which stands for it. With a number ``k``, a
-    sparse graph in which the same cells are connected as by all links: at most k + 1 links a
-    cell and shard that it reaches, so it grows with the cells, not with their pairs. None:
-    every link between different vectors, and one cell stands for all equal ones of the table;
-    the graph grows with the pairs that lie within the threshold.
+    A node is a cluster that could be formed within one shard, under its smallest id; w is the
+    sum of the distances of n linked pairs of cells.
     """
     rows = cells.count()
-    points = complete_cells(cells, id_col, vec_col, dim)
-    router = fit_router(points, rows, dim, shard_rows, reach=threshold)
-    if k is None:
-        return _all_links(points, router, dim, threshold)
-    routed = points.mapInArrow(_route(router, dim, threshold), _ROUTED)
-    return routed.groupBy("shard").applyInArrow(_links(dim, k, threshold), _LINKS)
-
-
-def reciprocal_linkage(
-    links: DataFrame, threshold: float, missing: float | None = None, max_rounds: int = 100_000, sizes: DataFrame | None = None
-) -> DataFrame:
+    # an id counts once, with the smallest of its vectors
+    points = complete_cells(cells, id_col, vec_col, dim).groupBy("id").agg(F.min("vec").alias("vec"))
+    router = fit_router(points, rows, depth_for(points, rows, shard_rows), dim, reach=threshold)
+    routed = cut(points.mapInArrow(_route(router, dim, threshold), ROUTED))
+    placed = routed.filter(F.col("role") != COPY)
+    placed = route_again(placed, inner_routers(placed, dim, shard_rows, threshold), dim, shard_rows)
+    found = cut(placed.groupBy("shard").applyInArrow(_parts(dim, threshold, missing), _PARTS))
+    own = found.filter("member").select(F.col("a").alias("cell_id"), F.col("b").alias("node"))
+    of = own.select(F.col("cell_id").alias("rep"), "node")
+    copies = routed.filter(F.col("role") == COPY).select("id", "of").join(of, F.col("of") == F.col("rep"), "left").select(F.col("id").alias("cell_id"), F.coalesce("node", "of").alias("node"))
+    members = cut(own.unionByName(copies))
+    drop_cut(routed)
+    links = found.filter("not member").select("a", "b", "w", "n")
+    for side in ("a", "b"):
+        links = links.join(of, F.col(side) == F.col("rep"), "left").withColumn(side, F.coalesce("node", side)).drop("rep", "node")
+    return members, links
+
+
+def reciprocal_linkage(links: DataFrame, threshold: float, missing: float | None = None, max_rounds: int = 100_000, sizes: DataFrame | None = None) -> DataFrame:
     """(node, cluster_id): average linkage on a sparse graph (a, b, distance), by reciprocal best pairs.
 
     The distance of two clusters is the mean over their links; with ``missing``, pairs of
@@ -216,19 +237,29 @@ def reciprocal_linkage(
     clusters that are each other's nearest (ties by the smaller ids) within the threshold.
     cluster_id is the smallest node of a cluster; nodes without a link do not appear.
     """
-    one = F.lit(1).cast("long")
-    start = (
+    pairs = (
         links.filter((F.col("a") != F.col("b")) & (F.col("distance") <= threshold))
         .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .agg(F.min("distance").alias("w"))
     )
-    if sizes is None:
-        start = start.withColumns({"n": one, "sa": one, "sb": one})
-    else:
-        for side, size in (("a", "sa"), ("b", "sb")):
-            start = start.join(sizes.select(F.col("node").alias("of"), F.col("size").alias(size)), F.col(side) == F.col("of"), "left").withColumn(size, F.coalesce(size, one)).drop("of")
-        start = start.withColumn("n", F.col("sa") * F.col("sb")).withColumn("w", F.col("w") * F.col("n"))
-    start = cut(start)
+    weighted = _with_sizes(pairs, sizes)
+    return _linkage(weighted.withColumn("n", F.col("sa") * F.col("sb")).withColumn("w", F.col("w") * F.col("n")), threshold, missing, max_rounds)
+
+
+def _with_sizes(links: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    for side, size in (("a", "sa"), ("b", "sb")):
+        one = F.lit(1).cast("long")
+        if sizes is None:
+            links = links.withColumn(size, one)
+        else:
+            of = sizes.select(F.col("node").alias("of"), F.col("size").alias(size))
+            links = links.join(of, F.col(side) == F.col("of"), "left").withColumn(size, F.coalesce(size, one)).drop("of")
+    return links
+
+
+def _linkage(start: DataFrame, threshold: float, missing: float | None, max_rounds: int = 100_000) -> DataFrame:
+    """``reciprocal_linkage`` of summed links (a, b, w, n, sa, sb), a < b."""
+    start = cut(start.select("a", "b", "w", "n", "sa", "sb"))
     pairs = F.col("sa") * F.col("sb")
     mean = F.col("w") / F.col("n") if missing is None else (F.col("w") + missing * (pairs - F.col("n"))) / pairs
     edges, rounds = start, []
@@ -266,30 +297,22 @@ def reciprocal_linkage(
 
 
 def similarity_clusters(cells: DataFrame, threshold: float, *, missing: float | None = None, **graph) -> DataFrame:
-    """(cluster_id, cell_id) of every complete cell that has a link or a copy.
+    """(cluster_id, cell_id) of every complete cell that has a link or a copy; cluster_id is the smallest cell_id of the cluster.
 
     ``missing`` None: the mean over the links that exist, which never exceeds the threshold,
-    so that linked clusters merge until each is a whole transitively linked set. A number:
-    average linkage in which unlinked members count with that distance and hold clusters
-    apart; only pairs beyond the threshold are unlinked then, as every link within it is
-    searched for, whatever ``k``. Copies of a vector belong to the cluster of the cell that stands for them.
+    so that linked clusters merge until each is a whole transitively linked set. A number above
+    the threshold: average linkage in which unlinked members count with that distance and hold
+    clusters apart. Every link within the threshold counts, however many a cell has; equal means
+    go to the smaller ids. Copies of a vector count each for itself and belong together.
 
-    Cells without id or complete vector take no part; a repeated id counts once (with a
-    number, one that comes with several vectors has the smallest); an empty table gives no rows; extra columns are ignored.
+    Cells without id or complete vector take no part; a repeated id counts once, with the
+    smallest of its vectors; an empty table gives no rows; extra columns are ignored.
     """
-    if missing is not None:
-        graph["k"] = None
-    graph_links = cut(similarity_links(cells, threshold, **graph))
-    copies = graph_links.filter("copy").select(F.col("a").alias("cell"), F.col("b").alias("of")).distinct()
-    sizes = None if missing is None else copies.groupBy(F.col("of").alias("node")).agg((F.count("*") + 1).alias("size"))
-    labels = reciprocal_linkage(graph_links.filter("not copy"), threshold, missing, sizes=sizes)
-    of_copies = copies.join(labels, copies["of"] == labels["node"], "left").select(
-        F.coalesce("cluster_id", "of").alias("cluster"), F.col("cell").alias("cell_id")
-    )
-    alone = copies.select("of").distinct().join(labels, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("cluster"), F.col("of").alias("cell_id"))
-    members = labels.select(F.col("cluster_id").alias("cluster"), F.col("node").alias("cell_id")).unionByName(of_copies).unionByName(alone).distinct()
-    smallest = members.groupBy("cluster").agg(F.min("cell_id").alias("cluster_id"))
-    return members.join(smallest, "cluster").select("cluster_id", "cell_id")
+    members, links = similarity_parts(cells, threshold, missing=missing, **graph)
+    between = links.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    sizes = None if missing is None else members.groupBy("node").agg(F.count("*").alias("size"))
+    labels = _linkage(_with_sizes(between, sizes), threshold, missing).withColumnRenamed("node", "part")
+    return members.join(labels, F.col("node") == F.col("part"), "left").select(F.coalesce("cluster_id", "node").alias("cluster_id"), "cell_id")
 
 
 def cluster_profiles(

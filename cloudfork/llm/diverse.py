@@ -106,7 +106,8 @@ def varied_subset(
     wanted = size if size is not None else int(np.ceil(fraction * total))
     share = min(1.0, oversample * wanted / max(1, total))
     pool = cut(points.mapInArrow(_local(dim, share), "id long, vec array<double>"))
-    router = fit_router(pool, pool.count(), dim, region_rows)
+    pooled = pool.count()
+    router = fit_router(pool, pooled, max(0, int(np.ceil(np.log2(max(1, pooled / region_rows))))), dim)
     placed = pool.mapInArrow(_place(router, dim), "region int, id long, vec array<double>")
     ranked = cut(placed.groupBy("region").applyInArrow(_rerun(dim), "cell_id long, radius double"))
     return _largest(ranked, wanted)

@@ -4,6 +4,8 @@ Method: vantage-point trees per shard, with triangle-inequality pruning relaxed
 factor. A router (a vantage-point tree over a bounded sample) gives every vector its
 shard, so one shuffle brings the vectors of a region together; a query travels only to
 the shards whose region can hold something nearer than what it has. Factor 1 is exact.
+
+Equal vectors ask once for as many neighbours as any of them needs, and share the answer.
 """
 
 from __future__ import annotations
@@ -15,63 +17,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudfork.llm.vectors import DIM, SHARD_ROWS, complete_cells, copies_rank, fit_router, lists, matrix
+from cloudfork.llm.vectors import (
+    COPY, DIM, HOME, POINT, QUERY, ROUTED, SHARD_ROWS, complete_cells, copies_rank, depth_for, fit_router, gathered, inner_routers, matrix, route_again, routed_rows,
+)
 from cloudfork.llm.vptree import Router, Tree
-from cloudfork.session import cut
+from cloudfork.session import cut, drop_cut
 
-POINT, QUERY = 1, 2
 FACTOR = 1.6  # of the approximate search; its recall is measured in tests and README
-_ROUTED = "shard int, role int, id long, reach double, vec array<double>"
-
+_FOUND = "query_id long, neighbor_id long, distance double"
 
-def _routed(shard, role, ids, reach, x) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shard, pa.int32()), pa.array(role, pa.int32()), pa.array(ids, pa.int64()), pa.array(reach, pa.float64()), lists(x)],
-        names=["shard", "role", "id", "reach", "vec"],
-    )
 
-
-def _route_points(router: Router, dim: int, k: int, reach: float, self_join: bool):
-    """Each vector to its shard; in a self-join also, as a query, to the shards within ``reach``.
-
-    Of the copies of a vector within a batch only the k + 1 with the lowest ids travel:
-    no list of k neighbours can hold another one.
-    """
+def _route(router: Router, dim: int, k: int, reach: float, points: bool, asks: int, factor: float):
+    """Vectors to their home shard: as points (of equal vectors the k + 1 with the lowest ids, as no
+    list holds another one), and as queries (of equal ones the lowest id) in the role ``asks``, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, x = b.column("id").to_numpy(), matrix(b.column("vec"), dim)
-            rows, rank, _ = copies_rank(ids, x)
-            rows = rows[rank <= k]
+        for t in gathered(batches):
+            ids, x = t.column("id").to_numpy(), matrix(t.column("vec"), dim)
+            rows, rank, first = copies_rank(ids, x)
+            if asks:
+                copy = rank > 0
+                yield routed_rows(-1, COPY, ids[rows[copy]], first[copy], 1, 0.0, np.empty((copy.sum(), 0)))
+            travel = rank <= (k if points else 0)
+            rows, rank = rows[travel], rank[travel]
             ids, x = ids[rows], x[rows]
             home = router.home(x)
-            yield _routed(home, np.full(len(ids), POINT | QUERY * self_join), ids, np.full(len(ids), reach), x)
-            if self_join and np.isfinite(reach) and router.depth:
-                row, shard = router.visits(x, np.full(len(x), reach))
-                away = shard != home[row]
-                row, shard = row[away], shard[away]
-                if len(row):
-                    yield _routed(shard, np.full(len(row), QUERY), ids[row], np.full(len(row), reach), x[row])
+            yield routed_rows(home, POINT * points | np.where(rank == 0, asks, 0), ids, ids, 1, reach, x)
+            if asks & QUERY and router.depth:
+                one = np.flatnonzero(rank == 0)
+                row, shard = router.visits(x[one], np.full(len(one), reach / factor))
+                away = shard != home[one[row]]
+                row, shard = one[row[away]], shard[away]
+                yield routed_rows(shard, QUERY, ids[row], ids[row], 1, reach, x[row])
 
     return run
 
 
-def _route_queries(router: Router, dim: int, factor: float, first: bool):
-    """First: each query to its own shard. Later: to every other shard that may hold something nearer."""
+def _roam(router: Router, dim: int, factor: float, again: list[int]):
+    """Queries to every shard but their own (unless that is one of ``again``) that may hold something within their reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             ids, x, reach = b.column("id").to_numpy(), matrix(b.column("vec"), dim), b.column("reach").to_numpy()
-            home = router.home(x)
-            row, shard = (np.arange(len(x)), home) if first else router.visits(x, reach / factor)
-            if not first:
-                away = shard != home[row]
-                row, shard = row[away], shard[away]
-            yield _routed(shard, np.full(len(row), QUERY), ids[row], reach[row], x[row])
+            row, shard = router.visits(x, reach / factor)
+            away = (shard != router.home(x)[row]) | np.isin(shard, again)
+            row, shard = row[away], shard[away]
+            yield routed_rows(shard, QUERY, ids[row], ids[row], 1, reach[row], x[row])
 
     return run
 
@@ -82,13 +73,11 @@ def _search(dim: int, k: int, factor: float):
     def run(t: pa.Table) -> pa.Table:
         role, ids, reach = (t.column(c).to_numpy() for c in ("role", "id", "reach"))
         x = matrix(t.column("vec"), dim)
-        at, ask = (r[np.unique(ids[r], return_index=True)[1]] for r in (np.flatnonzero(role & POINT), np.flatnonzero(role & QUERY)))
+        at, ask = (r[np.unique(ids[r], return_index=True)[1]] for r in (np.flatnonzero(role & POINT), np.flatnonzero(role & (QUERY | HOME))))
         a, b, d = np.empty(0, int), np.empty(0, int), np.empty(0)
         if len(at) and len(ask):
-            a, b, d = Tree(x[at]).nearest(x[ask], ids[ask], ids[at], k, reach[ask], factor)
-        return pa.table(
-            {"query_id": pa.array(ids[ask[a]], pa.int64()), "neighbor_id": pa.array(ids[at[b]], pa.int64()), "distance": pa.array(d, pa.float64())}
-        )
+            a, b, d = Tree(x[at]).nearest(x[ask], None, ids[at], k, reach[ask], factor)
+        return pa.table({"query_id": pa.array(ids[ask[a]], pa.int64()), "neighbor_id": pa.array(ids[at[b]], pa.int64()), "distance": pa.array(d, pa.float64())})
 
     return run
 
@@ -121,31 +110,34 @@ def nearest_vectors(
 
     Defined cases: rows without id or with an incomplete or infinite vector take no part;
     a repeated id counts once; a vector is not its own neighbour, a copy with another id is
-    one at distance 0. Without ``queries``, of more than k + 1 copies of a vector the k + 1
-    with the lowest ids may stand for all: the lists of the others hold the same k lowest
-    ids and need not be given. An empty table gives no rows. Extra columns are ignored.
+    one at distance 0; every copy has its list. An empty table gives no rows. Extra columns are ignored.
     """
     rows = cells.count()
     points = complete_cells(cells, id_col, vec_col, dim)
-    router = fit_router(points, rows, dim, shard_rows, reach=max_distance)
-    schema = "query_id long, neighbor_id long, distance double"
-    if queries is None and np.isfinite(max_distance):
-        routed = points.mapInArrow(_route_points(router, dim, k, max_distance, True), _ROUTED)
-        return _top(routed.groupBy("shard").applyInArrow(_search(dim, k, factor), schema), k)
-    asked = points if queries is None else complete_cells(queries, id_col, vec_col, dim)
-    asked = asked.dropDuplicates(["id"]).withColumn("reach", F.lit(float(max_distance)))
-    placed = points.mapInArrow(_route_points(router, dim, k, max_distance, False), _ROUTED)
-    first = asked.mapInArrow(_route_queries(router, dim, factor, True), _ROUTED)
-    near = cut(placed.unionByName(first).groupBy("shard").applyInArrow(_search(dim, k, factor), schema))
-    if router.depth == 0:
-        return _top(near, k)
-    known = near.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
-    bounded = asked.join(known, asked["id"] == known["query_id"], "left").select(
-        "id", "vec", F.when(F.col("n") >= k, F.least("worst", "reach")).otherwise(F.col("reach")).alias("reach")
-    )
-    later = bounded.mapInArrow(_route_queries(router, dim, factor, False), _ROUTED)
-    more = placed.unionByName(later).groupBy("shard").applyInArrow(_search(dim, k, factor), schema)
-    return _top(near.unionByName(more), k)
+    router = fit_router(points, rows, depth_for(points, rows, shard_rows), dim, reach=max_distance)
+    once = np.isfinite(max_distance)
+    asks = QUERY if once else HOME
+    routed = points.mapInArrow(_route(router, dim, k, max_distance, True, asks if queries is None else 0, factor), ROUTED)
+    if queries is not None:
+        asked = complete_cells(queries, id_col, vec_col, dim)
+        routed = routed.unionByName(asked.mapInArrow(_route(router, dim, k, max_distance, False, asks, factor), ROUTED))
+    routed = cut(routed)
+    copies = cut(routed.filter(F.col("role") == COPY).select("id", "of"))
+    placed = routed.filter(F.col("role") != COPY)
+    inner = inner_routers(placed, dim, shard_rows, max_distance)
+    search = lambda df: df.groupBy("shard").applyInArrow(_search(dim, k + 1, factor), _FOUND)
+    near = cut(search(route_again(placed, inner, dim, shard_rows, factor)))
+    if not once and (router.depth or inner is not None):
+        known = near.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
+        own = placed.filter(F.col("role").bitwiseAND(HOME) > 0).select("id", "vec").dropDuplicates(["id"])
+        bounded = own.join(known, F.col("id") == F.col("query_id"), "left").select("id", "vec", F.when(F.col("n") > k, F.col("worst")).otherwise(float("inf")).alias("reach"))
+        again = [] if inner is None else [r[0] for r in inner.select("shard").collect()]  # some of the router's shards
+        later = bounded.mapInArrow(_roam(router, dim, factor, again), ROUTED)
+        searched = placed.filter(F.col("role").bitwiseAND(POINT) > 0).withColumn("role", F.lit(POINT))
+        near = cut(near.unionByName(search(route_again(searched.unionByName(later), inner, dim, shard_rows, factor))))
+    drop_cut(routed)
+    shared = near.join(copies, F.col("query_id") == F.col("of")).select(F.col("id").alias("query_id"), "neighbor_id", "distance")
+    return _top(near.unionByName(shared).filter("query_id <> neighbor_id"), k)
 
 
 def mutual_pairs(nearest: DataFrame) -> DataFrame:

@@ -24,11 +24,15 @@ GRADES = ("flesch_kincaid", "gunning_fog", "smog", "coleman_liau", "automated")
 
 _FENCE = regex.compile(r"^[ \t]*(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", regex.M | regex.S)
 _HTML = regex.compile(r"<(pre|code|blockquote)\b[^>]*>.*?(?:</\1\s*>|\Z)", regex.S | regex.I)
-_NOT_PROSE = regex.compile(r"`[^`\n]*`|\x1b\[[0-9;]*[A-Za-z]|\[[0-9;]{1,8}m|(?:https?|ftp)://\S+(?:[ \t]*\(dead link\))?|www\.\S+|<[^<>\n]{1,200}>")
+_NOT_PROSE = regex.compile(r"`[^`\n]*`|\x1b\[[0-9;]*[A-Za-z]|\[[0-9;]{1,8}m|(?:(?:https?|ftp)://|www\.)\S+(?:[ \t]*\([^()\n]{1,40}\))?|<[^<>\n]{1,200}>")
 _LINK = regex.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]*\)")
 _MARKS = regex.compile(r"^[ \t]*(?:[-*+•]|#{1,6}|\d{1,3}[.)])[ \t]+")
-#: A chain of main clauses counts as that many sentences (minimal terminable units).
-_ENDS = regex.compile(r"\b(?i:and|but|or) then\b|[.!?…。！？]+[\"'”’)\]]*(?=\s|$)|[。！？]")
+#: A sentence ends with its mark. A chain of main clauses counts as that many sentences (minimal terminable units): it is cut
+#: at semicolons, and at a coordinating conjunction before a sentence adverb or a pronoun that begins a clause.
+_ENDS = regex.compile(
+    r"[.!?…。！？]+[\"'”’)\]]*(?=\s|$)|[。！？]|;\s"
+    r"|\b(?i:(?:and|but|or|nor|so|yet)\s+(?=(?:then|now|also|still|there|here|i|you|he|she|it|we|they|this|that|these|those)\b))"
+)
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*")
 _CODE_WORD = regex.compile(r"[\p{Ll}]\p{Lu}|[_\d(){}<>=\\/|$]|\w\.\w{2,}")
 _VOWELS = regex.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿаеёиоуыэюя]+")
@@ -50,9 +54,9 @@ def syllables(word: str) -> int:
 def prose(text: str | None) -> list[str]:
     """The sentences of a text's own prose.
 
-    Fenced and indented blocks, inline code, links, tags and quoted lines are cut out. A
-    sentence ends with its mark, at a line's end unless the text is wrapped at a fixed
-    width, and where "and then" chains main clauses.
+    Fenced and indented blocks, inline code, links with a note in brackets behind them, tags and
+    quoted lines are cut out. A sentence ends with its mark, at a line's end unless the text is
+    wrapped at a fixed width, and where main clauses are chained.
     """
     text = _FENCE.sub("\n\n", (text or "").replace("\r\n", "\n").replace("\r", "\n"))
     text = _HTML.sub("\n\n", text)
@@ -72,14 +76,11 @@ def prose(text: str | None) -> list[str]:
 
 
 def _wrapped(paragraphs: list[list[str]], widest: int = 100) -> bool:
-    """Whether nine in ten line breaks within paragraphs are where the next word would not have fitted.
-
-    Two characters of slack allow for a word mistyped after the wrapping.
-    """
+    """Whether three in four line breaks within paragraphs are where the next word would not have fitted."""
     width = max((len(line) for p in paragraphs for line in p), default=0)
     breaks = [(a, b) for p in paragraphs for a, b in zip(p, p[1:])]
-    full = sum(len(a) + 1 + len(b.split(None, 1)[0]) + 2 > width for a, b in breaks)
-    return bool(breaks) and width <= widest and full >= 0.9 * len(breaks)
+    full = sum(len(a) + 1 + len(b.split(None, 1)[0]) > width for a, b in breaks)
+    return bool(breaks) and width <= widest and full >= 0.75 * len(breaks)
 
 
 def measures(text: str | None, cache: dict[str, int]) -> tuple[int, int, int, int, int]:

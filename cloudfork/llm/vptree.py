@@ -79,6 +79,7 @@ class Router:
     def visits(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, shard) of every shard whose region may hold a vector within ``reach``."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        reach = reach * (1 + 1e-9) + 1e-12  # the rounding of a gap must keep nothing away
         for _ in range(self.depth):
             gap = distances(x[row], self.centres[node]) - self.radii[node]
             left, right = gap <= reach[row], -gap <= reach[row]
@@ -204,19 +205,19 @@ class Tree:
     def nearest(self, queries, query_ids, point_ids, k: int, reach, factor: float = 1.0):
         """(query row, point row, distance) of the ``k`` nearest other points, ties by smaller id.
 
-        A point with the query's own id is no neighbour of it. Queries are searched leaf after
-        leaf, SEARCHED of them at a time, so that what a search holds stays small.
+        A point with the query's own id is no neighbour of it, if ids of the queries are given. Queries
+        are searched leaf after leaf, SEARCHED of them at a time, so that what a search holds stays small.
         """
         parts = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
         order = np.concatenate([rows for _, _, rows in self._home(queries)]) if len(queries) else np.empty(0, int)
         for i in range(0, len(order), SEARCHED):
             some = order[i : i + SEARCHED]
-            a, b, d = self._nearest(queries[some], query_ids[some], point_ids, k, reach[some], factor)
+            a, b, d = self._nearest(queries[some], None if query_ids is None else query_ids[some], point_ids, k, reach[some], factor)
             parts.append((some[a], b, d))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _nearest(self, queries, query_ids, point_ids, k: int, reach, factor: float):
-        bound, who = self.kth(queries, k + 1, reach, factor)
+        bound, who = self.kth(queries, k + (query_ids is not None), reach, factor)
         if factor > 1:
             a, b = np.nonzero(who >= 0)
             b = who[a, b]
@@ -233,8 +234,9 @@ class Tree:
             full = np.flatnonzero(bound < reach)
             blocks = [(full[p], q, r) for p, q, r in self.within(queries[full], reach[full], 1.0, bound[full])] if len(full) else []
             a, b, d = (np.concatenate(x) for x in zip((a[near], b[near], d[near]), *blocks))
-        other = query_ids[a] != point_ids[b]
-        a, b, d = a[other], b[other], d[other]
+        if query_ids is not None:
+            other = query_ids[a] != point_ids[b]
+            a, b, d = a[other], b[other], d[other]
         order = np.lexsort((point_ids[b], d, a))
         a, b, d = a[order], b[order], d[order]
         start = np.searchsorted(a, a)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from cloudfork.llm import clusters, diverse, neighbors
+from cloudfork.llm.vectors import complete_cells
 from cloudfork.llm.vptree import Router, Tree
 
 DATA = Path("/root/testdata/sf0.001")
@@ -79,6 +80,33 @@ def test_repeats_ties_copies_and_empty(spark):
     assert diverse.varied_subset(empty, 3, dim=3).count() == 0
 
 
+@pytest.mark.parametrize("reach", [1.0, math.inf])
+def test_every_copy_has_its_list_on_any_partitions(spark, reach):
+    rows = [(i, [0.0] * 3) for i in range(40)] + [(100 + i, [5.0, 0.3 * i, 0.0]) for i in range(4)]
+    lists = [sorted(map(tuple, neighbors.nearest_vectors(frame(spark, rows).repartition(n), 5, max_distance=reach, dim=3).collect())) for n in (1, 3, 40)]
+    assert lists[0] == lists[1] == lists[2]
+    assert len({r[0] for r in lists[0]}) == 44
+    assert [r[1] for r in lists[0] if r[0] == 30] == [0, 1, 2, 3, 4] and [r[1] for r in lists[0] if r[0] == 3] == [0, 1, 2, 4, 5]
+    asked = frame(spark, [(7, [0.0] * 3), (300, [0.0] * 3), (301, [0.0] * 3)])
+    found = {(r.query_id, r["rank"]): r.neighbor_id for r in neighbors.nearest_vectors(frame(spark, rows), 2, queries=asked, max_distance=reach, dim=3).collect()}
+    assert found == {(7, 1): 0, (7, 2): 1, (300, 1): 0, (300, 2): 1, (301, 1): 0, (301, 2): 1}
+
+
+def test_shards_that_are_too_large_are_split_again(spark, monkeypatch):
+    x = blobs(600, seed=12)
+    cells = frame(spark, as_rows(x))
+    for module in (neighbors, clusters):
+        monkeypatch.setattr(module, "depth_for", lambda *_: 1)
+    for reach in (math.inf, 0.3):
+        found = neighbors.nearest_vectors(cells, 4, max_distance=reach, dim=3, shard_rows=20).collect()
+        near = {(a, b) for a, b in brute(x, np.arange(600), range(600), 4) if math.dist(x[a], x[b]) <= reach}
+        assert {(r.query_id, r.neighbor_id) for r in found} == near
+    label = linked(x, 0.25)
+    size = np.bincount(label, minlength=len(x))
+    found = clusters.similarity_clusters(cells, 0.25, dim=3, shard_rows=20).collect()
+    assert {(r.cluster_id, r.cell_id) for r in found} == {(int(label[i]), i) for i in range(len(x)) if size[label[i]] > 1}
+
+
 def test_tree_and_router_miss_nothing():
     x = blobs(2000, seed=5)
     q, p, d = Tree(x).nearest(x, np.arange(2000), np.arange(2000), 3, np.full(2000, np.inf))
@@ -115,12 +143,14 @@ def linked(x, threshold):
         label = new
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 80])
-def test_linked_clusters(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, held", [(10_000, None), (80, None), (10_000, 100)])
+def test_linked_clusters(spark, shard_rows, held, monkeypatch):
+    if held:
+        monkeypatch.setattr(clusters, "HELD", held)
     x = np.r_[blobs(300, seed=6), np.tile([[9.0, 9.0, 9.0]], (40, 1))]  # 40 copies of one vector
     label = linked(x, 0.25)
     size = np.bincount(label, minlength=len(x))
-    found = clusters.similarity_clusters(frame(spark, as_rows(x) + DIRTY), 0.25, dim=3, shard_rows=shard_rows, k=4).collect()
+    found = clusters.similarity_clusters(frame(spark, as_rows(x) + DIRTY), 0.25, dim=3, shard_rows=shard_rows).collect()
     assert {(r.cluster_id, r.cell_id) for r in found} == {(int(label[i]), i) for i in range(len(x)) if size[label[i]] > 1}
 
 
@@ -149,8 +179,10 @@ def average_linkage(x, threshold, missing):
         members[a] += members.pop(b)
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 60])
-def test_average_linkage_counts_every_pair_within_the_threshold(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, held", [(10_000, None), (60, None), (10_000, 500), (60, 200)])
+def test_average_linkage_counts_every_pair_within_the_threshold(spark, shard_rows, held, monkeypatch):
+    if held:
+        monkeypatch.setattr(clusters, "HELD", held)  # links leave the shard as they are
     x = np.r_[np.random.default_rng(2).normal(0, 0.01, (150, 3)) + 20, blobs(250, seed=9)]  # a ball of 150, all near each other
     truth = average_linkage(x, 0.25, 0.5)
     assert max(map(len, truth.values())) == 150
@@ -236,6 +268,32 @@ def test_p1_found(spark, cells):
     assert {tuple(r) for r in queries.p1_found(spark, str(DATA)).collect()} == truth
 
 
+def test_p3_clusters(spark, cells):
+    """Against average linkage of every connected part by brute force."""
+    from cloudfork.llm import queries
+
+    ids, x = cells
+    label = linked(x, 0.25)
+    truth = []
+    for part in np.unique(label[np.bincount(label)[label] > 1]):
+        rows = np.flatnonzero(label == part)
+        truth += [(int(ids[rows[min(m)]]), len(m)) for m in average_linkage(x[rows], 0.25, 0.5).values()]
+    assert sorted((r.cluster_id, r["size"]) for r in queries.p3_clusters(spark, str(DATA)).collect()) == sorted(truth)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables here")
+def test_recall_of_p1_knn(spark):
+    """Over all queries of sf0.01, in several shards."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/all_struct.parquet")
+    good = {r["id"]: r["vec"] for r in complete_cells(rows).collect()}
+    ids = np.array(sorted(good))
+    x = np.array([good[i] for i in ids])
+    asked = [i for i in range(len(ids)) if ids[i] % 20 == 0]
+    truth = brute(x, ids, asked, 10)
+    found = neighbors.nearest_vectors(rows, 10, queries=rows.filter("cell_id % 20 = 0"), factor=neighbors.FACTOR, shard_rows=2500)
+    assert len({(r.query_id, r.neighbor_id) for r in found.collect()} & truth) >= 0.95 * len(truth)
+
+
 def test_p3_found(spark, cells):
     from cloudfork.llm import queries
 
