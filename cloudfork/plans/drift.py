@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cloudfork.session import read_table as t
 from cloudfork.sources import drift
@@ -25,8 +26,11 @@ def p5_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    markers = [r[0] for r in t(spark, d, "marker_catalog").select("marker").orderBy("marker_no").collect()]
-    return drift.consistent_table(t(spark, d, "raw_cells"), markers)
+    """The consistent table with each marker's canonical number (of its first value) and its tagged values as text."""
+    table = drift.consistent_table(t(spark, d, "raw_cells"), t(spark, d, "marker_catalog"))
+    markers = table.columns[4:-1]
+    numbers = [F.get(F.col(f"`{m}`"), F.lit(0))["number"].alias(f"{m}_number") for m in markers]
+    return table.select(*table.columns[:4], *numbers, *[drift.tags(F.col(f"`{m}`")).alias(f"{m}_tags") for m in markers], drift.tags(F.col("others"), True).alias("others"))
 
 
 def _key(name: str) -> str:
@@ -40,6 +44,8 @@ _KIND = "CASE WHEN value IS NULL THEN 'null' " + " ".join(
 _FILES = """files AS (SELECT file_id, h.run_id AS run_id, h.num_of_par AS num_of_par, h.acquired_at AS acquired_at,
  lag(file_id) OVER (PARTITION BY h.run_id ORDER BY h.acquired_at, file_id) AS previous_id
  FROM (SELECT file_id, max({'loaded_at': loaded_at, 'run_id': run_id, 'num_of_par': num_of_par, 'acquired_at': acquired_at}) AS h FROM fcshdr WHERE file_id IS NOT NULL GROUP BY file_id))"""
+_NUMBER = """CASE WHEN kind = 'nan' THEN 'nan'::DOUBLE WHEN kind = 'decimal_comma' THEN CAST(replace(trim(value), ',', '.') AS DOUBLE) WHEN kind IN ('integer', 'decimal', 'scientific') THEN CAST(trim(value) AS DOUBLE) END"""
+_INTEGER = "CASE WHEN kind = 'integer' THEN TRY_CAST(replace(trim(value), '+', '') AS BIGINT) END"
 _VALUES = f"""vals AS (SELECT raw_id, file_id, row_no, CAST(i AS INTEGER) AS position, all_markers[i] AS name, all_data[i] AS value
  FROM (SELECT *, unnest(range(1, 1 + greatest(len(all_markers), len(all_data)))) AS i FROM raw_cells)),
 tagged AS (SELECT raw_id, file_id, row_no, position, {_key('name')} AS path, {_KIND} AS kind, value FROM vals)"""
@@ -61,9 +67,15 @@ UNION ALL SELECT file_id, '*', 'count' FROM files LEFT JOIN (SELECT file_id, cou
 SELECT {_key(_NAME)} AS path, 'declared' AS origin, concat(coalesce(par_datatype, '?'), coalesce(CAST(par_bit AS VARCHAR), '?')) AS alternative, file_id FROM fcs_par
 UNION ALL SELECT path, 'observed', kind, file_id FROM tagged)
 SELECT path, origin, alternative, count(DISTINCT file_id) AS n_files, count(*) AS n_values, min(file_id) AS first_file FROM alls WHERE path IS NOT NULL GROUP BY ALL""",
-    "p5_values": f"""WITH {_VALUES} SELECT raw_id, file_id, row_no, position, path, kind,
-CASE WHEN kind = 'nan' THEN 'nan'::DOUBLE WHEN kind = 'decimal_comma' THEN CAST(replace(trim(value), ',', '.') AS DOUBLE) WHEN kind IN ('integer', 'decimal', 'scientific') THEN CAST(trim(value) AS DOUBLE) END AS number,
-CASE WHEN kind = 'text' THEN value END AS text FROM tagged""",
+    "p5_values": f"""WITH {_VALUES} SELECT raw_id, file_id, row_no, position, path, kind, {_INTEGER} AS integer, CASE WHEN {_INTEGER} IS NULL THEN {_NUMBER} END AS real,
+CASE WHEN kind = 'text' THEN value END AS text, {_NUMBER} AS number FROM tagged""",
+    "p5_table": f"""SELECT * FROM (PIVOT (WITH {_VALUES}, known AS (SELECT marker, {_key('marker')} AS key FROM marker_catalog),
+long AS (SELECT raw_id, marker, position, kind || ':' || coalesce(value, '') AS tag, {_NUMBER} AS x FROM tagged JOIN known ON path = key),
+per AS (SELECT raw_id, marker, arg_min({{'x': x}}, position) AS first, string_agg(tag, '|' ORDER BY position) AS tags FROM long GROUP BY ALL),
+rest AS (SELECT raw_id, string_agg(coalesce(path, '') || '=' || kind || ':' || coalesce(value, ''), '|' ORDER BY position) AS others FROM tagged WHERE path IS NULL OR path NOT IN (SELECT key FROM known) GROUP BY 1),
+wide AS (SELECT r.raw_id, r.file_id, r.row_no, lower(trim(r.all_labels)) AS all_labels, coalesce(others, '') AS others, k.marker, first.x AS number, tags
+ FROM raw_cells r CROSS JOIN known k LEFT JOIN per p ON p.raw_id = r.raw_id AND p.marker = k.marker LEFT JOIN rest o ON o.raw_id = r.raw_id)
+SELECT * FROM wide) ON marker USING any_value(number) AS number, any_value(tags) AS tags GROUP BY raw_id, file_id, row_no, all_labels, others)""",
     "p5_alternatives": f"""WITH {_VALUES}, {_FILES}, seen AS (SELECT DISTINCT file_id, path, kind AS alternative FROM tagged WHERE path IS NOT NULL AND kind <> 'null'),
 firsts AS (SELECT run_id, path, alternative, min({{'a': acquired_at, 'f': file_id}}) AS hit FROM seen JOIN files USING (file_id) GROUP BY ALL)
 SELECT run_id, path, alternative, hit.f AS file_id FROM (SELECT *, min(hit) OVER (PARTITION BY run_id, path) AS start FROM firsts) WHERE hit > start""",

@@ -1,11 +1,11 @@
 """Schemas that drift between files: one consistent table and a report of each change.
 
 Method: tagged-union inference. Every field path keeps all the alternatives seen for it:
-the types that files declare and the notations in which values are written. Parallel
+the names and types that files declare and the notations in which values are written. Parallel
 schemas are fused path by path; where alternatives conflict, a value goes to its typed
-branch (number or text) and, where it can be read as one, to the canonical number; the
-report names each alternative where it first appears, and each difference between a file
-and the one before it.
+branch (integer, real or text) and, where it can be read as one, to the canonical number; the
+report names each alternative where it first appears, and reads off the fused paths, in the
+order of files, where an alternative comes, goes or gives way to another.
 """
 
 from __future__ import annotations
@@ -66,12 +66,42 @@ def fields(par: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def file_order(header: DataFrame) -> DataFrame:
-    """(file_id, run_id, num_of_par, acquired_at, previous_id): one row a file, the latest delivery; ties by file_id."""
+    """(file_id, run_id, num_of_par, acquired_at, seq, next_id): one row a file, the latest delivery, numbered within its run; ties by file_id."""
     latest = header.filter("file_id is not null").groupBy("file_id").agg(
         F.max(F.struct("loaded_at", "run_id", "num_of_par", "acquired_at")).alias("h")
     ).select("file_id", "h.run_id", "h.num_of_par", "h.acquired_at")
     by = Window.partitionBy("run_id").orderBy("acquired_at", "file_id")
-    return latest.withColumn("previous_id", F.lag("file_id").over(by))
+    return latest.withColumns({"seq": F.row_number().over(by), "next_id": F.lead("file_id").over(by)})
+
+
+def declared_alternatives(par: DataFrame, order: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(run_id, marker, seq, file_id, next_id, alternative): the fused schema of each run. Each path, a catalog
+    marker, with the alternative (name, datatype, bit) of every file that has it; ``order`` is ``file_order``."""
+    own = fields(par, catalog).select("file_id", "marker", F.struct("name", "datatype", "bit").alias("alternative"))
+    return own.join(order.select("file_id", "run_id", "seq", "next_id"), "file_id")
+
+
+def alternative_changes(fused: DataFrame) -> DataFrame:
+    """(file_id, marker, change_kind): where, along the files of a run, a path's alternative comes, goes or gives way to another.
+
+    A file's alternative is compared with the one before it on the same path; a gap between their
+    numbers is a removal in the file after the earlier one and an addition in the later one.
+    """
+    path = Window.partitionBy("run_id", "marker").orderBy("seq")
+    seen = fused.select("*", F.lag(F.struct("seq", "alternative")).over(path).alias("last"), F.lead("seq").over(path).alias("next"))
+    follows, now, old = F.col("last.seq") == F.col("seq") - 1, F.col("alternative"), F.col("last.alternative")
+    retyped = ~(now["datatype"].eqNullSafe(old["datatype"]) & now["bit"].eqNullSafe(old["bit"]))
+
+    def change(when: Column, file: str, kind: str) -> Column:
+        return F.when(when, F.struct(F.col(file).alias("file_id"), F.lit(kind).alias("change_kind")))
+
+    changes = F.array(
+        change((F.col("seq") > 1) & ~F.coalesce(follows, F.lit(False)), "file_id", "added"),
+        change(F.col("next_id").isNotNull() & (F.coalesce("next", F.lit(0)) != F.col("seq") + 1), "next_id", "removed"),
+        change(follows & (now["name"] != old["name"]), "file_id", "renamed"),
+        change(follows & retyped, "file_id", "retyped"),
+    )
+    return seen.select("marker", F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c")).select("c.file_id", "marker", "c.change_kind")
 
 
 def schema_changes(par: DataFrame, header: DataFrame, runs: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -82,32 +112,25 @@ def schema_changes(par: DataFrame, header: DataFrame, runs: DataFrame, catalog:
     Files follow acquired_at within a run (nulls first, ties by file_id); files without a run
     are one group of their own. Empty tables give no rows; extra columns are ignored.
     """
-    own, order = fields(par, catalog), file_order(header)
-    pairs = order.filter("previous_id is not null").select("file_id", "previous_id")
-    now = pairs.join(own, "file_id").select("file_id", "marker", F.struct("name", "datatype", "bit").alias("now"))
-    before = pairs.join(own.withColumnRenamed("file_id", "previous_id"), "previous_id").select("file_id", "marker", F.struct("name", "datatype", "bit").alias("before"))
-    both = now.join(before, ["file_id", "marker"], "full")
-    retyped = ~(F.col("now.datatype").eqNullSafe(F.col("before.datatype")) & F.col("now.bit").eqNullSafe(F.col("before.bit")))
-    kinds = F.filter(
-        F.array(
-            F.when(F.col("before").isNull(), "added"),
-            F.when(F.col("now").isNull(), "removed"),
-            F.when(F.col("now.name") != F.col("before.name"), "renamed"),
-            F.when(F.col("now").isNotNull() & F.col("before").isNotNull() & retyped, "retyped"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    between = both.select("file_id", "marker", F.explode(kinds).alias("change_kind"))
+    order = file_order(header)
+    fused = declared_alternatives(par, order, catalog)
     known = catalog.select("marker", spelling_key(F.col("marker")).alias("key")).dropDuplicates(["key"])
     used = runs.select("run_id", F.explode("used_markers").alias("name")).withColumn("key", spelling_key(F.col("name"))).join(known, "key").select("run_id", "marker").distinct()
-    missing = order.join(used, "run_id").join(own.select("file_id", "marker"), ["file_id", "marker"], "left_anti").select("file_id", "marker", F.lit("missing").alias("change_kind"))
+    missing = order.join(used, "run_id").join(fused.select("file_id", "marker"), ["file_id", "marker"], "left_anti").select("file_id", "marker", F.lit("missing").alias("change_kind"))
     numbers = par.filter("file_id is not null").groupBy("file_id").agg(F.countDistinct("par_no").alias("n"))
     counted = order.join(numbers, "file_id", "left").filter(~F.col("num_of_par").eqNullSafe(F.coalesce("n", F.lit(0)).cast("int")))
-    return between.unionByName(missing).unionByName(counted.select("file_id", F.lit("*").alias("marker"), F.lit("count").alias("change_kind")))
+    return alternative_changes(fused).unionByName(missing).unionByName(counted.select("file_id", F.lit("*").alias("marker"), F.lit("count").alias("change_kind")))
+
+
+def typed_branches(value: Column, kind: Column) -> dict[str, Column]:
+    """integer, real or text: the branch of a value by its kind (whole numbers beyond 64 bits are real); number: the canonical conversion."""
+    number = canonical_number(value, kind)
+    integer = F.when(kind == "integer", F.trim(value).try_cast("bigint"))
+    return {"integer": integer, "real": F.when(integer.isNull(), number), "text": F.when(kind == "text", value), "number": number}
 
 
 def tagged_values(raw: DataFrame) -> DataFrame:
-    """(raw_id, file_id, row_no, position, name, path, kind, number, text): every value under its path.
+    """(raw_id, file_id, row_no, position, name, path, kind, integer, real, text, number): every value under its path.
 
     path is the spelling key; names and values pair by position, and the shorter side is
     padded with null. text holds what is neither number nor empty; rows without both arrays drop out.
@@ -118,7 +141,7 @@ def tagged_values(raw: DataFrame) -> DataFrame:
         "raw_id", "file_id", "row_no", (F.col("pos") + 1).alias("position"), F.col("col.name").alias("name"), F.col("col.value").alias("value")
     ).select(
         "raw_id", "file_id", "row_no", "position", "name", spelling_key(F.col("name")).alias("path"), kind.alias("kind"),
-        canonical_number(F.col("value"), kind).alias("number"), F.when(kind == "text", F.col("value")).alias("text"),
+        *[c.alias(name) for name, c in typed_branches(F.col("value"), kind).items()],
     )
 
 
@@ -149,25 +172,28 @@ def _has_path(key: str):
     return lambda e: e["path"] == key
 
 
-def consistent_table(raw: DataFrame, markers: list[str]) -> DataFrame:
-    """raw_id, file_id, row_no, all_labels, then for each marker a struct (number, text, kind), and the
-    other fields as ``others`` (path, number, text, kind): one schema for every file.
+def consistent_table(raw: DataFrame, catalog: DataFrame) -> DataFrame:
+    """raw_id, file_id, row_no, all_labels, then for each catalog marker an array of its values in the row, and the
+    other fields as ``others``: one schema for every file.
 
-    ``markers`` is the list of the catalog, a schema-sized list. A marker that a row has twice
-    keeps its first value; one that it lacks is null.
+    A value is a struct (path, kind, value, integer, real, text, number), value being the text as
+    delivered. A marker that a row has twice has both values, in order; one that it lacks is null.
+    The catalog is schema-sized: its names become columns.
     """
-    import re
 
     def entry(pair: Column) -> Column:
-        value = pair["all_data"]
-        kind = notation(value)
-        return F.struct(spelling_key(pair["all_markers"]).alias("path"), canonical_number(value, kind).alias("number"), F.when(kind == "text", value).alias("text"), kind.alias("kind"))
+        kind = notation(pair["all_data"])
+        branches = [c.alias(name) for name, c in typed_branches(pair["all_data"], kind).items()]
+        return F.struct(spelling_key(pair["all_markers"]).alias("path"), kind.alias("kind"), pair["all_data"].alias("value"), *branches)
 
-    keys = {m: re.sub("[^a-z0-9]", "", m.lower()) for m in markers}
+    keys = {r["marker"]: r["key"] for r in catalog.select("marker_no", "marker", spelling_key(F.col("marker")).alias("key")).orderBy("marker_no").collect()}
     tagged = raw.withColumn("_tagged", F.transform(F.arrays_zip("all_markers", "all_data"), entry))
-    columns = []
-    for marker, key in keys.items():
-        hit = F.get(F.filter("_tagged", _has_path(key)), F.lit(0))
-        columns.append(F.when(hit.isNotNull(), F.struct(hit["number"].alias("number"), hit["text"].alias("text"), hit["kind"].alias("kind"))).alias(marker))
+    found = {marker: F.filter("_tagged", _has_path(key)) for marker, key in keys.items()}
+    columns = [F.when(F.size(values) > 0, values).alias(marker) for marker, values in found.items()]
     others = F.filter("_tagged", lambda e: e["path"].isNull() | ~e["path"].isin(list(keys.values())))
     return tagged.select("raw_id", "file_id", "row_no", F.lower(F.trim("all_labels")).alias("all_labels"), *columns, others.alias("others"))
+
+
+def tags(values: Column, with_path: bool = False) -> Column:
+    """An array of tagged values as one text: kind:value, or path=kind:value, joined by |."""
+    return F.array_join(F.transform(values, lambda e: F.concat(*([F.coalesce(e["path"], F.lit("")), F.lit("=")] if with_path else []), e["kind"], F.lit(":"), F.coalesce(e["value"], F.lit("")))), "|")

@@ -116,6 +116,15 @@ def test_changes(spark):
     assert drift.schema_changes(par.limit(0), header.limit(0), runs, catalog).count() == 0
 
 
+def test_changes_of_a_path_with_gaps(spark):
+    """A marker in files 1, 2 and 4 of a run of five, with another type in file 2."""
+    order = [(i, 7, i, i + 1 if i < 5 else None) for i in range(1, 6)]
+    files = spark.createDataFrame(order, "file_id long, run_id long, seq int, next_id long")
+    alternatives = spark.createDataFrame([(1, ("a", "F", 32)), (2, ("a", "I", 32)), (4, ("a", "I", 32))], "file_id long, alternative struct<name string, datatype string, bit int>")
+    fused = alternatives.withColumn("marker", F.lit("m")).join(files, "file_id")
+    assert {tuple(r) for r in drift.alternative_changes(fused).collect()} == {(2, "m", "retyped"), (3, "m", "removed"), (4, "m", "added"), (5, "m", "removed")}
+
+
 def test_tagged_values(spark):
     raw = spark.createDataFrame(
         [(1, 1, 1, ["KD3", "x", "IgV-s", "n", "e", "s", "w"], ["1,5", "NaN", "abc", None, " ", "1e2", " 7.5"], "L"), (2, 1, 2, ["KD3"], None, None), (3, 1, 3, ["a", "b"], ["1"], "l")],
@@ -125,5 +134,11 @@ def test_tagged_values(spark):
     assert [r[0] for r in rows] == ["decimal_comma", "nan", "text", "null", "empty", "scientific", "decimal"]
     assert rows[0][1] == 1.5 and np.isnan(rows[1][1]) and rows[2][2] == "abc" and rows[5][1] == 100 and rows[6][1] == 7.5
     assert drift.tagged_values(raw).filter("raw_id = 3").count() == 2
-    table = drift.consistent_table(raw, ["KD3", "IgV-s"]).orderBy("raw_id").collect()
-    assert table[0]["KD3"]["number"] == 1.5 and table[0]["IgV-s"]["text"] == "abc" and len(table[0]["others"]) == 5 and table[1]["KD3"] is None
+    twice = raw.union(spark.createDataFrame([(4, 1, 4, ["KD3", "IgV-s", "kd3", "k(Lu175)Di"], ["7", "99999999999999999999", "8.5", "1"], "L")], raw.schema))
+    catalog = spark.createDataFrame([(1, "KD3"), (2, "Lu175Di-IgV-s")], "marker_no int, marker string")  # a catalog name may have its channel too
+    table = drift.consistent_table(twice, catalog).orderBy("raw_id").collect()
+    assert table[0]["KD3"][0]["number"] == 1.5 and table[0]["Lu175Di-IgV-s"][0]["text"] == "abc" and len(table[0]["others"]) == 5
+    assert table[1]["KD3"] is None and table[2]["KD3"] is None
+    assert [(v["integer"], v["real"], v["number"]) for v in table[3]["KD3"]] == [(7, None, 7.0), (None, 8.5, 8.5)]
+    assert (table[3]["Lu175Di-IgV-s"][0]["integer"], table[3]["Lu175Di-IgV-s"][0]["real"]) == (None, 1e20)
+    assert twice.count() == len(table) and drift.consistent_table(raw.limit(0), catalog).count() == 0
