@@ -5,20 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The folder of ``spark.checkpoint.dir`` (or one set on the context before) is
-    used as it is. Only a session that names none, as in tests, gets a new folder.
+    The folder of ``spark.checkpoint.dir`` (or one set on the context before) is used as it is.
+    Only a local session that names none, as in tests, gets a new folder; on a cluster it is an error.
     """
-    jsc = spark.sparkContext._jsc.sc()
+    context = spark.sparkContext
+    jsc = context._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return jsc.getCheckpointDir().get()
 
 
@@ -33,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows, counted while they are written."""
+    rows = Observation()
+    table = cut(df.observe(rows, F.count(F.lit(1)).alias("n")))
+    return table, rows.get["n"]
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame that ``cut`` returned; it can't be read any more."""
     spark = df.sparkSession
