@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudfork.llm.vectors import (
-    COPY, DIM, POINT, QUERY, ROUTED, SHARD_ROWS, complete_cells, copies_rank, depth_for, fit_router, gathered, inner_routers, matrix, route_again, routed_rows,
+    COPY, DIM, POINT, QUERY, ROUTED, SHARD_ROWS, by_shard, complete_cells, copies_rank, depth_for, fit_router, gathered, inner_routers, matrix, route_again, routed_rows,
 )
 from cloudfork.llm.vptree import SEARCHED, Router, Tree
-from cloudfork.session import cut, drop_cut
+from cloudfork.session import cut, cut_counted, drop_cut
 
 HELD = 2_000_000  # links that a shard holds at a time
 _PARTS = "a long, b long, w double, n long, member boolean"
@@ -216,7 +216,7 @@ def similarity_parts(
     routed = cut(points.mapInArrow(_route(router, dim, threshold), ROUTED))
     placed = routed.filter(F.col("role") != COPY)
     placed = route_again(placed, inner_routers(placed, dim, shard_rows, threshold), dim, shard_rows)
-    found = cut(placed.groupBy("shard").applyInArrow(_parts(dim, threshold, missing), _PARTS))
+    found = cut(by_shard(placed, router).applyInArrow(_parts(dim, threshold, missing), _PARTS))
     own = found.filter("member").select(F.col("a").alias("cell_id"), F.col("b").alias("node"))
     of = own.select(F.col("cell_id").alias("rep"), "node")
     copies = routed.filter(F.col("role") == COPY).select("id", "of").join(of, F.col("of") == F.col("rep"), "left").select(F.col("id").alias("cell_id"), F.coalesce("node", "of").alias("node"))
@@ -267,8 +267,9 @@ def _linkage(start: DataFrame, threshold: float, missing: float | None, max_roun
         live = edges.withColumn("d", mean).filter(F.col("d") <= threshold)
         half = live.select(F.explode(F.array("a", "b")).alias("c"), F.struct("d", "a", "b", "sa", "sb").alias("pair"))
         best = half.groupBy("c").agg(F.min("pair").alias("pair"))
-        merges = cut(best.groupBy("pair").count().filter("count = 2").select(F.col("pair.b").alias("old"), F.col("pair.a").alias("new"), (F.col("pair.sa") + F.col("pair.sb")).alias("size")))
-        if merges.isEmpty():
+        both = best.groupBy("pair").count().filter("count = 2")
+        merges, merged = cut_counted(both.select(F.col("pair.b").alias("old"), F.col("pair.a").alias("new"), (F.col("pair.sa") + F.col("pair.sb")).alias("size")))
+        if not merged:
             break
         rounds.append(merges)
         # both clusters of a pair get the smaller id and the common size

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudfork.llm.tokens import VOCABULARY, encode_corpus
-from cloudfork.session import cut
+from cloudfork.session import cut, drop_cut
 
 BLOCK_TOKENS = 256
-SHARD_SLOTS, MOST_SHARDS = 1024, 8192  # a shard has SHARD_SLOTS slots, or more where else there were more shards
+SHARD_SLOTS = 1024
+BUNCH = 1024  # shards that a task draws; the driver draws whole bunches
 BUCKET_DOCS = 20_000  # documents whose offsets one window computes
 
 
@@ -80,11 +81,8 @@ def _permuted(i: str, n: str, key: Column) -> Column:
     return F.pandas_udf(run, "long")(i, n, key)
 
 
-def shard_counts(blocks: dict[str, int], slots: int, seed: int) -> pd.DataFrame:
-    """(shard, source, count, before): the draw of each shard, and the source's slots in earlier ones.
-
-    A table of shards times sources, drawn from totals only; no record comes near the driver.
-    """
+def shard_counts(blocks: dict[str, int], slots: int, seed: int | list[int]) -> pd.DataFrame:
+    """(shard, source, count, before): the draw of each shard of ``slots`` slots, and the source's slots in earlier ones."""
     names, left = sorted(blocks), np.array([blocks[s] for s in sorted(blocks)], np.int64)
     rng, before, rows, shard = np.random.default_rng(seed), np.zeros(len(left), np.int64), [], 0
     while left.sum() > 0:
@@ -121,15 +119,34 @@ def _prepare(documents: DataFrame, targets: DataFrame, block_tokens: int, path:
     per_source = blocks.groupBy("source").agg(F.sum(F.size("ids").cast("long")).alias("source_tokens"), F.count("*").alias("source_blocks"))
     others = encoded.join(targets.select(clean_source(F.col("source")).alias("source")).distinct(), "source", "left_anti").filter("source is not null")
     rest = others.groupBy("source").agg(F.sum(F.size("ids").cast("long")).alias("source_tokens"), F.lit(0).cast("long").alias("source_blocks"))
-    return blocks, cut(plan_targets(per_source.unionByName(rest), targets, corpus_tokens))
+    plan = cut(plan_targets(per_source.unionByName(rest), targets, corpus_tokens))
+    drop_cut(encoded)
+    return blocks, plan
+
+
+def _drawn(bunches: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """The draw of every shard, from that of its bunch: both come from totals only."""
+
+    def shards(pdf: pd.DataFrame) -> pd.DataFrame:
+        bunch = int(pdf["shard"].iloc[0])
+        inner = shard_counts(dict(zip(pdf["source"], pdf["count"])), shard_slots, [seed, bunch])
+        inner["shard"] += bunch * BUNCH
+        inner["before"] += inner["source"].map(dict(zip(pdf["source"], pdf["before"])))
+        return inner
+
+    return bunches.groupBy("shard").applyInPandas(shards, "shard long, source string, count long, before long")
 
 
-def _slots(blocks: DataFrame, plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+def _slots(blocks: DataFrame, plan: DataFrame, shard_slots: int, seed: int, exact: bool) -> DataFrame:
     spark = blocks.sparkSession
-    # sources with a target: as many rows as the target table
-    wanted = {r["source"]: r["slots"] for r in plan.filter("slots > 0").collect()}
-    drawn = shard_counts(wanted, max(shard_slots, -(-sum(wanted.values()) // MOST_SHARDS)), seed)
-    counts = spark.createDataFrame(drawn, "shard long, source string, count long, before long")
+    rows = plan.filter("slots > 0").orderBy("source").collect()  # sources with a target: as many rows as the target table
+    wanted = {r["source"]: r["slots"] for r in rows}
+    if not exact and wanted:
+        total = sum(wanted.values())
+        draw = np.random.default_rng(seed).multinomial(total, [n / total for n in wanted.values()])
+        wanted = {r["source"]: min(int(n), r["max_repeats"] * r["source_blocks"]) for r, n in zip(rows, draw)}
+    bunches = spark.createDataFrame(shard_counts(wanted, shard_slots * BUNCH, seed), "shard long, source string, count long, before long")
+    counts = cut(_drawn(bunches, shard_slots, seed))
     slots = counts.select("shard", "source", F.explode(F.expr("sequence(before, before + count - 1)")).alias("i"))
     sized = slots.join(plan.select("source", "source_blocks"), "source").withColumns(
         {"repeat": F.floor(F.col("i") / F.col("source_blocks")), "block_no": F.pmod("i", "source_blocks")}
@@ -139,28 +156,29 @@ def _slots(blocks: DataFrame, plan: DataFrame, shard_slots: int, seed: int) -> D
 
 
 def mix_sources(
-    documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = 11, path: str = VOCABULARY
+    documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = 11, exact: bool = True, path: str = VOCABULARY
 ) -> DataFrame:
     """(shard, position, source, repeat, block_no, ids): the mixed corpus, block by block.
 
     repeat counts from 0 and stays below max_repeats; no block of a source comes again before
     all its blocks came. position is a pseudorandom order within the shard. Documents with
     null or unnamed source, and null or empty texts, give no block (they count towards the
-    corpus total that total_fraction refers to); an empty table gives no rows.
+    corpus total that total_fraction refers to); an empty table gives no rows. ``exact`` holds the
+    multinomial to the targets' whole numbers of blocks; without, it is drawn freely, up to max_repeats.
     """
     blocks, plan = _prepare(documents, targets, block_tokens, path)
-    slots = _slots(blocks, plan, shard_slots, seed)
+    slots = _slots(blocks, plan, shard_slots, seed, exact)
     order = Window.partitionBy("shard").orderBy(F.xxhash64("shard", "source", "i", F.lit(seed)), "source", "i")
     placed = slots.withColumn("position", F.row_number().over(order))  # at most shard_slots rows a shard
     return placed.join(blocks, ["source", "block_no"]).select("shard", "position", "source", "repeat", "block_no", "ids")
 
 
-def mix_report(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = 11, path: str = VOCABULARY) -> DataFrame:
+def mix_report(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = 11, exact: bool = True, path: str = VOCABULARY) -> DataFrame:
     """(source, target_share, max_repeats, source_tokens, target_tokens, actual_tokens, actual_share, repeats, shortfall_tokens)
     of each source with a target or with documents; counted from the slots' own blocks."""
     blocks, plan = _prepare(documents, targets, block_tokens, path)
     sizes = blocks.select("source", "block_no", F.size("ids").cast("long").alias("n"))
-    used = _slots(blocks, plan, shard_slots, seed).join(sizes, ["source", "block_no"]).groupBy("source").agg(
+    used = _slots(blocks, plan, shard_slots, seed, exact).join(sizes, ["source", "block_no"]).groupBy("source").agg(
         F.sum("n").alias("actual_tokens"), (F.max("repeat") + 1).alias("repeats")
     )
     total = Window.partitionBy(F.lit(1))  # over the sources

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudfork.llm.vectors import (
-    COPY, DIM, HOME, POINT, QUERY, ROUTED, SHARD_ROWS, complete_cells, copies_rank, depth_for, fit_router, gathered, inner_routers, matrix, route_again, routed_rows,
+    COPY, DIM, HOME, POINT, QUERY, ROUTED, SHARD_ROWS, by_shard, complete_cells, copies_rank, depth_for, fit_router, gathered, inner_routers, matrix, route_again, routed_rows,
 )
 from cloudfork.llm.vptree import Router, Tree
 from cloudfork.session import cut, drop_cut
@@ -38,17 +38,19 @@ def _route(router: Router, dim: int, k: int, reach: float, points: bool, asks: i
             if asks:
                 copy = rank > 0
                 yield routed_rows(-1, COPY, ids[rows[copy]], first[copy], 1, 0.0, np.empty((copy.sum(), 0)))
+            start = np.flatnonzero(rank == 0)
+            size = np.repeat(np.diff(np.r_[start, len(rank)]), np.diff(np.r_[start, len(rank)]))
             travel = rank <= (k if points else 0)
-            rows, rank = rows[travel], rank[travel]
+            rows, rank, size = rows[travel], rank[travel], size[travel]
             ids, x = ids[rows], x[rows]
             home = router.home(x)
-            yield routed_rows(home, POINT * points | np.where(rank == 0, asks, 0), ids, ids, 1, reach, x)
+            yield routed_rows(home, POINT * points | np.where(rank == 0, asks, 0), ids, ids, size, reach, x)
             if asks & QUERY and router.depth:
                 one = np.flatnonzero(rank == 0)
                 row, shard = router.visits(x[one], np.full(len(one), reach / factor))
                 away = shard != home[one[row]]
                 row, shard = one[row[away]], shard[away]
-                yield routed_rows(shard, QUERY, ids[row], ids[row], 1, reach, x[row])
+                yield routed_rows(shard, QUERY, ids[row], ids[row], size[row], reach, x[row])
 
     return run
 
@@ -67,8 +69,9 @@ def _roam(router: Router, dim: int, factor: float, again: list[int]):
     return run
 
 
-def _search(dim: int, k: int, factor: float):
-    """The k nearest points of a shard for each of its queries; an id counts once."""
+def _search(dim: int, k: int, factor: float, once: bool):
+    """The k nearest points of a shard for each of its queries; an id counts once. With ``once``,
+    a vector without copies isn't listed under itself: no other would share that answer."""
 
     def run(t: pa.Table) -> pa.Table:
         role, ids, reach = (t.column(c).to_numpy() for c in ("role", "id", "reach"))
@@ -77,6 +80,8 @@ def _search(dim: int, k: int, factor: float):
         a, b, d = np.empty(0, int), np.empty(0, int), np.empty(0)
         if len(at) and len(ask):
             a, b, d = Tree(x[at]).nearest(x[ask], None, ids[at], k, reach[ask], factor)
+            use = (ids[ask[a]] != ids[at[b]]) | (t.column("size").to_numpy()[ask[a]] > 1) | (not once)
+            a, b, d = a[use], b[use], d[use]
         return pa.table({"query_id": pa.array(ids[ask[a]], pa.int64()), "neighbor_id": pa.array(ids[at[b]], pa.int64()), "distance": pa.array(d, pa.float64())})
 
     return run
@@ -125,7 +130,7 @@ def nearest_vectors(
     copies = cut(routed.filter(F.col("role") == COPY).select("id", "of"))
     placed = routed.filter(F.col("role") != COPY)
     inner = inner_routers(placed, dim, shard_rows, max_distance)
-    search = lambda df: df.groupBy("shard").applyInArrow(_search(dim, k + 1, factor), _FOUND)
+    search = lambda df: by_shard(df, router).applyInArrow(_search(dim, k + 1, factor, once), _FOUND)
     near = cut(search(route_again(placed, inner, dim, shard_rows, factor)))
     if not once and (router.depth or inner is not None):
         known = near.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))

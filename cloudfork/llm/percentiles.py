@@ -12,6 +12,7 @@ partitions, days or runs combine by ``merge_sketches``.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 K = 512
 SHRINK = 2 / 3
+FAN_IN = 512
 _SKETCH = "position int, n long, least double, greatest double, levels array<array<double>>"
 
 
@@ -66,9 +68,8 @@ def quantile(levels: list[np.ndarray], q: float) -> float:
 
 
 def _seeded(*parts) -> np.random.Generator:
-    import zlib
-
-    return np.random.default_rng(zlib.crc32(repr(parts).encode()))
+    """Coins that depend on the values sketched only, so that a task that runs again throws the same."""
+    return np.random.default_rng([zlib.crc32(p if isinstance(p, bytes) else repr(p).encode()) for p in parts])
 
 
 def _column(sketches: list[list[np.ndarray]]) -> pa.Array:
@@ -113,7 +114,7 @@ def _sketch(names: list[str], k: int, flush_rows: int):
         order = np.argsort(key, kind="stable")
         key, row, position, flat = key[order], row[order], position[order], flat[order]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
-        rng, sketches, ends = _seeded(part, t.num_rows), [], ([], [])
+        rng, sketches, ends = _seeded(part, flat.tobytes()), [], ([], [])  # coins of its own for every partition
         for x in np.split(flat, start[1:]) if len(start) else []:
             ends[0].append(x.min()), ends[1].append(x.max())
             sketches.append(compress([x], rng, k))
@@ -135,11 +136,11 @@ def _sketch(names: list[str], k: int, flush_rows: int):
 
 def _merged(names: list[str], k: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        rng = _seeded([repr(x.as_py()) for x in key], t.num_rows)
         positions, counts = t.column("position").to_numpy(), t.column("n").to_numpy()
         ends = t.column("least").to_numpy(), t.column("greatest").to_numpy()
         levels = t.column("levels").combine_chunks()
         order = np.lexsort((ends[1], ends[0], counts, positions))
+        rng = _seeded([repr(x.as_py()) for x in key], *(x[order].tobytes() for x in (counts, *ends)))
         out = [], [], [], ([], [])
         for rows in np.split(order, np.flatnonzero(np.diff(positions[order])) + 1):
             sketch: list[np.ndarray] = []
@@ -173,21 +174,17 @@ def quantile_sketches(df: DataFrame, vec_col: str, by: list[str], *, k: int = K,
     return merge_sketches(rows.mapInArrow(_sketch(names, k, flush_rows), schema), names, k=k)
 
 
-def merge_sketches(sketches: DataFrame, by: list[str], *, k: int = K, salt: int | None = None) -> DataFrame:
+def merge_sketches(sketches: DataFrame, by: list[str], *, k: int = K, fan_in: int = FAN_IN) -> DataFrame:
     """Sketches combined to the groups ``by``, for instance days to labels.
 
-    Where more than 512 partitions may each hold a sketch of the same group, the group is
-    first combined in ``salt`` parts, so that no task gets all of a hot group's sketches.
+    Those of ``fan_in`` neighbouring partitions are combined first, so that no task gets all of
+    the sketches of a hot group, however many partitions there are.
     """
-    names = list(by)
-    if salt is None:
-        salt = -(-int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 512)
+    names, parts = list(by), [*by, "part"]
     sketches = sketches.select(*names, "position", "n", "least", "greatest", "levels")
-    if salt > 1:
-        parts = [*names, "part"]
-        salted = sketches.withColumn("part", F.pmod(F.xxhash64("n", "least", "greatest"), F.lit(salt)).cast("int"))
-        sketches = salted.groupBy(*parts).applyInArrow(_merged(parts, k), _schema(salted, parts)).drop("part")
-    return sketches.groupBy(*names).applyInArrow(_merged(names, k), _schema(sketches, names))
+    near = sketches.withColumn("part", F.floor(F.spark_partition_id() / fan_in).cast("int"))
+    first = near.groupBy(*parts).applyInArrow(_merged(parts, k), _schema(near, parts)).drop("part")
+    return first.groupBy(*names).applyInArrow(_merged(names, k), _schema(sketches, names))
 
 
 def _answer(levels, q: list[float]):

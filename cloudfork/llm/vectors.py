@@ -19,7 +19,7 @@ from cloudfork.llm.vptree import Router
 from cloudfork.session import cut
 
 DIM = 12
-SHARD_ROWS = 65_536  # points that a shard should hold
+SHARD_ROWS = 131_072  # points that a shard should hold
 LEAST_ROWS = 2_000  # fewer aren't worth a shard of their own, even if cores are idle
 SAMPLE_ROWS = 131_072  # bound of a sample from which a router is fitted
 GATHERED = 131_072  # rows of a partition that are looked at together
@@ -108,6 +108,13 @@ def routed_rows(shard, role, ids, of, size, reach, x) -> pa.RecordBatch:
     )
 
 
+def by_shard(routed: DataFrame, router: Router):
+    """The rows grouped by shard, spread over so many tasks that few get two shards."""
+    spark = routed.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * 2**router.depth)
+    return routed.repartition(tasks, "shard").groupBy("shard")
+
+
 def inner_routers(routed: DataFrame, dim: int, shard_rows: int, reach: float, sample_rows: int = SAMPLE_ROWS) -> DataFrame | None:
     """(shard, depth, centres, radii, n) for the shards that got over four times ``shard_rows`` points; None if none did."""
     points = routed.filter(F.col("role").bitwiseAND(POINT) > 0)

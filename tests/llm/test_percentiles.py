@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloudfork.llm import percentiles as p
 
@@ -33,8 +34,8 @@ def test_days_combine_to_labels(spark):
     rows = [("a" if i % 3 else "b", i % 7, [float(i % 1000), None if i % 5 else float(i)]) for i in range(30_000)]
     df = spark.createDataFrame(rows, "g string, n int, v array<double>").withColumnRenamed("n", "day").repartition(5)
     days = p.quantile_sketches(df, "v", ["g", "day"])
-    for salt in (1, 3):
-        got = {(r.g, r.position, r.q_pct): r for r in p.sketch_quantiles(p.merge_sketches(days, ["g"], salt=salt), [0, 50, 95, 100]).collect()}
+    for fan_in in (1, 512):
+        got = {(r.g, r.position, r.q_pct): r for r in p.sketch_quantiles(p.merge_sketches(days, ["g"], fan_in=fan_in), [0, 50, 95, 100]).collect()}
         assert len(got) == 16
         for (g, position, q), r in got.items():
             values = np.array([v[position - 1] for k, _, v in rows if k == g and v[position - 1] is not None])
@@ -45,6 +46,15 @@ def test_days_combine_to_labels(spark):
                 assert rank_error(values, r.value, q / 100) <= 0.01
 
 
+def test_partitions_throw_coins_of_their_own(spark):
+    """Errors of 64 partitions of equal size cancel: merged, far below the bound of one sketch."""
+    df = spark.range(0, 64 * 4000, 1, 64).select(F.array(F.randn(5)).alias("v"))
+    values = np.sort([r[0][0] for r in df.collect()])
+    asked = list(range(5, 100, 5))
+    got = {r.q_pct: r.value for r in p.sketch_quantiles(p.quantile_sketches(df, "v", [], k=128), asked).collect()}
+    assert np.mean([rank_error(values, got[q], q / 100) for q in asked]) < 0.003
+
+
 def test_dirty_groups(spark):
     df = spark.createDataFrame(
         [(None, [1.0, math.nan]), (None, [3.0]), ("x", None), ("x", []), ("x", [math.inf, -math.inf, 5.0]), ("y", [None, None])], "levels string, vec array<double>"

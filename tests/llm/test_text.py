@@ -85,6 +85,11 @@ def test_mixing(spark):
     assert report["absent"].actual_tokens == 0 and report["absent"].shortfall_tokens > 0
     assert report["other"].actual_tokens == 0 and report["other"].source_tokens > 0
     assert sum(r.actual_share for r in report.values()) == pytest.approx(1)
+    free = Counter()
+    for r in mixing.mix_sources(documents, targets, block_tokens=64, shard_slots=20, exact=False).collect():
+        free[r.source] += 1
+        assert r.repeat < {"big": 1, "small": 3}[r.source]
+    assert free["big"] > 0 and free["small"] > 0
     assert mixing.mix_sources(documents.limit(0), targets).count() == 0
     assert mixing.mix_sources(documents, targets.limit(0)).count() == 0
 
@@ -114,6 +119,14 @@ def test_levels_order_texts_and_ignore_what_is_not_prose(spark):
     assert by[7][0] == 500 * by[1][0]
 
 
+def test_chained_clauses_are_not_one_sentence():
+    clauses = ["the cat sat down", "it slept", "we left", "he came back late"]
+    for joint in ("; ", " and then ", " and ", ", but ", " so "):
+        assert len(reading.prose("First of all " + clauses[0] + "".join(joint + c for c in clauses[1:]) + ".")) == 4
+    assert reading.prose("Bread and butter or jam, salt and pepper.") == ["Bread and butter or jam, salt and pepper"]
+    assert reading.prose("See https://example.org/a?b=c (a note) for more. See www.example.org (gone).") == ["See   for more", "See"]
+
+
 @pytest.mark.parametrize("word, n", [("cat", 1), ("table", 2), ("banana", 3), ("walked", 1), ("wanted", 2), ("reading", 2), ("readability", 5), ("nation", 2), ("horses", 2), ("strength", 1)])
 def test_syllables(word, n):
     assert reading.syllables(word) == n
@@ -147,4 +160,5 @@ def test_labels_held_out(spark):
     assert len(pairs) > 20
     assert np.mean([abs(a - b) <= 1 for a, b in pairs]) >= 0.95
     top = [(a == 5, b == 5) for a, b in pairs]
-    assert sum(a and b for a, b in top) >= 0.7 * sum(a for a, _ in top)
+    assert sum(a and b for a, b in top) >= 0.9 * sum(a for a, _ in top)
+    assert sum(a and b for a, b in top) >= 0.9 * sum(b for _, b in top)

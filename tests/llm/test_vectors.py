@@ -242,6 +242,25 @@ def test_subset_covers_and_does_not_follow_the_large_group(spark):
     assert away(picked) < np.median(chance)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables here")
+@pytest.mark.parametrize("partitions, region_rows", [(1, 4000), (8, 4000), (40, 4000), (8, 200)])
+def test_subset_covers_nearly_as_one_greedy_selection(spark, partitions, region_rows):
+    cells = complete_cells(spark.read.parquet("/root/testdata/sf0.01/all_struct.parquet")).dropDuplicates(["id"]).toPandas()
+    x, ids = np.stack(cells["vec"]), cells["id"].to_numpy()
+    greedy, _ = diverse.farthest_first(x, int(np.ceil(0.01 * len(x))))
+
+    def coverage(rows):
+        y = x[rows]
+        return max(np.sqrt(np.maximum(((x[i : i + 500, None] - y[None]) ** 2).sum(axis=2), 0).min(axis=1)).max() for i in range(0, len(x), 500))
+
+    dealt = spark.createDataFrame(cells.rename(columns={"id": "cell_id", "vec": "all_data"})).repartition(partitions)
+    picked = [r.cell_id for r in diverse.varied_subset(dealt, region_rows=region_rows).collect()]
+    assert len(picked) == len(greedy)
+    ratio = coverage(np.flatnonzero(np.isin(ids, picked))) / coverage(greedy)
+    print(f"{partitions} partitions, regions of {region_rows}: {ratio:.2f} times the covering radius of one greedy selection")
+    assert ratio <= (1.2 if region_rows == 4000 else 1.3)
+
+
 def test_subset_of_copies_counts_a_vector_once(spark):
     cells = frame(spark, [(i, [float(i % 4), 0.0, 0.0]) for i in range(200)])
     got = diverse.varied_subset(cells, 10, dim=3).collect()
