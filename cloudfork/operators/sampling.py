@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudfork.functions.quantiles import quantile_value
@@ -51,20 +51,27 @@ def exact_sample(df: DataFrame, key: str, size: int, draw: Column) -> DataFrame:
     return df.orderBy(draw, key).limit(size)
 
 
-def one_per_node(cells: DataFrame, node: str, key: str, n_trees: int, seed: int = 73) -> DataFrame:
+def one_per_node(cells: DataFrame, node: str, key: str, n_trees: int, seed: int = 73, draw: Column | None = None) -> DataFrame:
     """(tree_id, node, key): for every tree one random row of each node.
 
     Each row draws for every tree and the smallest draw wins; the minimum is partly
     aggregated before the shuffle, so a node with a third of all rows meets no single task.
+    ``draw`` may be any number made of tree_id and the row's columns.
     """
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")
-    drawn = cells.select(F.col(node), F.col(key), trees).withColumn("draw", F.xxhash64(F.lit(seed), "tree_id", node, key))
+    drawn = cells.select(F.col(node), F.col(key), trees).withColumn("draw", F.xxhash64(F.lit(seed), "tree_id", node, key) if draw is None else draw)
     best = drawn.groupBy("tree_id", node).agg(F.min(F.struct("draw", key)).alias("b"))
     return best.select("tree_id", node, F.col(f"b.{key}").alias(key))
 
 
+def portable_tree_draw(key: Column, tree: Column, seed: int = 73) -> Column:
+    """A draw for ``one_per_node`` by products of whole numbers, which any SQL engine can repeat."""
+    start = F.pmod(key.cast("long") * F.lit(1103515245).cast("long") + F.lit(seed * 12345).cast("long"), F.lit(2147483648).cast("long"))
+    return F.pmod((start + 1) * (tree.cast("long") * 7919 + 1), F.lit(2147483647).cast("long"))
+
+
 def above_share(df: DataFrame, group: list[str], share: float = 0.01, least: int = 2) -> DataFrame:
     """(group..., count) of the groups with at least ``least`` rows and more than ``share`` of all rows."""
     counts = df.groupBy(*group).count()
-    total = Window.partitionBy(F.lit(1))  # over groups
-    return counts.withColumn("_all", F.sum("count").over(total)).filter((F.col("count") >= least) & (F.col("count") > share * F.col("_all"))).drop("_all")
+    total = counts.agg(F.sum("count").alias("_all"))
+    return counts.crossJoin(total).filter((F.col("count") >= least) & (F.col("count") > share * F.col("_all"))).drop("_all")  # one row

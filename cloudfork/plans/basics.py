@@ -86,11 +86,11 @@ def joint_state_arity(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", state.alias("state"))
 
 
-@query("""SELECT o_orderkey, trim(regexp_replace(regexp_replace(o_orderpriority, '^[0-9]+-', ''), '_', ' ', 'g')) AS name, length(o_orderpriority) - length(replace(o_orderpriority, '-', '')) AS dashes, upper(o_orderstatus) AS status FROM orders""")
+@query("""SELECT o_orderkey, o_orderpriority AS name, length(o_orderpriority) - length(replace(o_orderpriority, '-', '')) AS dashes, upper(o_orderstatus) AS status FROM orders""")
 def string_functions(spark, d):
     p = F.col("o_orderpriority")
     return t(spark, d, "orders").select(
-        "o_orderkey", F.trim(F.regexp_replace(F.regexp_replace(p, "^[0-9]+-", ""), "_", " ")).alias("name"), (F.length(p) - F.length(F.replace(p, F.lit("-"), F.lit("")))).cast("long").alias("dashes"), F.upper("o_orderstatus").alias("status")
+        "o_orderkey", scalar.plain_marker(F.concat(F.lit("170Er_"), p)).alias("name"), (F.length(p) - F.length(F.replace(p, F.lit("-"), F.lit("")))).cast("long").alias("dashes"), F.upper("o_orderstatus").alias("status")
     )
 
 
@@ -167,10 +167,25 @@ def hash_sample(spark, d):
     return sampling.exact_sample(t(spark, d, "events"), "event_id", 500, sampling.portable_uniform(F.col("event_id"))).select("event_id")
 
 
-@query()
+TREE_DRAW = "((vec_id * 1103515245::BIGINT + 73 * 12345) % 2147483648 + 1) * (tree_id * 7919 + 1) % 2147483647"
+DRAWN_SQL = f"""(SELECT tree_id, node_id, vec_id FROM (SELECT tree_id, node_id, vec_id, row_number() OVER (PARTITION BY tree_id, node_id ORDER BY {TREE_DRAW}, vec_id) AS r
+FROM (SELECT vec_id, label * 3 + vec_id % 3 AS node_id FROM embeddings), (SELECT unnest(range(0, 20)) AS tree_id)) WHERE r = 1)"""
+
+
+def tree_nodes(df: DataFrame) -> DataFrame:
+    """With node_id: each label in three parts."""
+    return df.withColumn("node_id", F.col("label").cast("long") * 3 + F.col("vec_id") % 3)
+
+
+def tree_draws(cells: DataFrame, n_trees: int) -> DataFrame:
+    """(tree_id, node_id, vec_id): for each tree one random row of every node."""
+    return sampling.one_per_node(cells, "node_id", "vec_id", n_trees, draw=sampling.portable_tree_draw(F.col("vec_id"), F.col("tree_id")))
+
+
+@query(f"SELECT CAST(tree_id AS INTEGER) AS tree_id, node_id, vec_id FROM {DRAWN_SQL}")
 def one_row_per_node(spark, d):
-    """For each of 20 trees one random row of every label."""
-    return sampling.one_per_node(t(spark, d, "embeddings"), "label", "vec_id", 20)
+    """For each of 20 trees one random row of every node."""
+    return tree_draws(tree_nodes(t(spark, d, "embeddings")), 20)
 
 
 @query("SELECT l_suppkey, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND count(*) > 0.0001 * (SELECT count(*) FROM lineitem)")
@@ -187,9 +202,11 @@ def semi_join_branch(spark, d):
     return t(spark, d, "orders").join(chosen, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')")
 def anti_join_outliers(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order in process."""
+    urgent = t(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
+    return t(spark, d, "customer").join(urgent, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -289,9 +306,12 @@ def anova_f_stat(spark, d):
     return a.select("marker", F.round("f_stat", 4).alias("f_stat"), "df_between", "df_within")
 
 
-@query()
+@query(f"""SELECT marker, round(p, 9) + 0.0 AS p, round(p / 4, 9) + 0.0 AS p_divided, round(least(1.0, p * 4), 9) + 0.0 AS p_bonferroni FROM (
+SELECT marker, pow(1 + 2 * f_stat / df_within, -df_within / 2.0) AS p FROM ({_ANOVA.replace(', 4) AS f_stat', ', 12) AS f_stat')}))""")
 def anova_p_values(spark, d):
-    return contingency.anova(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag")
+    """With three groups the tail of F has a closed form: (1 + 2 F / m) ** (-m / 2), m within the groups."""
+    a = contingency.anova(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag")
+    return a.select("marker", *[(F.round(c, 9) + 0.0).alias(c) for c in ("p", "p_divided", "p_bonferroni")])
 
 
 # windows and sets

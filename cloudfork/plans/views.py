@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cloudfork.functions.scalar import minmax_scaled
 from cloudfork.operators import contingency, information
 from cloudfork.plans import graphs
+from cloudfork.plans.basics import tree_nodes
 from cloudfork.plans.distances import cells, centroids
 from cloudfork.session import read_table as t
 from cloudfork.sources import tables
@@ -55,7 +56,7 @@ def long_markers(spark, d):
 @query()
 def view_marker_values(spark, d):
     """Node marker values scaled to [0, 1] on the layout."""
-    nodes = centroids(cells(spark, d))
+    nodes = centroids(tree_nodes(cells(spark, d)), "node_id")
     long = nodes.select("node_id", F.posexplode("features").alias("marker", "value"))
     return minmax_scaled(long, "value", ["marker"], "scaled").join(graphs.layout_xy(spark, d), "node_id")
 
@@ -66,11 +67,11 @@ def view_contingency(spark, d):
     return s.select("l_linestatus", "l_returnflag", F.round("column_share", 9).alias("column_share"))
 
 
-@query()
+@query(f"WITH RECURSIVE {graphs._SQL_PARTS} SELECT CAST(node_id AS BIGINT) AS node_id, round(score, 9) AS score, round(cume_dist() OVER (ORDER BY round(score, 9)), 9) AS ecdf FROM scores")
 def view_score_distribution(spark, d):
     """Branching scores with their empirical distribution."""
     scores = graphs.branching_scores(spark, d)
-    return scores.join(contingency.distribution(scores, "score", []), "score")
+    return scores.join(contingency.distribution(scores, "score", []), "score").withColumn("ecdf", F.round("ecdf", 9))
 
 
 @query()
