@@ -1,42 +1,42 @@
-"""Exact quantiles by rank selection, without sorting a whole group in one task."""
+"""Exact quantiles with plotting positions (k - 0.5) / n, per group, without sorting the groups."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+ACCURACY = 100_000
 
 
-def hazen_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, bins: int = BINS) -> DataFrame:
+def hazen_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """(by..., p, quantile): quantiles with plotting positions (k - 0.5) / n and linear interpolation.
 
-    A histogram of each group finds the bins that hold the wanted ranks; only the distinct
-    values of those bins are ranked, with their counts. Null and NaN values are left out,
-    a null group is a group, ties and a single value are fine, an empty table gives no rows.
+    One pass bounds the wanted values: sketches, whose rank error is at most n / ``accuracy``, answer
+    a little below and above each rank. The next counts what lies below the lower bound and each
+    distinct value between the two, some 6 n / ``accuracy``, which alone are ranked; so outliers and
+    ties don't matter. Null and NaN values are left out, a null group is a group, a single value is
+    fine, an empty table gives no rows.
     """
     by = list(by or [])
+    if not probs:
+        raise ValueError("no probabilities")
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
     clean = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    ends = clean.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))).otherwise(0)
-    binned = clean.join(ends, "g").select("g", "v", place.cast("int").alias("bin"))
-    running = Window.partitionBy("g").orderBy("bin")
-    hist = binned.groupBy("g", "bin").count().withColumn("upto", F.sum("count").over(running))
+    slack = 3 / accuracy
+    ends = F.percentile_approx("v", [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))], accuracy)
+    bounds = clean.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), ends.alias("e"))
     position = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.col("n") * F.col("p") + 0.5))
-    wanted = (
-        ends.select("g", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-        .select("g", "n", "p", F.floor(position).alias("k"), (position - F.floor(position)).alias("part"))
-        .select("g", "p", "part", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("k").alias("rank")), F.struct(F.lit(1).alias("side"), F.least(F.col("k") + 1, F.col("n")).alias("rank")))))
-    )
-    found = wanted.join(hist, "g").filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("count")))
-    found = found.select("g", "p", "part", "side", "bin", (F.col("rank") - (F.col("upto") - F.col("count"))).alias("inner"))
-    values = binned.join(found.select("g", "bin").distinct(), ["g", "bin"], "left_semi").groupBy("g", "bin", "v").count()
-    ranked = values.withColumn("upto", F.sum("count").over(Window.partitionBy("g", "bin").orderBy("v")))
-    picked = found.join(ranked, ["g", "bin"]).filter((F.col("inner") <= F.col("upto")) & (F.col("inner") > F.col("upto") - F.col("count")))
-    low, high = F.max(F.when(F.col("side") == 0, F.col("v"))), F.max(F.when(F.col("side") == 1, F.col("v")))
-    out = picked.groupBy("g", "p").agg((low + (high - low) * F.max("part")).alias("quantile"))
-    return out.select(*[F.col("g")[c].alias(c) for c in by], "p", "quantile")
+    few = F.col("n") * slack < 4  # too few rows for the bounds to lie a rank apart: all are ranked
+    lo = [F.when(few | F.lit(p <= slack), F.col("least")).otherwise(F.col("e")[2 * i]) for i, p in enumerate(probs)]
+    hi = [F.when(few | F.lit(p >= 1 - slack), F.col("most")).otherwise(F.col("e")[2 * i + 1]) for i, p in enumerate(probs)]
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("p"), lo[i].alias("lo"), hi[i].alias("hi")) for i, p in enumerate(probs)])
+    wanted = bounds.select("g", "n", F.inline(asked)).select("g", "p", "lo", "hi", F.floor(position).alias("k"), F.least(F.floor(position) + 1, F.col("n")).alias("k2"), (position - F.floor(position)).alias("part"))
+    # null stands for everything below the lower bound
+    counts = clean.join(wanted.select("g", "p", "lo", "hi"), "g").filter("v <= hi").groupBy("g", "p", F.expr("if(v >= lo, v, null)").alias("v")).count()
+    ranked = counts.withColumn("upto", F.sum("count").over(Window.partitionBy("g", "p").orderBy(F.asc_nulls_first("v"))))
+    hit = lambda k: (F.col(k) <= F.col("upto")) & (F.col(k) > F.col("upto") - F.col("count"))
+    found = ranked.join(wanted, ["g", "p"]).groupBy("g", "p").agg(F.max(F.when(hit("k"), F.col("v"))).alias("low"), F.max(F.when(hit("k2"), F.col("v"))).alias("high"), F.max("part").alias("part"))
+    return found.select(*[F.col("g")[c].alias(c) for c in by], "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("quantile"))
 
 
 def quantile_value(df: DataFrame, value: str, p: float) -> float | None:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudfork.session import cut
+
 
 def crosstab(df: DataFrame, row: str, column: str, values: list | None = None) -> DataFrame:
     """One row for each value of ``row``, one count column for each of ``column``, zeros filled in."""
@@ -22,13 +24,13 @@ def full_counts(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def shares(df: DataFrame, row: str, column: str) -> DataFrame:
-    """(row, column, count, row_share, column_share)."""
+    """(row, column, count, row_share, column_share). Null is a value like others."""
     counts = df.groupBy(row, column).count()
-    return counts.select(
-        row, column, "count",
-        (F.col("count") / F.sum("count").over(Window.partitionBy(row))).alias("row_share"),
-        (F.col("count") / F.sum("count").over(Window.partitionBy(column))).alias("column_share"),
-    )
+    out = counts
+    for side, name in ((row, "row_share"), (column, "column_share")):
+        total = counts.groupBy(F.col(side).alias("_side")).agg(F.sum("count").alias("_total"))
+        out = out.join(total, F.col(side).eqNullSafe(F.col("_side"))).withColumn(name, F.col("count") / F.col("_total")).drop("_side", "_total")
+    return out
 
 
 def majority(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -45,6 +47,14 @@ def largest_share(df: DataFrame, group: str, label: str) -> DataFrame:
     return part.groupBy(group).agg(best.alias("_b")).select(group, F.col("_b._label").alias(label), (-F.col("_b._less")).alias("share"))
 
 
+def given_order(df: DataFrame, group: str, order: list) -> DataFrame:
+    """(group, rank): the groups in an order that the user gives, which must name each of them once."""
+    names = [r[0] for r in df.select(group).distinct().limit(len(order) + 1).collect()]  # one more than the order at most
+    if len(set(order)) != len(order) or set(order) != set(names):
+        raise ValueError(f"the order is no permutation of the values of {group!r}: {sorted(map(str, set(order) ^ set(names)))[:9]}")
+    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order, start=1)], f"`{group}` {dict(df.dtypes)[group]}, rank int")
+
+
 def mean_order(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, mean, rank): groups ranked by descending mean, ties by group."""
     means = df.groupBy(group).agg(F.avg(value).alias("mean"))
@@ -59,11 +69,18 @@ def histogram(df: DataFrame, bin_of: Column, by: list[str]) -> DataFrame:
 def distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by..., value, ecdf): the empirical distribution function at each distinct value.
 
-    Equal values are counted before the running sum, so it runs over distinct values only.
+    Equal values are counted first; the counts are sorted into ranges, summed within each range, and
+    the sums of the ranges before are added, so no task holds a group or the whole. A null group is a group.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).count()
-    upto = F.sum("count").over(Window.partitionBy(*by).orderBy(value))
-    return counts.select(*by, value, (upto / F.sum("count").over(Window.partitionBy(*by))).alias("ecdf"))
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group.alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    placed = cut(counts.repartitionByRange("g", "v").withColumn("range", F.spark_partition_id()))
+    sums = placed.groupBy("g", "range").agg(F.sum("c").alias("c"))  # a row a range, and few more
+    before = Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("g", "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"), F.sum("c").over(Window.partitionBy("g")).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy("g", "range").orderBy("v"))
+    joined = placed.withColumn("upto", inside).join(starts, ["g", "range"])
+    return joined.select(*[F.col("g")[c].alias(c) for c in by], F.col("v").alias(value), ((F.col("start") + F.col("upto")) / F.col("n")).alias("ecdf"))
 
 
 def anova(df: DataFrame, markers: list[str], group: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Distances of rows to a bounded set of reference nodes, and what follows from them.
 
 A node set has at most MAX_NODES rows, which is checked when it is fetched; each task then
-meets its rows with the node matrix, batch by batch. Larger sets are refused: to compare
-rows with each other, the neighbour search of the package shuffles both sides instead.
+meets its rows with the node matrix, batch by batch. References of densities may be more; they
+are met in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,14 +96,18 @@ def node_distances(cells: DataFrame, nodes: DataFrame, metric: str | Callable =
     return per_batch(cells, key, features, fetch_nodes(nodes, node, features), metric, rows, f"{key} long, {node} long, distance double")
 
 
-def nearest_node(cells: DataFrame, nodes: DataFrame, metric: str | Callable = "L1", *, key: str = "vec_id", node: str = "node_id", features: str = "features") -> DataFrame:
-    """(key, node, distance): the nearest node of each row, ties by the smaller id."""
+def nearest_node(
+    cells: DataFrame, nodes: DataFrame, metric: str | Callable = "L1", *, key: str = "vec_id", node: str = "node_id", features: str = "features", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, node, distance, keep...): the nearest node of each row, ties by the smaller id; ``keep`` names columns that stay beside it."""
 
-    def rows(ids, d, node_ids, _):
+    def rows(ids, d, node_ids, kept):
         at = d.argmin(axis=1)
-        return ids, node_ids[at], d[np.arange(len(d)), at]
+        return ids, node_ids[at], d[np.arange(len(d)), at], *kept
 
-    return per_batch(cells, key, features, fetch_nodes(nodes, node, features), metric, rows, f"{key} long, {node} long, distance double")
+    kinds = dict(cells.dtypes)
+    schema = f"{key} long, {node} long, distance double" + "".join(f", {c} {kinds[c]}" for c in keep)
+    return per_batch(cells, key, features, fetch_nodes(nodes, node, features), metric, rows, schema, keep)
 
 
 def squared_to_nearest(cells: DataFrame, nodes: DataFrame, metric: str = "L1", **names) -> DataFrame:
@@ -112,21 +117,29 @@ def squared_to_nearest(cells: DataFrame, nodes: DataFrame, metric: str = "L1", *
     return nearest_node(cells, nodes, metric, **names).withColumn("phi", F.col("distance") * F.col("distance")).drop("distance")
 
 
+def _in_blocks(references: DataFrame, key: str) -> list[DataFrame]:
+    """The references in parts of at most about half MAX_NODES rows, by hash of the key."""
+    blocks = max(1, -(-references.count() * 2 // MAX_NODES))
+    return [references.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [references]
+
+
 def kernel_density(cells: DataFrame, references: DataFrame, sigma: float, metric: str = "L1", *, key: str = "vec_id", features: str = "features") -> DataFrame:
-    """(key, density): the Gaussian kernel sum over the reference rows, without the row itself."""
-    nodes = fetch_nodes(references, key, features)
+    """(key, density): the Gaussian kernel sum over the reference rows, without the row itself. Any number of references, block by block."""
 
     def rows(ids, d, node_ids, _):
         return ids, np.exp(-((d / sigma) ** 2) / 2).sum(axis=1) - np.isin(ids, node_ids)
 
-    return per_batch(cells, key, features, nodes, metric, rows, f"{key} long, density double")
+    parts = [per_batch(cells, key, features, fetch_nodes(r, key, features), metric, rows, f"{key} long, density double") for r in _in_blocks(references, key)]
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.sum("density").alias("density"))
 
 
 def knn_distance(cells: DataFrame, references: DataFrame, k: int = 100, metric: str = "L1", *, key: str = "vec_id", features: str = "features") -> DataFrame:
-    """(key, kth): the k-th smallest distance to the reference rows; the largest if there are fewer."""
+    """(key, kth): the k-th smallest distance to the reference rows; the largest if there are fewer. Any number of references, block by block."""
 
     def rows(ids, d, node_ids, _):
-        at = min(k, d.shape[1]) - 1
-        return ids, np.partition(d, at, axis=1)[:, at]
+        near = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
+        return ids, list(near)
 
-    return per_batch(cells, key, features, fetch_nodes(references, key, features), metric, rows, f"{key} long, kth double")
+    parts = [per_batch(cells, key, features, fetch_nodes(r, key, features), metric, rows, f"{key} long, near array<double>") for r in _in_blocks(references, key)]
+    near = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))  # k a block
+    return near.select(key, F.element_at("near", F.least(F.lit(k), F.size("near"))).alias("kth"))

@@ -19,15 +19,19 @@ def _list(x: Vars | None) -> list[str]:
     return [] if x is None else [x] if isinstance(x, str) else list(x)
 
 
-def joint_counts(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
-    """(columns..., _c, _w): rows and total weight of each joint state; without weight the two are equal."""
+def discrete(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The columns as states (doubles floored), and more columns."""
     kinds = dict(df.dtypes)
     missing = [c for c in columns if c not in kinds]
     if missing:
         raise ValueError(f"no such columns: {missing}")
-    states = [F.floor(c).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns]
+    return df.select(*[F.floor(c).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns], *more)
+
+
+def joint_counts(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
+    """(columns..., _c, _w): rows and total weight of each joint state; without weight the two are equal."""
     total = F.sum("_w") if weight else F.count("*")
-    rows = df.select(*states, *([F.col(weight).cast("double").alias("_w")] if weight else []))
+    rows = discrete(df, columns, *([F.col(weight).cast("double").alias("_w")] if weight else []))
     return rows.groupBy(*columns).agg(F.count("*").alias("_c"), total.cast("double").alias("_w"))
 
 
@@ -142,6 +146,30 @@ def normalised_information(df: DataFrame, x: Vars, y: Vars, name: str = "nmi") -
     return _measure(df, {"x": _list(x), "y": _list(y), "xy": _list(x) + _list(y)}, value, name)
 
 
+def measure(df: DataFrame, name: str, x: Vars, y: Vars | None = None, given: Vars | None = None, *, alpha: float | None = None, weight: str | None = None) -> DataFrame:
+    """A measure by its name: h (of x, or of x and y), mi, cmi, nmi; cond_h is h of x given y.
+
+    ``alpha`` asks for the Rényi form of h or mi, which at 1 is Shannon's; ``weight`` for the weighted form.
+    Lists are joint variables. A name that doesn't exist, a missing variable, or one too many, is an error.
+    """
+    asked = {"h": (False, False), "cond_h": (True, False), "mi": (True, False), "nmi": (True, False), "cmi": (True, True)}
+    if name not in asked:
+        raise ValueError(f"no measure {name!r}; there are {sorted(asked)}")
+    if (asked[name][0] and y is None) or asked[name][1] != (given is not None):
+        raise ValueError(f"{name} needs other variables")
+    if alpha is not None and alpha != 1:
+        if name not in ("h", "mi") or weight:
+            raise ValueError(f"no Rényi form of {name}" + " with weights" * bool(weight))
+        return renyi_entropy(df, alpha, x, y) if name == "h" else renyi_divergence_information(df, alpha, x, y)
+    if name == "nmi":
+        if weight:
+            raise ValueError("no weighted nmi")
+        return normalised_information(df, x, y)
+    if name == "cmi":
+        return conditional_mutual_information(df, x, y, given, weight)
+    return {"h": entropy, "cond_h": conditional_entropy, "mi": mutual_information}[name](df, x, y, weight)
+
+
 def pairwise_information(binned: DataFrame, markers: list[str]) -> DataFrame:
     """(m1, m2, mi) for every pair of discrete columns, m1 before m2 in the list: one pass over the
     rows counts all pairs at once, partly aggregated before the shuffle."""

@@ -1,5 +1,5 @@
-"""Greedy forward feature selection. Each round scores all candidates in one Spark job;
-the driver keeps one number for each feature."""
+"""Greedy forward feature selection. Each round scores all candidates in one pass over the rows,
+whose states are counted before the shuffle; the driver keeps one number for each feature."""
 
 from __future__ import annotations
 
@@ -8,32 +8,25 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudfork.operators.information import joint_counts
-
-
-def _scores(counts: DataFrame, sets: dict[tuple, list[str]]) -> dict:
-    """key -> sum over the states of sets[key] of c log2 c, all in one job over the joint counts."""
-    wanted = {key: tuple(sorted(s)) for key, s in sets.items()}
-    distinct = sorted(set(wanted.values()))
-    parts = None
-    for i, s in enumerate(distinct):
-        grouped = counts.groupBy(*s).agg(F.sum("_c").alias("_c")) if s else counts.agg(F.sum("_c").alias("_c"))
-        part = grouped.agg(F.sum(F.col("_c") * F.log2("_c")).alias("t")).select(F.lit(i).alias("i"), "t")
-        parts = part if parts is None else parts.unionByName(part)
-    found = {distinct[r["i"]]: r["t"] or 0.0 for r in parts.collect()}  # a number a set
-    return {key: found[s] for key, s in wanted.items()}
+from cloudfork.operators.information import discrete
 
 
 class _Counts:
+    """Counts of the states of sets of columns: each call is one pass over the rows, which counts all of its sets at once."""
+
     def __init__(self, df: DataFrame, features: list[str], target: str):
-        self.counts = joint_counts(df, [*features, target]).persist()
-        self.n = self.counts.agg(F.sum("_c")).first()[0] or 0
+        self.rows = discrete(df, [*features, target])
+        self.n = self.rows.count()
 
     def terms(self, sets: dict) -> dict:
-        return _scores(self.counts, sets)
-
-    def close(self) -> None:
-        self.counts.unpersist()
+        """key -> sum over the states of sets[key] of c log2 c."""
+        wanted = {key: tuple(sorted(s)) for key, s in sets.items()}
+        distinct = sorted(set(wanted.values()))
+        states = [F.struct(F.lit(i).alias("i"), F.array(*[F.col(c).cast("string") for c in s]).cast("array<string>").alias("state")) for i, s in enumerate(distinct)]
+        counts = self.rows.select(F.inline(F.array(*states))).groupBy("i", "state").count()
+        found = {r["i"]: r["t"] for r in counts.groupBy("i").agg(F.sum(F.col("count") * F.log2("count")).alias("t")).collect()}  # a number a set
+        of = {s: found.get(i, 0.0) for i, s in enumerate(distinct)}
+        return {key: of[s] for key, s in wanted.items()}
 
 
 def _first(scores: dict[str, float], order: list[str]) -> str:
@@ -61,7 +54,6 @@ def select_mrmr(df: DataFrame, k: int, features: list[str], target: str) -> list
         for f in rest:
             between.setdefault(f, []).append((new[f] + base - t["x", f] - t["x", picks[-1]]) / data.n)
         picks.append(_first({f: relevance[f] - sum(between[f]) / len(picks) for f in rest}, rest))
-    data.close()
     return picks[:k]
 
 
@@ -77,7 +69,6 @@ def select_cmim(df: DataFrame, k: int, features: list[str], target: str) -> list
         for f in rest:
             least[f] = min(least[f], (t["x", s] - new["fs", f] - new["cs"] + new["fcs", f]) / data.n)
         picks.append(_first(least, rest))
-    data.close()
     return picks[:k]
 
 
@@ -94,7 +85,6 @@ def select_disr(df: DataFrame, k: int, features: list[str], target: str) -> list
             joint = base - new["fsc", f]
             total[f] += (new["fsc", f] + base - new["fs", f] - t["y"]) / joint if joint > 1e-12 else 0.0
         picks.append(_first(total, rest))
-    data.close()
     return picks[:k]
 
 
@@ -124,5 +114,4 @@ def select_iamb(df: DataFrame, features: list[str], target: str, threshold: floa
         if gain[worst] > threshold:
             break
         blanket.remove(worst)
-    data.close()
     return blanket

@@ -97,7 +97,7 @@ SELECT CAST(j.node_id AS BIGINT) AS node_id, j.label, CAST(j.c AS BIGINT) AS n_c
 def nearest_centroid_nmi(spark, d):
     """Contingency of the nearest centroid and the label, with their normalised mutual information."""
     c = cells(spark, d)
-    near = dist.nearest_node(c, centroids(c)).join(c.select("vec_id", "label"), "vec_id")
+    near = dist.nearest_node(c, centroids(c), keep=("label",))
     nmi = info.normalised_information(near, "node_id", "label")
     return near.groupBy("node_id", "label").agg(F.count("*").alias("n_cells")).crossJoin(nmi.withColumn("nmi", F.round("nmi", 6)))  # one row
 

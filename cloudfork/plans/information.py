@@ -154,21 +154,52 @@ def select_first(spark, d):
     return _picked(spark, selection.select_mrmr(_parts(spark, d), 1, FEATURES, "cls"))
 
 
-@query()
+# The sum of c log2 c over the states of every subset of the four features (bits 1, 2, 4, 8) and the class (16).
+_VARIABLES = {1: "p_size", 2: "p_brand", 4: "p_type", 8: "price_band", 16: "cls"}
+
+
+def _subset_sql() -> str:
+    parts = []
+    for bits in range(1, 32):
+        columns = ", ".join(v for b, v in _VARIABLES.items() if bits & b)
+        parts.append(f"SELECT {bits} AS s, sum(c * log2(c)) / (SELECT count(*) FROM pt) AS t FROM (SELECT count(*)::DOUBLE AS c FROM pt GROUP BY {columns})")
+    return f"""pt AS (SELECT p_size, p_brand, p_type, floor(p_retailprice / 100) AS price_band, p_size % 5 + length(p_type) AS cls FROM part),
+tt AS (SELECT 0 AS s, log2(count(*)::DOUBLE) AS t FROM pt UNION ALL {' UNION ALL '.join(parts)}), term AS (SELECT map_from_entries(list((s, t))) AS m FROM tt),
+f AS (SELECT * FROM (VALUES {', '.join(f"({b}, '{v}')" for b, v in _VARIABLES.items() if b < 16)}) v(b, name)),
+rel AS (SELECT b, m[16 + b] + m[0] - m[16] - m[b] AS v FROM f, term),
+two AS (SELECT f.b, g.b AS g, m[f.b + g.b] + m[0] - m[f.b] - m[g.b] AS red, m[g.b] - m[f.b + g.b] - m[16 + g.b] + m[16 + f.b + g.b] AS cond,
+ (m[16 + f.b + g.b] + m[0] - m[f.b + g.b] - m[16]) / (m[0] - m[16 + f.b + g.b]) AS ratio FROM f, f g, term WHERE f.b <> g.b)"""
+
+
+def _greedy_sql(score: str) -> str:
+    """Three picks; ``score`` is an aggregate over the picks so far of two.red, two.cond, two.ratio and rel.v. Ties by feature order."""
+    nth = lambda picks: f"SELECT two.b FROM two JOIN rel USING (b) WHERE g IN ({picks}) AND two.b NOT IN ({picks}) GROUP BY two.b, rel.v ORDER BY round({score}, 12) DESC, two.b LIMIT 1"
+    return f"""WITH {_subset_sql()}, p1 AS (SELECT b FROM rel ORDER BY round(v, 12) DESC, b LIMIT 1), p2 AS ({nth('SELECT b FROM p1')}), p12 AS (SELECT b FROM p1 UNION ALL SELECT b FROM p2), p3 AS ({nth('SELECT b FROM p12')})
+SELECT CAST(k AS INTEGER) AS position, name AS feature FROM (SELECT 1 AS k, b FROM p1 UNION ALL SELECT 2, b FROM p2 UNION ALL SELECT 3, b FROM p3) JOIN f USING (b)"""
+
+
+@query(_greedy_sql("rel.v - avg(red)"))
 def select_mrmr(spark, d):
     return _picked(spark, selection.select_mrmr(_parts(spark, d), 3, FEATURES, "cls"))
 
 
-@query()
+@query(_greedy_sql("least(rel.v, min(cond))"))
 def select_cmim(spark, d):
     return _picked(spark, selection.select_cmim(_parts(spark, d), 3, FEATURES, "cls"))
 
 
-@query()
+@query(_greedy_sql("sum(ratio)"))
 def select_disr(spark, d):
     return _picked(spark, selection.select_disr(_parts(spark, d), 3, FEATURES, "cls"))
 
 
-@query()
+# I(f; class | z) for every feature and set z without it; the blanket grows by the best, then loses the weakest.
+@query(f"""WITH RECURSIVE {_subset_sql()}, z AS (SELECT unnest(range(0, 16)) AS z),
+gain AS (SELECT b, z, m[z] - m[z + b] - m[z + 16] + m[z + 16 + b] AS v FROM f, z, term WHERE z & b = 0),
+grow AS (SELECT 0::BIGINT AS z, []::INTEGER[] AS picks UNION ALL SELECT z + b, list_append(picks, b) FROM (SELECT w.z, picks, g.b, v, row_number() OVER (ORDER BY round(v, 12) DESC, g.b) AS r FROM grow w JOIN gain g ON g.z = w.z) WHERE r = 1 AND v >= 0.02),
+shrink AS (SELECT z, picks FROM (SELECT * FROM grow ORDER BY len(picks) DESC LIMIT 1)
+UNION ALL SELECT z - b, list_filter(picks, lambda x: x <> b) FROM (SELECT s.z, picks, g.b, v, row_number() OVER (ORDER BY v, list_position(picks, g.b)) AS r FROM shrink s JOIN gain g ON g.z = s.z - g.b AND s.z & g.b > 0) WHERE r = 1 AND v <= 0.02),
+last AS (SELECT picks FROM shrink ORDER BY len(picks) LIMIT 1)
+SELECT CAST(list_position(picks, b) AS INTEGER) AS position, name AS feature FROM last, f WHERE list_contains(picks, b)""")
 def select_iamb(spark, d):
     return _picked(spark, selection.select_iamb(_parts(spark, d), FEATURES, "cls"))

@@ -14,12 +14,13 @@ def hazen(x, p):
     return x[k - 1] + (at - k) * (x[min(k, len(x) - 1)] - x[k - 1])
 
 
-def test_hazen(spark):
+@pytest.mark.parametrize("accuracy", [100_000, 200])
+def test_hazen(spark, accuracy):
     df = spark.createDataFrame([(float(i),) for i in (1, 2, 3, 4)], "x double")
     assert quantiles.quantile_value(df, "x", 0.25) == 1.5
     rng = np.random.default_rng(1)
     rows = [(g, float(v)) for g in (None, "a", "b") for v in np.round(rng.normal(size=300), 1)] + [("c", 5.0), ("a", None), ("a", float("nan"))]
-    got = quantiles.hazen_quantiles(spark.createDataFrame(rows, "g string, x double"), "x", [0, 0.1, 0.5, 0.99, 1], ["g"], bins=16).collect()
+    got = quantiles.hazen_quantiles(spark.createDataFrame(rows, "g string, x double"), "x", [0, 0.1, 0.5, 0.99, 1], ["g"], accuracy=accuracy).collect()
     assert len(got) == 20
     for r in got:
         x = [v for g, v in rows if g == r["g"] and v is not None and v == v]
@@ -27,6 +28,21 @@ def test_hazen(spark):
     assert quantiles.quantile_value(df.limit(0), "x", 0.5) is None
 
 
+def test_hazen_of_a_far_outlier(spark):
+    x = np.r_[np.random.default_rng(3).normal(size=5000), 1e12]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = {r["p"]: r["quantile"] for r in quantiles.hazen_quantiles(df, "x", [0.0, 0.001, 0.5, 0.999, 1.0], accuracy=1000).collect()}
+    assert got == pytest.approx({p: hazen(x, p) for p in got})
+
+
+def test_given_order(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",)], "g string")
+    assert [tuple(r) for r in contingency.given_order(df, "g", ["b", "a"]).orderBy("rank").collect()] == [("b", 1), ("a", 2)]
+    for bad in (["a"], ["a", "b", "c"], ["a", "b", "b"], ["a", "c"]):
+        with pytest.raises(ValueError):
+            contingency.given_order(df, "g", bad)
+
+
 @pytest.mark.parametrize("lo,hi,bins", [(0.0, 1.0, 10), (-3.2, 17.9, 7), (1.0, 50.0, 40), (0.0, 0.08, 85), (-1e-7, 3e5, 3), (901.0, 104949.5, 19), (2.0, 3.0, 1)])
 def test_round_edges(lo, hi, bins):
     e = scalar.round_edges(lo, hi, bins)
