@@ -74,6 +74,7 @@ def _search(dim: int, k: int, factor: float, once: bool):
     a vector without copies isn't listed under itself: no other would share that answer."""
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("size", "descending")])  # of a query that came more than once, the row that stands for most
         role, ids, reach = (t.column(c).to_numpy() for c in ("role", "id", "reach"))
         x = matrix(t.column("vec"), dim)
         at, ask = (r[np.unique(ids[r], return_index=True)[1]] for r in (np.flatnonzero(role & POINT), np.flatnonzero(role & (QUERY | HOME))))

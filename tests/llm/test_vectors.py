@@ -92,6 +92,14 @@ def test_every_copy_has_its_list_on_any_partitions(spark, reach):
     assert found == {(7, 1): 0, (7, 2): 1, (300, 1): 0, (300, 2): 1, (301, 1): 0, (301, 2): 1}
 
 
+def test_a_copy_whose_twin_comes_again_elsewhere(spark):
+    """Cells 5 and 7 are equal, in one partition; 5 comes again in others."""
+    one = lambda rows: spark.createDataFrame([(i, v, 0, "x", 1.0) for i, v in rows], SCHEMA).coalesce(1)
+    again = one([(5, [0.0] * 3), (1, [3.0, 0.0, 0.0])])
+    cells = again.union(one([(5, [0.0] * 3), (7, [0.0] * 3)])).union(again)
+    assert {tuple(r)[:3] for r in neighbors.nearest_vectors(cells, 2, max_distance=1, dim=3).collect()} == {(5, 7, 0.0), (7, 5, 0.0)}
+
+
 def test_shards_that_are_too_large_are_split_again(spark, monkeypatch):
     x = blobs(600, seed=12)
     cells = frame(spark, as_rows(x))
