@@ -23,7 +23,7 @@ class Options:
     n_trees: int = 1_000
     seed: int = 73
     layout_seed: int | None = None
-    layout_graph: int = 6
+    layout_graph: int | None = 6
     p_cutoff: float = 0.95
     three_branches: bool = False
     zero_ball: bool = False
@@ -44,8 +44,8 @@ class Options:
         for name in ("sample_size", "n_ref_cells", "n_dens_ref", "n_trees"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
-        if self.layout_graph not in range(1, 7):
-            raise ValueError("layout_graph must be 1 .. 6")
+        if self.layout_graph is not None and self.layout_graph not in range(1, 7):
+            raise ValueError("layout_graph must be 1 .. 6, or None for all six")
 
     def nodes_for(self, rows: int) -> int:
         n = self.n_ref_cells if rows >= 10 * self.n_ref_cells else rows // 100 * 10

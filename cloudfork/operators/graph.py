@@ -2,20 +2,27 @@
 
 Spark spreads the work by tree or by cut node; inside a task small numpy helpers handle one
 tree or one block of nodes x nodes. All trees together are n_trees x (n_nodes - 1) edges, a
-size that the options bound (checked: MAX_EDGES), which is what the tasks share.
+size that the options bound (checked: MAX_EDGES); they are broadcast once, and what is computed
+from them runs in tasks.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudfork.operators.distance import METRICS
+from cloudfork.session import cut
 
 MAX_EDGES = 5_000_000
-DRIVER_EDGES = 200_000  # of a graph that is folded on the driver; larger ones stay in tables
+FAN_IN = 8  # partitions whose spanning forests are joined at a time
+SMALL_SHARE = 0.01  # of the nodes; parts up to that size are no branches
 THRESHOLDS = tuple(range(99, 0, -1))  # percent of the trees
 
 
@@ -59,73 +66,80 @@ def ensemble_graph(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("freq"), F.avg("dist").alias("mean_len")).withColumn("inv_freq", F.lit(1.0) / F.col("freq"))
 
 
-def bottleneck(graph: DataFrame, weight: str = "inv_freq", driver_edges: int = DRIVER_EDGES) -> float | None:
+def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The rows of a minimum spanning forest of some edges; ties by position. Every round each part takes its least edge outward."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    order = np.argsort(w, kind="stable")
+    place = np.empty(len(w), int)
+    place[order] = np.arange(len(w))
+    label, taken, open_ = np.arange(len(nodes)), [], np.flatnonzero(a != b)
+    while len(open_):
+        la, lb = label[a[open_]], label[b[open_]]
+        least = np.full(len(nodes), len(w))
+        np.minimum.at(least, la, place[open_])
+        np.minimum.at(least, lb, place[open_])
+        chosen = order[np.unique(least[least < len(w)])]
+        taken.append(chosen)
+        label = part_labels(len(nodes), label[a[chosen]], label[b[chosen]])[label]
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+    return np.concatenate(taken) if taken else np.empty(0, int)
+
+
+def minimum_forest(graph: DataFrame, weight: str) -> DataFrame:
+    """(src, dst, w): a minimum spanning forest of a graph that may have any number of edges.
+
+    Each partition keeps a forest of its own edges, FAN_IN forests are joined and thinned again,
+    and so on to one; no edge outside such a forest can be in that of the whole. A forest has fewer edges than
+    there are nodes, which is what the last task holds. Loops and edges without weight drop out.
+    """
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for i, batch in enumerate(itertools.chain(batches, [None])):
+            held += [] if batch is None else [batch]
+            if held and (batch is None or i % 64 == 63):
+                t = pa.Table.from_batches(held).combine_chunks()
+                rows = spanning_forest(*(t.column(c).to_numpy() for c in ("src", "dst", "w")))
+                held = t.take(pa.array(rows)).combine_chunks().to_batches()
+        yield from held
+
+    forest = graph.filter(F.col(weight).isNotNull()).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col(weight).cast("double").alias("w"))
+    parts = max(1, int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    forest = forest.mapInArrow(thin, forest.schema)
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        forest = cut(forest.repartition(parts).mapInArrow(thin, forest.schema))
+    return forest
+
+
+def bottleneck(graph: DataFrame, weight: str = "inv_freq") -> float | None:
     """The smallest threshold at which the edges not above it still connect all nodes; None if they never do.
 
-    Bisection over the weights that occur. Up to ``driver_edges`` edges are folded on the driver;
-    more stay in tables, and every step counts the components of the edges below its threshold.
+    It is the heaviest edge of a minimum spanning tree.
     """
-    rows = graph.select("src", "dst", F.col(weight).alias("w")).limit(driver_edges + 1).collect()
-    if len(rows) <= driver_edges:
-        parts = Parts({n for r in rows for n in (r["src"], r["dst"])})
-        for r in sorted(rows, key=lambda r: r["w"]):
-            parts.join(r["src"], r["dst"])
-            if parts.count == 1:
-                return r["w"]
-        return None
-    from cloudfork.session import cut
-
-    edges = cut(graph.select("src", "dst", F.col(weight).alias("w")))
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
-
-    def connects(limit: float) -> bool:
-        parts = connected_components(edges.filter(F.col("w") <= F.lit(limit)).select("src", "dst"))
-        row = parts.agg(F.count("*").alias("n"), F.countDistinct("component").alias("parts")).first()
-        return row["n"] == nodes and row["parts"] == 1
-
-    levels = cut(edges.select("w").distinct())
-    low, high = None, levels.agg(F.max("w")).first()[0]
-    if not connects(high):
-        return None
-    while True:  # low does not connect, high does
-        between = levels.filter(F.col("w") < F.lit(high))
-        if low is not None:
-            between = between.filter(F.col("w") > F.lit(low))
-        middle = between.agg(F.percentile_approx("w", 0.5)).first()[0]
-        if middle is None:
-            return high
-        if connects(middle):
-            high = middle
-        else:
-            low = middle
-
-
-class Parts:
-    """Disjoint sets of nodes."""
-
-    def __init__(self, nodes):
-        self.up, self.count = {n: n for n in nodes}, len(set(nodes))
-
-    def of(self, n):
-        while self.up[n] != n:
-            self.up[n] = self.up[self.up[n]]
-            n = self.up[n]
-        return n
-
-    def join(self, a, b) -> bool:
-        a, b = self.of(a), self.of(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        self.count -= 1
-        return True
+    nodes = graph.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
+    row = minimum_forest(graph, weight).agg(F.max("w").alias("w"), F.count("*").alias("n")).first()
+    return row["w"] if nodes and row["n"] == nodes - 1 else None
+
+
+def part_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each node's part, of n nodes linked by a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node of each node's component, by spreading minima over
     the edges and jumping along them; each round is two small joins and is written out."""
-    from cloudfork.session import cut
-
     both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
     label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")).select(F.col("a").alias("node"), F.col("low").alias("component"))
     for _ in range(max_rounds):
@@ -151,6 +165,7 @@ def graph_variants(graph: DataFrame) -> DataFrame:
     """
     from cloudfork.operators.contingency import distribution
 
+    graph = cut(graph)
     cutoff = bottleneck(graph)
     ecdf = distribution(graph, "inv_freq", [])
     level = ecdf.filter("ecdf >= 0.9").agg(F.min("inv_freq")).first()[0]
@@ -179,16 +194,7 @@ def consistency_block(packed: np.ndarray, n: int, n_trees: int, cut_node: int) -
     """How many trees keep i and j connected after ``cut_node`` is taken out, for all i, j."""
     keep = packed[(packed[:, 1] != cut_node) & (packed[:, 2] != cut_node)]
     a, b = keep[:, 0].astype(np.int64) * n + keep[:, 1], keep[:, 0].astype(np.int64) * n + keep[:, 2]
-    label = np.arange(n_trees * n)
-    while True:  # smallest member of each part, all trees at once
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    label = part_labels(n_trees * n, a, b)  # of all trees at once
     label = label.reshape(n_trees, n) % n
     counts = np.zeros((n, n), np.float32)
     for row in label:
@@ -203,17 +209,7 @@ def linkage_parts(counts: np.ndarray, nodes: np.ndarray, level: int) -> np.ndarr
     """Smallest member of each node's part when nodes with at least ``level`` common trees are linked."""
     a, b = np.nonzero(np.triu(counts >= level, 1))
     keep = np.isin(a, nodes) & np.isin(b, nodes)
-    a, b = a[keep], b[keep]
-    label = np.arange(len(counts))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    return part_labels(len(counts), a[keep], b[keep])
 
 
 def branch_sizes(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -222,9 +218,11 @@ def branch_sizes(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     One task a group of cut nodes; no tensor over all nodes is ever built.
     """
-    nodes, packed, n_trees = _tree_arrays(edges)
+    nodes, trees, n_trees = _tree_arrays(edges)
+    shared = spark.sparkContext.broadcast(trees)
 
     def cut_all(batches):
+        packed = shared.value
         for pdf in batches:
             rows = []
             for c in pdf["id"]:
@@ -248,28 +246,38 @@ def branching_scores(sizes: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFr
 def best_branches(spark: SparkSession, edges: DataFrame, sizes: DataFrame, scores: DataFrame, three: bool = False) -> DataFrame:
     """(node_id, branch): the branches around the best-scoring node; it is branch 0, the others 1, 2, ... by size.
 
-    The threshold is the highest at which the third part is largest. Parts of one node join the
-    branch of the node with which they stay together most often; ``three`` keeps the largest
-    three only. Without a third part every node is branch 1.
+    The threshold is the highest at which the third part is largest. Parts of one node, or of no
+    more than SMALL_SHARE of the nodes, join the branch of the node with which each of theirs stays
+    together most often; ``three`` keeps the largest three only. Without a third part every node is branch 1.
     """
-    nodes, packed, n_trees = _tree_arrays(edges)
+    nodes, trees, n_trees = _tree_arrays(edges)
     top = scores.orderBy(F.desc("score"), "node_id").first()
     third = None if top is None else sizes.filter((F.col("node_id") == top["node_id"]) & (F.col("rank") == 3)).orderBy(F.desc("size"), F.desc("threshold")).first()
     if third is None:
         return spark.createDataFrame([(int(n), 1) for n in nodes], "node_id long, branch int")
-    at = int(np.searchsorted(nodes, top["node_id"]))
-    counts = consistency_block(packed, len(nodes), n_trees, at)
-    others = np.delete(np.arange(len(nodes)), at)
-    label = linkage_parts(counts, others, -(-third["threshold"] * n_trees // 100))
+    shared, at, level = spark.sparkContext.broadcast(trees), int(np.searchsorted(nodes, top["node_id"])), -(-third["threshold"] * n_trees // 100)
+
+    def branches(batches):
+        for _ in batches:
+            label = _branch_labels(consistency_block(shared.value, len(nodes), n_trees, at), at, level, three)
+            yield pd.DataFrame({"node_id": nodes, "branch": label})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(branches, "node_id long, branch int")
+
+
+def _branch_labels(counts: np.ndarray, at: int, level: int, three: bool) -> np.ndarray:
+    """Of every node its branch, 0 at the branch point, from how often two nodes stay together without that."""
+    others = np.delete(np.arange(len(counts)), at)
+    label = linkage_parts(counts, others, level)
     parts, size = np.unique(label[others], return_counts=True)
     order = np.lexsort((parts, -size))
-    large = parts[order][:3] if three else parts[order][size[order] > 1]
-    inside = others[np.isin(label[others], large)]
+    large = parts[order][:3] if three else parts[size > max(1, SMALL_SHARE * len(counts))]
+    inside, whole = others[np.isin(label[others], large)], label.copy()
     for n in others[~np.isin(label[others], large)]:
-        label[n] = label[inside[int(np.argmax(counts[n, inside]))]]
+        label[n] = whole[inside[int(np.argmax(counts[n, inside]))]]
     parts, size = np.unique(label[others], return_counts=True)
     rank = {p: i for i, p in enumerate(parts[np.lexsort((parts, -size))], start=1)}
-    return spark.createDataFrame([(int(nodes[i]), 0 if i == at else rank[label[i]]) for i in range(len(nodes))], "node_id long, branch int")
+    return np.array([0 if i == at else rank[label[i]] for i in range(len(counts))])
 
 
 def tree_hops(edges: DataFrame, source: int) -> DataFrame:
@@ -302,8 +310,6 @@ def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 10_000) -> D
 
     Each round relaxes the edges of all nodes at once and is written out; it ends when nothing gets nearer.
     """
-    from cloudfork.session import cut
-
     both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").union(edges.select("dst", "src", "weight")))
     known = both.sparkSession.createDataFrame([(source, 0.0)], "node long, dist double")
     for _ in range(max_rounds):

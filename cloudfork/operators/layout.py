@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudfork.operators.graph import MAX_EDGES
+from cloudfork.config import Options
+from cloudfork.operators.graph import MAX_EDGES, graph_variants
+from cloudfork.session import cut
 
 
 def hop_matrix(n: int, edges: list[tuple[int, int]]) -> np.ndarray:
@@ -53,9 +56,10 @@ def best_layout(spark: SparkSession, graph: DataFrame, tries: int = 16, seed: in
     if len(rows) > MAX_EDGES:
         raise ValueError(f"more than {MAX_EDGES} edges")
     nodes = np.unique(rows.to_numpy())
-    hops = hop_matrix(len(nodes), list(zip(np.searchsorted(nodes, rows["src"]), np.searchsorted(nodes, rows["dst"]))))
+    shared = spark.sparkContext.broadcast((np.searchsorted(nodes, rows["src"]), np.searchsorted(nodes, rows["dst"])))
 
     def run(batches):
+        hops = hop_matrix(len(nodes), list(zip(*shared.value)))
         for pdf in batches:
             for i in pdf["id"]:
                 xy, energy = spring_layout(hops, seed + int(i))
@@ -66,6 +70,20 @@ def best_layout(spark: SparkSession, graph: DataFrame, tries: int = 16, seed: in
     return every.groupBy("node_id").agg(best).select("node_id", "b.x", "b.y")
 
 
+def chosen_layout(spark: SparkSession, graph: DataFrame, options: Options, tries: int = 16) -> DataFrame:
+    """(graph_id, node_id, x, y): the best layout of each of the six graphs that has edges, or of the one that
+    ``options.layout_graph`` names, from the starts of ``options.layout_seed`` (else those of ``options.seed``)."""
+    variants = cut(graph_variants(graph))
+    seed = options.seed if options.layout_seed is None else options.layout_seed
+    ids = [r[0] for r in variants.select("graph_id").distinct().orderBy("graph_id").collect()]  # at most six
+    if options.layout_graph is not None:
+        if options.layout_graph not in ids:
+            raise ValueError(f"graph {options.layout_graph} has no edges; there are {ids}")
+        ids = [options.layout_graph]
+    parts = [best_layout(spark, variants.filter(F.col("graph_id") == i), tries, seed).select(F.lit(i).alias("graph_id"), "*") for i in ids]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def gp_fit(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and standard deviation at ``at`` of a Gaussian process with a squared-exponential kernel;
     length scale and noise by the marginal likelihood over a grid."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,19 +49,22 @@ def seed_nodes(cells: DataFrame, k: int, metric: str = "L1", *, key: str = "vec_
             break
         picked = phi.filter(uniform(F.col(key), seed=seed + r + 1) < F.col("phi") * k / total).select(key)
         chosen = cut(chosen.unionByName(cells.join(picked, key, "left_semi")).dropDuplicates([key]))
-    rows = chosen.orderBy(key).collect()  # some rounds * k candidates
-    x = np.unique(np.array([r[features] for r in rows], float), axis=0, return_index=True)[1]
-    rows = [rows[i] for i in sorted(x)]
-    if len(rows) < k:
-        raise ValueError(f"only {len(rows)} distinct candidates for {k} nodes")
-    points = np.array([r[features] for r in rows], float)
-    medoids = k_medoids(METRICS[metric](points, points), k, seed)
-    spare = [i for i in np.random.default_rng(seed).permutation(len(rows)) if i not in set(medoids)]
-    picked = sorted([*medoids.tolist(), *spare[: k - len(medoids)]])
-    kind = dict(cells.dtypes)[key]
-    return cells.sparkSession.createDataFrame(
-        [(i, rows[p][key], [float(v) for v in rows[p][features]]) for i, p in enumerate(picked, start=1)], f"node_id long, {key} {kind}, {features} array<double>"
-    )
+    kind, distinct = dict(cells.dtypes)[key], chosen.select(features).distinct().count()
+    if distinct < k:
+        raise ValueError(f"only {distinct} distinct candidates for {k} nodes")
+
+    def group(batches):
+        """Some rounds * k candidates, in one task."""
+        pdf = pd.concat(list(batches)).sort_values(key, ignore_index=True)
+        points = np.stack(pdf[features].to_numpy()).astype(float) if len(pdf) else np.empty((0, 1))
+        pdf = pdf.iloc[np.sort(np.unique(points, axis=0, return_index=True)[1])].reset_index(drop=True)
+        points = np.stack(pdf[features].to_numpy()).astype(float)
+        medoids = k_medoids(METRICS[metric](points, points), k, seed)
+        spare = [i for i in np.random.default_rng(seed).permutation(len(pdf)) if i not in set(medoids)]
+        picked = pdf.iloc[sorted([*medoids.tolist(), *spare[: k - len(medoids)]])]
+        yield pd.DataFrame({"node_id": np.arange(1, k + 1), key: picked[key].to_numpy(), features: picked[features].to_numpy()})
+
+    return cut(chosen.select(key, F.col(features).cast("array<double>").alias(features)).repartition(1).mapInPandas(group, f"node_id long, {key} {kind}, {features} array<double>"))
 
 
 def partition_rows(cells: DataFrame, nodes: DataFrame, outlier_keys: DataFrame | None, metric: str = "L1", *, key: str = "vec_id", features: str = "features") -> DataFrame:

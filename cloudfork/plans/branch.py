@@ -51,7 +51,8 @@ def analyse(cells: DataFrame, options: Options) -> Run:
     cells = cells.filter(F.col(KEY).isNotNull() & F.col("features").isNotNull())
     if options.zero_ball:
         cells = sampling.remove_zero_ball(cells, "features", options.metric)
-    cells = cut(sampling.exact_sample(cells, KEY, options.sample_size, sampling.uniform(F.col(KEY), seed=options.seed)))
+    sample = sampling.exact_sample(cells, KEY, options.sample_size, sampling.uniform(F.col(KEY), seed=options.seed))
+    cells = cut(sample.repartition(cells.sparkSession.sparkContext.defaultParallelism))  # a limit leaves one partition
     n_nodes = options.nodes_for(cells.count())
     dense = cut(with_density(cells, options))
     out = sampling.outliers(dense, "density", options.outlier)

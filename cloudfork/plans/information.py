@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudfork.functions import scalar
 from cloudfork.operators import information as info
 from cloudfork.operators import selection
+from cloudfork.plans import reports
 from cloudfork.plans.basics import grid_sql
 from cloudfork.session import read_table as t
 
@@ -95,10 +95,7 @@ MARKERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def binned_markers(spark: SparkSession, d: str) -> DataFrame:
     """lineitem's numeric columns in ceil(n ** (1/3)) round equal-width bins."""
-    df = t(spark, d, "lineitem")
-    row = df.agg(F.count("*").alias("n"), *[f(m).alias(f"{m}{k}") for m in MARKERS for k, f in enumerate((F.min, F.max))]).first()
-    bins = scalar.cube_root_bins(row["n"])
-    return df.select("l_returnflag", *[scalar.bin_number(F.col(m), scalar.round_edges(row[f"{m}0"], row[f"{m}1"], bins)).alias(m) for m in MARKERS])
+    return reports.binned(t(spark, d, "lineitem"), MARKERS, keep=["l_returnflag"])[0]
 
 
 _CUBE_ROOT = "(SELECT count(*) FROM range(1, 10000) r(i) WHERE (i - 1) ** 3 < (SELECT count(*) FROM lineitem))"

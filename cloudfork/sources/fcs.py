@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cloudfork.config import Options
+from cloudfork.functions.scalar import arcsinh
+from cloudfork.session import cut
+
 EVENTS_AT_ONCE = 50_000
 HEADER_SCHEMA = (
     "path string, fcstype string, total_events long, num_of_par int, datatype string, byteorder string, keywords map<string,string>, "
@@ -134,8 +139,67 @@ def decode(content: bytes, head: dict, convention: str | None = None) -> np.ndar
     return out
 
 
-def read_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row a file: version, counts, parameters, all keywords, spillover."""
+def file_bytes(events: np.ndarray, par: list[dict], words: dict[str, str] | None = None) -> bytes:
+    """A 3.1 file of 64-bit floats: events x parameters, each parameter a dict with par_name, par_name2 and what else ``parse`` gives."""
+    if events.ndim != 2 or events.shape[1] != len(par):
+        raise ValueError(f"{events.shape} events for {len(par)} parameters")
+    data = np.ascontiguousarray(events, "<f8").tobytes()
+    text = {"$MODE": "L", "$DATATYPE": "D", "$BYTEORD": "1,2,3,4", "$TOT": len(events), "$PAR": len(par), "$NEXTDATA": 0}
+    for i, p in enumerate(par, start=1):
+        text |= {f"$P{i}N": p["par_name"], f"$P{i}B": 64, f"$P{i}R": p.get("par_range", 262144), f"$P{i}E": f"{p.get('par_decade', 0)},{p.get('par_logzero', 0)}", f"$P{i}G": p.get("par_gain", 1)}
+        text |= {f"$P{i}S": p["par_name2"]} if p.get("par_name2") else {}
+    body = "|" + "".join(f"{str(k).replace('|', '||')}|{str(v).replace('|', '||')}|" for k, v in (text | (words or {})).items() if str(v) != "")
+    fill = lambda begin: (body + f"$BEGINDATA|{begin:020d}|$ENDDATA|{max(begin, begin + len(data) - 1):020d}|").encode()
+    begin = 58 + len(fill(0))
+    places = [58, begin - 1, *((begin, begin + len(data) - 1) if begin + len(data) < 10**8 else (0, 0)), 0, 0]
+    return b"FCS3.1    " + b"".join(b"%8d" % p for p in places) + fill(begin) + data
+
+
+def pack_files(cells: DataFrame, path: Column, par: list[dict], words: dict[str, str] | None = None, order: str = "cell_id", values: str = "values") -> DataFrame:
+    """(path, content): the rows of each path as an FCS file, in the order given. A file is made by one task, so a path names as many rows as a file may have."""
+
+    def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        events = t.column(values).combine_chunks()
+        x = events.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        return pa.table({"path": pa.array([key[0].as_py()]), "content": pa.array([file_bytes(x, par, words)], pa.binary())})
+
+    return cells.select(path.alias("path"), order, F.col(values).cast("array<double>").alias(values)).groupBy("path").applyInArrow(pack, "path string, content binary")
+
+
+def cells_from_files(spark: SparkSession, path: str | list[str] | DataFrame, used: list[str], extra: list[str] | None = None, options: Options | None = None, compensate: bool = False) -> DataFrame:
+    """(cell_id, label, features, extra) of all events of all files: scaled, if asked compensated, the markers picked
+    by name (long name, else short) in every file, transformed by their cofactors.
+
+    label is the path; cell_id counts through the files in the order of their paths. A marker that a file lacks,
+    or has twice, is an error that names the files.
+    """
+    headers = cut(read_headers(spark, path))
+    names = F.transform("par", lambda p: F.coalesce(F.nullif(F.trim(p["par_name2"]), F.lit("")), p["par_name"]))
+    wanted = [*used, *(extra or [])]
+    known = headers.select("path", "total_events", names.alias("names"))
+    once = [F.size(F.filter("names", _is(m))) == 1 for m in wanted]
+    bad = known.filter(~reduce(Column.__and__, once, F.lit(True))).select("path").limit(5).collect()
+    if bad:
+        raise ValueError(f"markers of {wanted} are missing or doubled in {[r[0] for r in bad]}")
+    before = F.coalesce(F.sum("total_events").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over files
+    starts = known.select("path", "names", before.alias("start"))
+    events = scaled_events(read_events(spark, path), headers)
+    events = (compensated(events, headers) if compensate else events).join(starts, "path")
+
+    def array(markers: list[str]) -> Column:
+        factor = {m: (options.cofactors.get(m, options.default_cofactor) if options else 0) for m in markers}
+        return F.array(*[arcsinh(F.element_at("values", F.array_position("names", m).cast("int")), factor[m]) for m in markers]).cast("array<double>")
+
+    return events.select((F.col("start") + F.col("event_no")).alias("cell_id"), F.col("path").alias("label"), array(used).alias("features"), array(extra or []).alias("extra"))
+
+
+def _is(name: str):
+    return lambda x: x == name
+
+
+def read_headers(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
+    """One row a file: version, counts, parameters, all keywords, spillover. ``path`` may be a table (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,11 +211,13 @@ def read_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _files(spark, path).mapInArrow(run, HEADER_SCHEMA)
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
+    if isinstance(path, DataFrame):
+        return path.select("path", "content")
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_events(spark: SparkSession, path: str | list[str], convention: str | None = None) -> DataFrame:
+def read_events(spark: SparkSession, path: str | list[str] | DataFrame, convention: str | None = None) -> DataFrame:
     """(path, event_no, values): every event of every file; event_no counts from 1 within the file.
 
     ``convention``: one of CONVENTIONS, by default the one that a file's header points to.

@@ -10,6 +10,21 @@ from cloudfork.plans import branch, recursive
 from cloudfork.sources.store import RunStore
 
 
+class Parts:
+    """Disjoint sets of nodes."""
+
+    def __init__(self, nodes):
+        self.of, self.count = {n: n for n in nodes}, len(set(nodes))
+
+    def join(self, a, b):
+        a, b = self.of[a], self.of[b]
+        if a != b:
+            self.of = {n: min(a, b) if p in (a, b) else p for n, p in self.of.items()}
+            self.count -= 1
+        return a != b
+
+
+
 @pytest.mark.parametrize("metric", ["L1", "L2", "angle"])
 def test_spanning_tree_is_minimal(metric):
     x = np.random.default_rng(3).normal(size=(6, 3))
@@ -17,7 +32,7 @@ def test_spanning_tree_is_minimal(metric):
     pairs = list(itertools.combinations(range(6), 2))
 
     def spans(edges):
-        p = graph.Parts(range(6))
+        p = Parts(range(6))
         return all(p.join(a, b) for a, b in edges)
 
     best = min(sum(d[a, b] for a, b in e) for e in itertools.combinations(pairs, 5) if spans(e))
@@ -30,11 +45,11 @@ def test_linkage_parts_is_single_linkage():
     for _ in range(20):
         s = rng.integers(0, 10, (7, 7))
         s = np.maximum(s, s.T)
-        p = graph.Parts(range(7))
+        p = Parts(range(7))
         for a, b in itertools.combinations(range(7), 2):
             if s[a, b] >= 6:
                 p.join(a, b)
-        assert [p.of(i) for i in range(7)] == graph.linkage_parts(s, np.arange(7), 6).tolist()
+        assert [p.of[i] for i in range(7)] == graph.linkage_parts(s, np.arange(7), 6).tolist()
 
 
 def test_consistency():
@@ -135,11 +150,37 @@ def test_correlation_metric(spark):
 
 
 @pytest.mark.parametrize("closing, expected", [(2.0, 2.0), (9.0, 9.0), (None, None)])
-def test_bottleneck_in_tables_and_on_the_driver(spark, closing, expected):
+def test_bottleneck(spark, closing, expected):
     rows = [(i, i + 1, 1.0 + (i % 3) / 4) for i in range(12) if i != 6] + [(0, 3, 20.0)] + ([(6, 7, closing)] if closing else [])
     g = spark.createDataFrame(rows, "src long, dst long, inv_freq double")
     assert graph.bottleneck(g) == expected
-    assert graph.bottleneck(g, driver_edges=0) == expected
+    assert graph.bottleneck(g.repartition(30)) == expected
+
+
+def test_forests_of_parts_make_that_of_the_whole(spark):
+    rng = np.random.default_rng(6)
+    a, b, w = rng.integers(0, 60, 900), rng.integers(0, 60, 900), np.round(rng.random(900), 2)
+    best = lambda rows: round(float(w[rows].sum()), 6)
+    whole = graph.spanning_forest(a, b, w)
+    parts = Parts(range(60))
+    kruskal = [i for i in np.argsort(w, kind="stable") if parts.join(a[i], b[i])]
+    assert len(whole) == len(kruskal) == 59 and best(whole) == best(kruskal)
+    df = spark.createDataFrame([(int(x), int(y), float(z)) for x, y, z in zip(a, b, w)], "src long, dst long, w double").repartition(20)
+    forest = graph.minimum_forest(df, "w").toPandas()
+    assert len(forest) == 59 and round(forest["w"].sum(), 6) == best(kruskal)
+    assert graph.minimum_forest(df.limit(0), "w").count() == 0 and graph.bottleneck(df.limit(0), "w") is None
+
+
+def test_parts_of_a_hundredth_of_the_nodes_are_no_branches():
+    """1001 nodes: the branch point, three large parts, and one of five that is nearest to the second."""
+    sizes = [400, 350, 245, 5]
+    part = np.repeat(np.arange(4), sizes)
+    counts = np.where(part[:, None] == part[None], 100, 1)
+    counts[np.ix_(part == 3, part == 1)] = counts[np.ix_(part == 1, part == 3)] = 40
+    whole = np.full((1001, 1001), -1)
+    whole[1:, 1:] = counts
+    label = graph._branch_labels(whole, 0, 50, False)
+    assert label[0] == 0 and np.bincount(label).tolist() == [1, 400, 355, 245] and set(label[996:]) == {2}
 
 
 def test_profiles_follow_the_branches_of_the_data(spark, tmp_path):
@@ -147,7 +188,8 @@ def test_profiles_follow_the_branches_of_the_data(spark, tmp_path):
 
     # labels on three arms of three nodes around label 14: positions 0, 1 and 2 of 64
     where = {14: [0.0, 0.0, 0.0]} | {20 + 3 * a + i: [5.0 * (i + 1) * (a == b) for b in range(3)] for a in range(3) for i in range(3)}
-    rows = [(n * 5 + j, [float(v) for v in x] + [0.01 * j] * 61, n) for n, x in where.items() for j in range(5)]
+    # node n is the third n % 3 of label n // 3
+    rows = [(3 * (5 * k + j) + n % 3, [float(v) for v in x] + [0.01 * j] * 61, n // 3) for k, (n, x) in enumerate(where.items()) for j in range(5)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     dist = {r.node_id: (r.branch, r.signed_dist) for r in graphs.mean_tree_distance(spark, str(tmp_path)).collect()}
     assert set(dist) == set(where) and dist[14] == (0, 0.0)
