@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudfork.config import Options
+from cloudfork.functions.scalar import arcsinh_each
 from cloudfork.operators import graph, layout
 from cloudfork.plans import branch, recursive
 from cloudfork.plans.basics import DRAWN_SQL, tree_draws, tree_nodes
@@ -223,8 +224,14 @@ def pipeline_label_table(spark, d):
 
 @query()
 def recursive_labels(spark, d):
-    """The recursive analysis, against null scores of clouds without branches, and the stem of every top-level node."""
-    c, options = _analysis_cells(spark, d), OPTIONS.with_(n_trees=20)
-    levels = recursive.analyse_recursively(c, options, recursive.null_tables(spark, options), DIM)
-    top = spark.range(1, 31).withColumnRenamed("id", "node_id")
+    """The recursive analysis of the complete cells of all_struct, and the stem of every top-level node.
+
+    Null scores are those of the least grid point, 1001 points, which stands for all larger levels.
+    """
+    bad = F.exists("all_data", lambda x: x.isNull() | F.isnan(x))
+    whole = t(spark, d, "all_struct").filter("cell_id is not null and size(all_data) = 12").filter(~bad).groupBy("cell_id").agg(F.min(F.struct("all_data", "all_labels")).alias("c"))
+    c = whole.select("cell_id", F.lower(F.trim("c.all_labels")).alias("label"), arcsinh_each(F.col("c.all_data"), [5.0] * 12).alias("features"))
+    options = OPTIONS.with_(sigma=1.0, n_trees=20)
+    levels = recursive.analyse_recursively(c, options, recursive.null_tables(spark, options, [1001]), 12)
+    top = spark.range(1, options.n_ref_cells + 1).withColumnRenamed("id", "node_id")
     return recursive.deepest_labels(levels, top)

@@ -31,9 +31,13 @@ class RunStore:
             return None
 
     def save_run(self, run, options: dict | None = None) -> None:
-        for name, df in run.tables().items():
+        self.save_tables(run.tables(), options)
+
+    def save_tables(self, tables: dict[str, DataFrame], options: dict | None = None) -> None:
+        """The tables, and then the manifest: a run that stopped halfway has none, or an older one's that is overwritten."""
+        for name, df in tables.items():
             self.save(name, df)
-        rows = [(name, json.dumps(options or {}, sort_keys=True, default=str)) for name in run.tables()]
+        rows = [(name, json.dumps(options or {}, sort_keys=True, default=str)) for name in tables]
         self.save("manifest", self.spark.createDataFrame(rows, "artifact string, options string"))
 
     def load_run(self) -> dict[str, DataFrame]:
