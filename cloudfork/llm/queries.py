@@ -104,4 +104,28 @@ _ALL = (
     p6_ids, p6_roundtrip, p7_mix, p7_report, p8_found, p8_levels, p8_bands,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {}
+
+
+def _near_sql(reach: float) -> str:
+    """CTEs: whole (id, v), the complete cells, and near (a, b, d), the pairs within reach, by cells of a grid over three positions."""
+    grid = ", ".join(f"CAST(floor(v[{i}] / {reach}) AS BIGINT) AS g{i}" for i in (1, 2, 3))
+    good = "cell_id IS NOT NULL AND len(all_data) = 12 AND list_count(all_data) = 12 AND NOT list_bool_or(list_transform(all_data, lambda x: isnan(x) OR isinf(x)))"
+    return f"""whole AS (SELECT id, v, {grid} FROM (SELECT cell_id AS id, min(all_data) AS v FROM all_struct WHERE {good} GROUP BY 1)),
+steps AS (SELECT unnest([-1, 0, 1]) AS s), spread AS (SELECT id, v, g1 + a.s AS g1, g2 + b.s AS g2, g3 + c.s AS g3 FROM whole, steps a, steps b, steps c),
+near AS (SELECT x.id AS a, y.id AS b, list_distance(x.v, y.v) AS d FROM whole x JOIN spread y USING (g1, g2, g3) WHERE x.id <> y.id AND list_distance(x.v, y.v) <= {reach})"""
+
+
+_P4_SQL = """WITH once AS (SELECT cell_id, lower(trim(all_labels)) AS all_labels, acq_day, all_data FROM all_struct WHERE cell_id IS NOT NULL AND len(all_data) = 12 AND all_labels IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at) = 1),
+vals AS (SELECT all_labels, acq_day, i AS marker_no, all_data[i] AS x FROM once, range(1, 13) r(i)), good AS (SELECT * FROM vals WHERE x IS NOT NULL AND NOT isnan(x)),
+q AS (SELECT all_labels, acq_day, marker_no, quantile_disc(x, [0.5, 0.95]) AS v FROM good GROUP BY ALL HAVING count(*) >= 40),
+a AS (SELECT all_labels, acq_day, marker_no, unnest([50, 95]) AS q_pct, unnest(v) AS x FROM q)
+SELECT a.all_labels, strftime(acq_day, '%Y-%m-%d') AS acq_day, CAST(a.marker_no AS INTEGER) AS marker_no, a.q_pct FROM a JOIN marker_reference r ON lower(trim(r.all_labels)) = a.all_labels AND r.marker_no = a.marker_no AND r.q_pct = a.q_pct WHERE abs(x - ref_value) > tolerance"""
+#: Those that SQL can express exactly; the sketches of p4_found are held to exact percentiles, as the data leave room for their error.
+ORACLE: dict[str, str] = {
+    "p1_found": f"""WITH {_near_sql(0.06)}, ranked AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM near), top AS (SELECT a, b FROM ranked WHERE r <= 10)
+SELECT x.a AS cell_a, x.b AS cell_b FROM top x JOIN top y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
+    "p3_found": f"""WITH RECURSIVE {_near_sql(0.25)}, sides AS (SELECT a, b FROM near UNION ALL SELECT DISTINCT a, a FROM near),
+lab AS (SELECT DISTINCT a AS node, a AS part, 0 AS step FROM near UNION ALL SELECT s.b AS node, min(l.part) AS part, step + 1 FROM lab l JOIN sides s ON s.a = l.node WHERE step < 40 GROUP BY s.b, step),
+sized AS (SELECT node, part, count(*) OVER (PARTITION BY part) AS n FROM lab WHERE step = 40) SELECT part AS cluster_id, node AS cell_id FROM sized WHERE n >= 6""",
+    "p4_found": _P4_SQL,
+}
