@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudfork.operators.distance import METRICS
-from cloudfork.session import cut
+from cloudfork.session import cut, drop_cut
 
 MAX_EDGES = 5_000_000
 FAN_IN = 8  # partitions whose spanning forests are joined at a time
@@ -106,10 +106,11 @@ def minimum_forest(graph: DataFrame, weight: str) -> DataFrame:
 
     forest = graph.filter(F.col(weight).isNotNull()).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col(weight).cast("double").alias("w"))
     parts = max(1, int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    forest = forest.mapInArrow(thin, forest.schema)
+    forest = cut(forest.mapInArrow(thin, forest.schema))
     while parts > 1:
-        parts = -(-parts // FAN_IN)
+        parts, old = -(-parts // FAN_IN), forest
         forest = cut(forest.repartition(parts).mapInArrow(thin, forest.schema))
+        drop_cut(old)
     return forest
 
 
@@ -142,17 +143,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     the edges and jumping along them; each round is two small joins and is written out."""
     both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
     label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")).select(F.col("a").alias("node"), F.col("low").alias("component"))
+    step = None
     for _ in range(max_rounds):
         label = cut(label)
+        if step is not None:
+            drop_cut(step)
         near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         hop = label.select(F.col("node").alias("via"), F.col("component").alias("up"))
         step = (
             label.join(near, F.col("node") == F.col("a")).join(hop, F.col("component") == F.col("via"), "left")
             .select("node", "component", F.least("component", "near", "up").alias("new"))
         )
-        step = cut(step)
+        old, step = label, cut(step)
         if step.filter("component <> new").isEmpty():
+            drop_cut(step)
+            drop_cut(both)
             return label
+        drop_cut(old)
         label = step.select("node", F.col("new").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -312,11 +319,13 @@ def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 10_000) -> D
     """
     both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").union(edges.select("dst", "src", "weight")))
     known = both.sparkSession.createDataFrame([(source, 0.0)], "node long, dist double")
+    known = cut(known)
     for _ in range(max_rounds):
-        known = cut(known)
         step = both.join(known, F.col("a") == F.col("node")).select(F.col("b").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
         new = cut(known.union(step).groupBy("node").agg(F.min("dist").alias("dist")))
         if new.join(known, ["node", "dist"], "left_anti").isEmpty():
+            drop_cut(known)
             return new
+        drop_cut(known)
         known = new
     raise RuntimeError(f"no end of relaxation in {max_rounds} rounds")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloudfork.operators.distance import METRICS, nearest_node, squared_to_nearest
 from cloudfork.operators.sampling import uniform
-from cloudfork.session import cut
+from cloudfork.session import cut, drop_cut
 
 
 def k_medoids(distance: np.ndarray, k: int, seed: int = 73, max_rounds: int = 100) -> np.ndarray:
@@ -47,8 +47,10 @@ def seed_nodes(cells: DataFrame, k: int, metric: str = "L1", *, key: str = "vec_
         total = phi.agg(F.sum("phi")).first()[0] or 0.0
         if total == 0:
             break
-        picked = phi.filter(uniform(F.col(key), seed=seed + r + 1) < F.col("phi") * k / total).select(key)
+        picked, old = phi.filter(uniform(F.col(key), seed=seed + r + 1) < F.col("phi") * k / total).select(key), chosen
         chosen = cut(chosen.unionByName(cells.join(picked, key, "left_semi")).dropDuplicates([key]))
+        drop_cut(phi)
+        drop_cut(old)
     kind, distinct = dict(cells.dtypes)[key], chosen.select(features).distinct().count()
     if distinct < k:
         raise ValueError(f"only {distinct} distinct candidates for {k} nodes")

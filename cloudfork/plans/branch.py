@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cloudfork.config import Options
 from cloudfork.operators import contingency, distance, graph, sampling, seeding
-from cloudfork.session import cut
+from cloudfork.session import cut, cut_counted, drop_cut
 
 KEY = "cell_id"
 
@@ -52,19 +52,21 @@ def analyse(cells: DataFrame, options: Options) -> Run:
     if options.zero_ball:
         cells = sampling.remove_zero_ball(cells, "features", options.metric)
     sample = sampling.exact_sample(cells, KEY, options.sample_size, sampling.uniform(F.col(KEY), seed=options.seed))
-    cells = cut(sample.repartition(cells.sparkSession.sparkContext.defaultParallelism))  # a limit leaves one partition
-    n_nodes = options.nodes_for(cells.count())
-    dense = cut(with_density(cells, options))
-    out = sampling.outliers(dense, "density", options.outlier)
-    kept = sampling.density_downsample(dense, "density", options.outlier, options.threshold, sampling.uniform(F.col(KEY), seed=options.seed + 2))
+    spark = cells.sparkSession
+    cells, rows = cut_counted(sample.repartition(spark.sparkContext.defaultParallelism))  # a limit leaves one partition
+    n_nodes = options.nodes_for(rows)
+    measured = cut(with_density(cells, options))
+    out = sampling.outliers(measured, "density", options.outlier)
+    kept = sampling.density_downsample(measured, "density", options.outlier, options.threshold, sampling.uniform(F.col(KEY), seed=options.seed + 2))
     nodes = cut(seeding.seed_nodes(kept, n_nodes, options.metric, key=KEY, seed=options.seed))
-    placed = seeding.partition_rows(dense, nodes, out, options.metric, key=KEY)
-    dense = cut(dense.join(placed, KEY))
+    placed = seeding.partition_rows(measured, nodes, out, options.metric, key=KEY)
+    dense = cut(measured.join(placed, KEY))
+    drop_cut(measured)
+    drop_cut(cells)
     inside = dense.filter("node_id <> 0")
     drawn = sampling.one_per_node(inside, "node_id", KEY, options.n_trees, options.seed)
     trees = cut(graph.tree_ensemble(drawn.join(inside.select(KEY, "features"), KEY), options.metric))
     union = cut(graph.ensemble_graph(trees))
-    spark = cells.sparkSession
     sizes = cut(graph.branch_sizes(spark, trees))
     scores = cut(graph.branching_scores(sizes, nodes, n_nodes))
     branches = cut(graph.best_branches(spark, trees, sizes, scores, options.three_branches))

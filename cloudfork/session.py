@@ -44,7 +44,7 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``cut`` returned; it can't be read any more."""
+    """Delete the files behind a frame that ``cut`` returned; it can't be read any more. Other frames keep theirs."""
     spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/cut-" in path:
