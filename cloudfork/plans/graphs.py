@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloudfork.config import Options
 from cloudfork.functions.scalar import arcsinh_each
-from cloudfork.operators import graph, layout
+from cloudfork.operators import contingency, graph, layout
 from cloudfork.plans import branch, recursive
 from cloudfork.plans.basics import DRAWN_SQL, tree_draws, tree_nodes
 from cloudfork.plans.distances import _D, _NODES, DIM, cells, centroids
@@ -177,6 +177,22 @@ def best_branches(spark, d):
     return _branches(spark, _ensemble(spark, d))
 
 
+_MEANS = ", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS e{i}" for i in range(4))
+_F = " UNION ALL ".join(
+    f"""SELECT 'e{i}' AS marker, round((sum(n * (m - g) ** 2) / (count(*) - 1)) / (sum(v) / (sum(n) - count(*))), 6) AS f_stat, count(*) - 1 AS df_between, CAST(sum(n) - count(*) AS BIGINT) AS df_within
+FROM (SELECT branch, count(*) AS n, avg(e{i}) AS m, var_pop(e{i}) * count(*) AS v FROM placed GROUP BY 1), (SELECT avg(e{i}) AS g FROM placed)"""
+    for i in range(4)
+)
+
+
+@query(f"""WITH RECURSIVE {_SQL_BRANCHES}, means AS (SELECT label * 3 + vec_id % 3 AS node_id, {_MEANS} FROM embeddings GROUP BY 1), placed AS (SELECT * FROM means JOIN branches USING (node_id) WHERE branch > 0) {_F}""")
+def branch_significance(spark, d):
+    """Analysis of variance of four positions of the node means over the branches, without the branch point."""
+    nodes = centroids(tree_nodes(cells(spark, d)), "node_id")
+    placed = nodes.join(best_branches(spark, d).filter("branch > 0"), "node_id").select("branch", *[F.col("features")[i].alias(f"e{i}") for i in range(4)])
+    return contingency.anova(placed, [f"e{i}" for i in range(4)], "branch").select("marker", F.round("f_stat", 6).alias("f_stat"), "df_between", "df_within")
+
+
 @query(f"""WITH RECURSIVE {_SQL_BRANCHES}, far AS (SELECT j AS node_id, avg(len(path) - 1) AS m FROM walk, spot WHERE i = p GROUP BY j)
 SELECT CAST(node_id AS BIGINT) AS node_id, CAST(branch AS INTEGER) AS branch, round(CASE WHEN branch = 1 THEN -m ELSE m END / (SELECT max(m) FROM far), 9) + 0.0 AS signed_dist FROM far JOIN branches USING (node_id)""")
 def mean_tree_distance(spark, d):
