@@ -96,7 +96,8 @@ def label_table(run: Run) -> DataFrame:
     return contingency.full_counts(run.cells.filter("node_id <> 0"), "node_id", "label")
 
 
-def node_means(run: Run, dim: int) -> DataFrame:
-    """(node_id, features): the mean over a node's rows; the node list itself has its representative's own values."""
+def node_means(cells: DataFrame, dim: int) -> DataFrame:
+    """(node_id, features): the mean over a node's rows (of ``Run.cells``, or any rows with node_id and features); the
+    node list itself has its representative's own values. Node 0, the outliers, has none."""
     v = F.col("features")
-    return run.cells.filter("node_id <> 0").groupBy("node_id").agg(F.array(*[F.avg(v[i]) for i in range(dim)]).alias("features"))
+    return cells.filter("node_id <> 0").groupBy("node_id").agg(F.array(*[F.avg(v[i]) for i in range(dim)]).alias("features"))

@@ -26,11 +26,13 @@ def p5_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """The consistent table with each marker's canonical number (of its first value) and its tagged values as text."""
+    """The consistent table with each marker's canonical number (of its first value) and its tagged values as text, by marker number."""
     table = drift.consistent_table(t(spark, d, "raw_cells"), t(spark, d, "marker_catalog"))
-    markers = table.columns[4:-1]
-    numbers = [F.get(F.col(f"`{m}`"), F.lit(0))["number"].alias(f"{m}_number") for m in markers]
-    return table.select(*table.columns[:4], *numbers, *[drift.tags(F.col(f"`{m}`")).alias(f"{m}_tags") for m in markers], drift.tags(F.col("others"), True).alias("others"))
+    columns = []
+    for no, marker in enumerate(table.columns[4:-1], start=1):
+        values = F.col(f"`{marker}`")
+        columns += [F.get(values, F.lit(0))["number"].alias(f"m{no}_number"), drift.tags(values).alias(f"m{no}_tags")]
+    return table.select(*table.columns[:4], *columns, drift.tags(F.col("others"), True).alias("others"))
 
 
 def _key(name: str) -> str:
@@ -69,13 +71,12 @@ UNION ALL SELECT path, 'observed', kind, file_id FROM tagged)
 SELECT path, origin, alternative, count(DISTINCT file_id) AS n_files, count(*) AS n_values, min(file_id) AS first_file FROM alls WHERE path IS NOT NULL GROUP BY ALL""",
     "p5_values": f"""WITH {_VALUES} SELECT raw_id, file_id, row_no, position, path, kind, {_INTEGER} AS integer, CASE WHEN {_INTEGER} IS NULL THEN {_NUMBER} END AS real,
 CASE WHEN kind = 'text' THEN value END AS text, {_NUMBER} AS number FROM tagged""",
-    "p5_table": f"""SELECT * FROM (PIVOT (WITH {_VALUES}, known AS (SELECT marker, {_key('marker')} AS key FROM marker_catalog),
-long AS (SELECT raw_id, marker, position, kind || ':' || coalesce(value, '') AS tag, {_NUMBER} AS x FROM tagged JOIN known ON path = key),
-per AS (SELECT raw_id, marker, arg_min({{'x': x}}, position) AS first, string_agg(tag, '|' ORDER BY position) AS tags FROM long GROUP BY ALL),
-rest AS (SELECT raw_id, string_agg(coalesce(path, '') || '=' || kind || ':' || coalesce(value, ''), '|' ORDER BY position) AS others FROM tagged WHERE path IS NULL OR path NOT IN (SELECT key FROM known) GROUP BY 1),
-wide AS (SELECT r.raw_id, r.file_id, r.row_no, lower(trim(r.all_labels)) AS all_labels, coalesce(others, '') AS others, k.marker, first.x AS number, tags
- FROM raw_cells r CROSS JOIN known k LEFT JOIN per p ON p.raw_id = r.raw_id AND p.marker = k.marker LEFT JOIN rest o ON o.raw_id = r.raw_id)
-SELECT * FROM wide) ON marker USING any_value(number) AS number, any_value(tags) AS tags GROUP BY raw_id, file_id, row_no, all_labels, others)""",
+    "p5_table": f"""WITH {_VALUES}, known AS (SELECT marker_no, {_key('marker')} AS key FROM marker_catalog),
+long AS (SELECT raw_id, marker_no, position, kind || ':' || coalesce(value, '') AS tag, {_NUMBER} AS x FROM tagged JOIN known ON path = key),
+per AS (SELECT raw_id, marker_no, arg_min({{'x': x}}, position) AS first, string_agg(tag, '|' ORDER BY position) AS tags FROM long GROUP BY ALL),
+wide AS (SELECT raw_id, {', '.join(f"any_value(first.x) FILTER (marker_no = {i}) AS m{i}_number, any_value(tags) FILTER (marker_no = {i}) AS m{i}_tags" for i in range(1, 25))} FROM per GROUP BY 1),
+rest AS (SELECT raw_id, string_agg(coalesce(path, '') || '=' || kind || ':' || coalesce(value, ''), '|' ORDER BY position) AS others FROM tagged WHERE path IS NULL OR path NOT IN (SELECT key FROM known) GROUP BY 1)
+SELECT r.raw_id, r.file_id, r.row_no, lower(trim(r.all_labels)) AS all_labels, coalesce(others, '') AS others, wide.* EXCLUDE (raw_id) FROM raw_cells r LEFT JOIN wide ON wide.raw_id = r.raw_id LEFT JOIN rest o ON o.raw_id = r.raw_id""",
     "p5_alternatives": f"""WITH {_VALUES}, {_FILES}, seen AS (SELECT DISTINCT file_id, path, kind AS alternative FROM tagged WHERE path IS NOT NULL AND kind <> 'null'),
 firsts AS (SELECT run_id, path, alternative, min({{'a': acquired_at, 'f': file_id}}) AS hit FROM seen JOIN files USING (file_id) GROUP BY ALL)
 SELECT run_id, path, alternative, hit.f AS file_id FROM (SELECT *, min(hit) OVER (PARTITION BY run_id, path) AS start FROM firsts) WHERE hit > start""",

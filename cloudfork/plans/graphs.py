@@ -185,6 +185,13 @@ FROM (SELECT branch, count(*) AS n, avg(e{i}) AS m, var_pop(e{i}) * count(*) AS
 )
 
 
+@query(f"SELECT label * 3 + vec_id % 3 AS node_id, {_MEANS.replace('avg', 'round(avg').replace(') AS', '), 9) AS')} FROM embeddings WHERE label * 3 + vec_id % 3 <> 0 GROUP BY 1")
+def node_means(spark, d):
+    """Four positions of the mean of every node's rows."""
+    means = branch.node_means(tree_nodes(cells(spark, d)), DIM)
+    return means.select("node_id", *[F.round(F.col("features")[i], 9).alias(f"e{i}") for i in range(4)])
+
+
 @query(f"""WITH RECURSIVE {_SQL_BRANCHES}, means AS (SELECT label * 3 + vec_id % 3 AS node_id, {_MEANS} FROM embeddings GROUP BY 1), placed AS (SELECT * FROM means JOIN branches USING (node_id) WHERE branch > 0) {_F}""")
 def branch_significance(spark, d):
     """Analysis of variance of four positions of the node means over the branches, without the branch point."""
