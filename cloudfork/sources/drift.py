@@ -58,9 +58,9 @@ def fields(par: DataFrame, catalog: DataFrame) -> DataFrame:
     named = par.select("file_id", "par_no", name.alias("name"), F.col("par_datatype").alias("datatype"), F.col("par_bit").alias("bit"))
     known = catalog.select("marker", spelling_key(F.col("marker")).alias("key")).dropDuplicates(["key"])
     row = F.struct("par_no", "name", "datatype", "bit")
-    return (
+    return (  # by file_id, so that what follows by file moves nothing again
         named.filter("file_id is not null and name is not null").withColumn("key", spelling_key(F.col("name")))
-        .join(known, "key").groupBy("file_id", "marker").agg(F.min(row).alias("f"))
+        .join(known, "key").drop("key").repartition("file_id").groupBy("file_id", "marker").agg(F.min(row).alias("f"))
         .select("file_id", "marker", "f.name", "f.datatype", "f.bit")
     )
 
@@ -78,7 +78,12 @@ def declared_alternatives(par: DataFrame, order: DataFrame, catalog: DataFrame)
     """(run_id, marker, seq, file_id, next_id, alternative): the fused schema of each run. Each path, a catalog
     marker, with the alternative (name, datatype, bit) of every file that has it; ``order`` is ``file_order``."""
     own = fields(par, catalog).select("file_id", "marker", F.struct("name", "datatype", "bit").alias("alternative"))
-    return own.join(order.select("file_id", "run_id", "seq", "next_id"), "file_id")
+    return own.join(_merged(order.select("file_id", "run_id", "seq", "next_id")), "file_id")
+
+
+def _merged(table: DataFrame) -> DataFrame:
+    """A table of files or runs for a join: never broadcast. Spark goes by the size of the Parquet files, which may be a hundredth of the rows in the driver's memory."""
+    return table.hint("merge")
 
 
 def alternative_changes(fused: DataFrame) -> DataFrame:
@@ -115,10 +120,13 @@ def schema_changes(par: DataFrame, header: DataFrame, runs: DataFrame, catalog:
     order = file_order(header)
     fused = declared_alternatives(par, order, catalog)
     known = catalog.select("marker", spelling_key(F.col("marker")).alias("key")).dropDuplicates(["key"])
-    used = runs.select("run_id", F.explode("used_markers").alias("name")).withColumn("key", spelling_key(F.col("name"))).join(known, "key").select("run_id", "marker").distinct()
-    missing = order.join(used, "run_id").join(fused.select("file_id", "marker"), ["file_id", "marker"], "left_anti").select("file_id", "marker", F.lit("missing").alias("change_kind"))
+    used = runs.select("run_id", F.explode("used_markers").alias("name")).withColumn("key", spelling_key(F.col("name"))).join(known, "key").groupBy("run_id").agg(F.collect_set("marker").alias("used"))
+    held = fields(par, catalog).groupBy("file_id").agg(F.collect_set("marker").alias("held"))  # of a file, at most the catalog
+    asked = order.select("file_id", "run_id").join(_merged(used), "run_id").join(_merged(held), "file_id", "left")
+    absent = F.array_except("used", F.coalesce("held", F.array().cast("array<string>")))
+    missing = asked.select("file_id", F.explode(absent).alias("marker"), F.lit("missing").alias("change_kind"))
     numbers = par.filter("file_id is not null").groupBy("file_id").agg(F.countDistinct("par_no").alias("n"))
-    counted = order.join(numbers, "file_id", "left").filter(~F.col("num_of_par").eqNullSafe(F.coalesce("n", F.lit(0)).cast("int")))
+    counted = order.join(_merged(numbers), "file_id", "left").filter(~F.col("num_of_par").eqNullSafe(F.coalesce("n", F.lit(0)).cast("int")))
     return alternative_changes(fused).unionByName(missing).unionByName(counted.select("file_id", F.lit("*").alias("marker"), F.lit("count").alias("change_kind")))
 
 
@@ -162,7 +170,7 @@ def appearing_alternatives(raw: DataFrame, header: DataFrame) -> DataFrame:
     """(run_id, path, alternative, file_id): the file of each run in which a path first shows a notation,
     where other notations of that path came before it."""
     seen = tagged_values(raw).filter("path is not null and kind <> 'null'").select("file_id", "path", F.col("kind").alias("alternative")).distinct()
-    placed = seen.join(file_order(header).select("file_id", "run_id", "acquired_at"), "file_id")
+    placed = seen.join(_merged(file_order(header).select("file_id", "run_id", "acquired_at")), "file_id")
     first = placed.groupBy("run_id", "path", "alternative").agg(F.min(F.struct("acquired_at", "file_id")).alias("at"))
     start = Window.partitionBy("run_id", "path")
     return first.withColumn("start", F.min("at").over(start)).filter(F.col("at") > F.col("start")).select("run_id", "path", "alternative", "at.file_id")

@@ -125,6 +125,28 @@ def test_changes_of_a_path_with_gaps(spark):
     assert {tuple(r) for r in drift.alternative_changes(fused).collect()} == {(2, "m", "retyped"), (3, "m", "removed"), (4, "m", "added"), (5, "m", "removed")}
 
 
+def test_tables_of_files_are_never_broadcast(spark, tmp_path):
+    """Their Parquet files are small for the rows that they hold; only the catalog may be broadcast."""
+    par = spark.range(4000).selectExpr("id div 4 as file_id", "cast(id % 4 as int) + 1 as par_no", "'A' as par_name", "'KD3' as par_name2", "'F' as par_datatype", "32 as par_bit")
+    header = spark.range(1000).selectExpr("id as file_id", "id % 10 as run_id", "5 as num_of_par", "cast(id as int) as acquired_at", "1 as loaded_at")
+    runs = spark.range(10).selectExpr("id as run_id", "array('KD3', 'IgV-s', 'unknown') as used_markers")
+    raw = spark.range(1000).selectExpr("id as raw_id", "id as file_id", "1 as row_no", "array('KD3') as all_markers", "array(if(id % 20 < 10, '1', '1,5')) as all_data")
+    saved = {}
+    for name, df in (("par", par), ("header", header), ("runs", runs), ("raw", raw)):
+        df.write.parquet(str(tmp_path / name))
+        saved[name] = spark.read.parquet(str(tmp_path / name))
+    catalog = spark.createDataFrame(CATALOG, "marker_no int, marker string")
+    changes = drift.schema_changes(saved["par"], saved["header"], saved["runs"], catalog)
+    later = drift.appearing_alternatives(saved["raw"], saved["header"])
+    for df in (changes, later):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        by = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+        assert all("[key#" in line for line in by), by
+    assert sorted({(r["marker"], r["change_kind"]) for r in changes.collect()}) == [("*", "count"), ("IgV-s", "missing")] and changes.count() == 2000
+    assert later.count() == 10
+
+
 def test_tagged_values(spark):
     raw = spark.createDataFrame(
         [(1, 1, 1, ["KD3", "x", "IgV-s", "n", "e", "s", "w"], ["1,5", "NaN", "abc", None, " ", "1e2", " 7.5"], "L"), (2, 1, 2, ["KD3"], None, None), (3, 1, 3, ["a", "b"], ["1"], "l")],
