@@ -103,12 +103,13 @@ FROM (SELECT cell_id, file_id, min(all_data) AS all_data FROM {_COMPLETE} GROUP
 def fcs_cells(spark, d):
     """The complete cells of all_struct as FCS files (with a gain, and a spillover of two markers) and back, by marker names."""
     bad = F.exists("all_data", lambda x: x.isNull() | F.isnan(x))
-    rows = t(spark, d, "all_struct").filter("cell_id is not null and file_id is not null and size(all_data) = 12").filter(~bad).groupBy("cell_id", "file_id").agg(F.min("all_data").alias("v"))
+    path = F.concat_ws("/", F.col("file_id").cast("string"), F.floor(F.col("cell_id") / 20000).cast("string"))
+    rows = t(spark, d, "all_struct").filter("cell_id is not null and file_id is not null and size(all_data) = 12").filter(~bad).select(path.alias("path"), "cell_id", "file_id", "all_data")
+    rows = rows.repartition("path").groupBy("path", "cell_id", "file_id").agg(F.min("all_data").alias("v"))  # moved once, also for the files
     stored = F.array(F.col("v")[0] * 2, F.col("v")[1], F.col("v")[2] + F.col("v")[1] * 0.25, *[F.col("v")[i] for i in range(3, 12)], F.col("cell_id").cast("double"))
     par = [{"par_name": f"CH{i}", "par_name2": m} for i, m in enumerate(MARKERS, start=1)] + [{"par_name": "cell"}]
     par[0]["par_gain"] = 2
-    path = F.concat_ws("/", F.col("file_id").cast("string"), F.floor(F.col("cell_id") / 20000).cast("string"))
-    files = cut(fcs.pack_files(rows.withColumn("values", stored), path, par, {"$SPILLOVER": "2,CH2,CH3,1,0.25,0,1"}))
+    files = cut(fcs.pack_files(rows.withColumn("values", stored), F.col("path"), par, {"$SPILLOVER": "2,CH2,CH3,1,0.25,0,1"}), "zstd")
     options = Options(sigma=1.0, cofactors={"m2": 2.0, "m12": 0, "cell": 0})
     c = fcs.cells_from_files(spark, files, ["m1", "m2", "m3", "m12"], ["cell"], options, compensate=True)
     return c.select(F.round(F.col("extra")[0]).cast("long").alias("cell_id"), "label", *[(F.round(F.col("features")[i], 6) + 0.0).alias(m) for i, m in enumerate(("m1", "m2", "m3", "m12"))])

@@ -25,14 +25,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and continue from there.
 
     Used after steps that are read more than once, and in loops, so that lineage and plans
     stay short and a lost executor costs no recomputation of earlier rounds.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from cloudfork.functions.scalar import arcsinh
 from cloudfork.session import cut
 
 EVENTS_AT_ONCE = 50_000
+PACKED_AT_ONCE = 4_000_000  # bytes of small files in a batch
 HEADER_SCHEMA = (
     "path string, fcstype string, total_events long, num_of_par int, datatype string, byteorder string, keywords map<string,string>, "
     "par array<struct<par_no:int,par_name:string,par_name2:string,par_bit:int,par_range:long,par_decade:double,par_logzero:double,par_gain:double>>, "
@@ -60,8 +61,14 @@ def parse(content: bytes) -> dict:
     version = content[:6].decode("ascii", errors="replace")
     if version not in ("FCS2.0", "FCS3.0", "FCS3.1"):
         raise ValueError(f"not an FCS 2.0, 3.0 or 3.1 file: {version!r}")
-    places = [int(content[i : i + 8].strip() or b"0") for i in (10, 18, 26, 34)]
-    words = keywords(content[places[0] : places[1] + 1])
+    places = tuple(int(content[i : i + 8].strip() or b"0") for i in (10, 18, 26, 34))
+    return _parsed(version, places, content[places[0] : places[0] + 1], content[places[0] : places[1] + 1])
+
+
+@lru_cache(512)
+def _parsed(version: str, places: tuple[int, ...], mark: bytes, text: bytes) -> dict:
+    """``parse`` of a text segment; many small files have the same, and then share one dict."""
+    words = keywords(text)
     begin, end = places[2] or int(_number(words.get("$BEGINDATA"))), places[3] or int(_number(words.get("$ENDDATA")))
     par = []
     for i in range(1, int(_number(words.get("$PAR"))) + 1):
@@ -73,7 +80,7 @@ def parse(content: bytes) -> dict:
     labels, matrix = spillover(words.get("$SPILLOVER") or words.get("SPILL") or words.get("SPILLOVER"))
     return {
         "fcstype": version, "total_events": int(_number(words.get("$TOT"))), "num_of_par": len(par), "datatype": words.get("$DATATYPE", "").upper(), "byteorder": words.get("$BYTEORD", "4,3,2,1"),
-        "delimiter": chr(content[places[0]]) if len(content) > places[0] else "", "keywords": words, "par": par, "comp_labels": labels, "comp": matrix, "begin": begin, "end": end,
+        "delimiter": chr(mark[0]) if mark else "", "keywords": words, "par": par, "comp_labels": labels, "comp": matrix, "begin": begin, "end": end,
     }
 
 
@@ -113,16 +120,21 @@ def convention_of(head: dict) -> str:
     return next((c for name, c in known.items() if name in cytometer), "standard")
 
 
-def decode(content: bytes, head: dict, convention: str | None = None) -> np.ndarray:
-    """Events x parameters; integers by ``convention``, or by the one that the header points to."""
-    rule = CONVENTIONS[convention or convention_of(head)]
+def _event_type(head: dict, rule: dict) -> np.dtype:
+    """How an event is stored."""
     order = rule.get("order") or ("<" if head["byteorder"].startswith("1,2") else ">")
-    bits, n = [p["par_bit"] for p in head["par"]], head["num_of_par"]
-    body = content[head["begin"] : head["end"] + 1]
+    bits = [p["par_bit"] for p in head["par"]]
     by_type = {"F": lambda b: "f4", "D": lambda b: "f8", "I": lambda b: rule.get("kind") or {8: "u1", 16: "u2", 32: "u4"}.get(b)}.get(head["datatype"])
     if by_type is None or any(by_type(b) is None for b in bits):
         raise ValueError(f"data type {head['datatype']!r} with {bits} bits is not supported")
-    row = np.dtype([(str(i), order + by_type(b)) for i, b in enumerate(bits)])
+    return np.dtype([(str(i), order + by_type(b)) for i, b in enumerate(bits)])
+
+
+def decode(content: bytes, head: dict, convention: str | None = None) -> np.ndarray:
+    """Events x parameters; integers by ``convention``, or by the one that the header points to."""
+    rule = CONVENTIONS[convention or convention_of(head)]
+    row, n = _event_type(head, rule), head["num_of_par"]
+    body = content[head["begin"] : head["end"] + 1]
     events = np.frombuffer(body, row, count=min(head["total_events"] or 1 << 62, len(body) // row.itemsize if n else 0))
     out = np.empty((len(events), n))
     for i, p in enumerate(head["par"]):
@@ -139,32 +151,109 @@ def decode(content: bytes, head: dict, convention: str | None = None) -> np.ndar
     return out
 
 
-def file_bytes(events: np.ndarray, par: list[dict], words: dict[str, str] | None = None) -> bytes:
-    """A 3.1 file of 64-bit floats: events x parameters, each parameter a dict with par_name, par_name2 and what else ``parse`` gives."""
-    if events.ndim != 2 or events.shape[1] != len(par):
-        raise ValueError(f"{events.shape} events for {len(par)} parameters")
-    data = np.ascontiguousarray(events, "<f8").tobytes()
-    text = {"$MODE": "L", "$DATATYPE": "D", "$BYTEORD": "1,2,3,4", "$TOT": len(events), "$PAR": len(par), "$NEXTDATA": 0}
+def _decoded(paths: list[str], contents: Iterator[bytes], convention: str | None = None) -> Iterator[tuple[dict, list[str], int, np.ndarray]]:
+    """(head, paths, n, events) of files: those with one header are decoded together, n events of each file after those of the one before."""
+    alike: dict[tuple[int, int], tuple[dict, list[str], list[bytes]]] = {}
+
+    def together(head: dict, names: list[str], bodies: list[bytes]) -> tuple[dict, list[str], int, np.ndarray]:
+        wide = _event_type(head, CONVENTIONS[convention or convention_of(head)]).itemsize
+        n = min(head["total_events"] or 1 << 62, len(bodies[0]) // wide if wide else 0)
+        body = b"".join(b[: n * wide] for b in bodies)
+        whole = head | {"begin": 0, "end": len(body) - 1, "total_events": n * len(bodies)}
+        return head, names, n, decode(body, whole, convention)
+
+    for p, content in zip(paths, contents):
+        head = parse(content)
+        body = content[head["begin"] : head["end"] + 1]
+        at = (id(head), len(body))
+        same = alike.setdefault(at, (head, [], []))
+        same[1].append(p)
+        same[2].append(body)
+        if len(same[2]) * max(1, len(body)) >= EVENTS_AT_ONCE * 8 * max(1, head["num_of_par"]):
+            yield together(*alike.pop(at))
+    for same in alike.values():
+        yield together(*same)
+
+
+def _event_rows(paths: list[str], n: int, values: pa.Array, width: int) -> Iterator[pa.RecordBatch]:
+    """(path, event_no, values) of n events of each of some files, EVENTS_AT_ONCE rows at a time; values are flat."""
+    names = pa.array(paths, pa.string())
+    for lo in range(0, n * len(paths), EVENTS_AT_ONCE):
+        at = np.arange(lo, min(lo + EVENTS_AT_ONCE, n * len(paths)))
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), values.slice(lo * width, len(at) * width))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(at // n)), pa.array(at % n + 1), rows], names=["path", "event_no", "values"])
+
+
+def _contents(b: pa.RecordBatch) -> tuple[list[str], Iterator[bytes]]:
+    return b.column(0).to_pylist(), (c.as_py() for c in b.column(1))
+
+
+def file_head(count: int, par: list[dict], words: dict[str, str] | None = None) -> bytes:
+    """What comes before ``count`` events in ``file_bytes``."""
+    length = 8 * count * len(par)
+    text = {"$MODE": "L", "$DATATYPE": "D", "$BYTEORD": "1,2,3,4", "$TOT": count, "$PAR": len(par), "$NEXTDATA": 0}
     for i, p in enumerate(par, start=1):
         text |= {f"$P{i}N": p["par_name"], f"$P{i}B": 64, f"$P{i}R": p.get("par_range", 262144), f"$P{i}E": f"{p.get('par_decade', 0)},{p.get('par_logzero', 0)}", f"$P{i}G": p.get("par_gain", 1)}
         text |= {f"$P{i}S": p["par_name2"]} if p.get("par_name2") else {}
     body = "|" + "".join(f"{str(k).replace('|', '||')}|{str(v).replace('|', '||')}|" for k, v in (text | (words or {})).items() if str(v) != "")
-    fill = lambda begin: (body + f"$BEGINDATA|{begin:020d}|$ENDDATA|{max(begin, begin + len(data) - 1):020d}|").encode()
+    fill = lambda begin: (body + f"$BEGINDATA|{begin:020d}|$ENDDATA|{max(begin, begin + length - 1):020d}|").encode()
     begin = 58 + len(fill(0))
-    places = [58, begin - 1, *((begin, begin + len(data) - 1) if begin + len(data) < 10**8 else (0, 0)), 0, 0]
-    return b"FCS3.1    " + b"".join(b"%8d" % p for p in places) + fill(begin) + data
+    places = [58, begin - 1, *((begin, begin + length - 1) if begin + length < 10**8 else (0, 0)), 0, 0]
+    return b"FCS3.1    " + b"".join(b"%8d" % p for p in places) + fill(begin)
+
+
+def file_bytes(events: np.ndarray, par: list[dict], words: dict[str, str] | None = None) -> bytes:
+    """A 3.1 file of 64-bit floats: events x parameters, each parameter a dict with par_name, par_name2 and what else ``parse`` gives."""
+    if events.ndim != 2 or events.shape[1] != len(par):
+        raise ValueError(f"{events.shape} events for {len(par)} parameters")
+    return file_head(len(events), par, words) + np.ascontiguousarray(events, "<f8").tobytes()
 
 
 def pack_files(cells: DataFrame, path: Column, par: list[dict], words: dict[str, str] | None = None, order: str = "cell_id", values: str = "values") -> DataFrame:
     """(path, content): the rows of each path as an FCS file, in the order given. A file is made by one task, so a path names as many rows as a file may have."""
 
-    def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        events = t.column(values).combine_chunks()
-        x = events.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        return pa.table({"path": pa.array([key[0].as_py()]), "content": pa.array([file_bytes(x, par, words)], pa.binary())})
+    width, heads = 8 * len(par), {}
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes]]:
+        """Each file's path and events; rows come file by file, a file's first one with the number 1."""
+        path, held = None, []
+        for b in batches:
+            events = b.column("events")
+            if b.num_rows and (events.null_count or (events.value_lengths().to_numpy() != len(par)).any()):
+                raise ValueError(f"events that have not {len(par)} values")
+            data = np.ascontiguousarray(events.flatten().to_numpy(zero_copy_only=False), "<f8").tobytes()
+            starts = np.flatnonzero(b.column("no").to_numpy() == 1)
+            ends = [*(starts * width).tolist(), len(data)]
+            held.append(data[: ends[0]])
+            for name, lo, hi in zip(b.column("path").take(pa.array(starts)).to_pylist(), ends, ends[1:]):
+                if lo or any(held):
+                    yield path, b"".join(held)
+                path, held = name, [data[lo:hi]]
+        if any(held):
+            yield path, b"".join(held)
 
-    return cells.select(path.alias("path"), order, F.col(values).cast("array<double>").alias(values)).groupBy("path").applyInArrow(pack, "path string, content binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for name, data in whole(batches):
+            n = len(data) // width
+            if n not in heads:
+                heads[n] = file_head(n, par, words)
+            rows.append((name, heads[n] + data))
+            size += len(rows[-1][1])
+            if size >= PACKED_AT_ONCE:
+                yield packed(rows)
+                rows, size = [], 0
+        if rows:
+            yield packed(rows)
+
+    def packed(rows: list[tuple[str | None, bytes]]) -> pa.RecordBatch:
+        names, contents = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    # the window brings a path's rows together, in their order
+    no = F.row_number().over(Window.partitionBy("path").orderBy(F.asc_nulls_last(order)))
+    rows = cells.select(path.alias("path"), order, F.col(values).cast("array<double>").alias("events"))
+    return rows.select("path", "events", no.alias("no")).mapInArrow(run, "path string, content binary")
 
 
 def cells_from_files(spark: SparkSession, path: str | list[str] | DataFrame, used: list[str], extra: list[str] | None = None, options: Options | None = None, compensate: bool = False) -> DataFrame:
@@ -174,28 +263,67 @@ def cells_from_files(spark: SparkSession, path: str | list[str] | DataFrame, use
     label is the path; cell_id counts through the files in the order of their paths. A marker that a file lacks,
     or has twice, is an error that names the files.
     """
-    headers = cut(read_headers(spark, path))
-    names = F.transform("par", lambda p: F.coalesce(F.nullif(F.trim(p["par_name2"]), F.lit("")), p["par_name"]))
     wanted = [*used, *(extra or [])]
-    known = headers.select("path", "total_events", names.alias("names"))
-    once = [F.size(F.filter("names", _is(m))) == 1 for m in wanted]
-    bad = known.filter(~reduce(Column.__and__, once, F.lit(True))).select("path").limit(5).collect()
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, contents = _contents(b)
+            heads = [parse(c) for c in contents]
+            whole = {id(h): all(_names(h).count(m) == 1 for m in wanted) for h in {id(h): h for h in heads}.values()}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array([h["total_events"] for h in heads], pa.int64()), pa.array([whole[id(h)] for h in heads], pa.bool_())], names=["path", "total_events", "whole"]
+            )
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for head, paths, n, events in _decoded(*_contents(b)):
+                x, missing = _scaled(events, head)
+                if compensate:
+                    x, missing = _compensated(x, head), np.zeros_like(missing)
+                at = [_names(head).index(m) for m in wanted]
+                flat = x[:, at].ravel()
+                yield from _event_rows(paths, n, pa.array(flat, mask=np.tile(missing[at], len(x)) if missing[at].any() else None), len(at))
+
+    # the whole headers stay in the tasks: of many small files they are far more than the events
+    files = cut(_files(spark, path).mapInArrow(counts, "path string, total_events long, whole boolean"))
+    bad = files.filter("not whole").select("path").limit(5).collect()
     if bad:
         raise ValueError(f"markers of {wanted} are missing or doubled in {[r[0] for r in bad]}")
     before = F.coalesce(F.sum("total_events").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over files
-    starts = known.select("path", "names", before.alias("start"))
-    events = scaled_events(read_events(spark, path), headers)
-    events = (compensated(events, headers) if compensate else events).join(starts, "path")
+    starts = files.select("path", before.alias("start"))
+    events = _files(spark, path).mapInArrow(picked, "path string, event_no long, values array<double>").join(starts.hint("merge"), "path")  # any number of files: no broadcast
 
-    def array(markers: list[str]) -> Column:
+    def array(markers: list[str], start: int) -> Column:
         factor = {m: (options.cofactors.get(m, options.default_cofactor) if options else 0) for m in markers}
-        return F.array(*[arcsinh(F.element_at("values", F.array_position("names", m).cast("int")), factor[m]) for m in markers]).cast("array<double>")
+        return F.array(*[arcsinh(F.col("values")[i], factor[m]) for i, m in enumerate(markers, start)]).cast("array<double>")
 
-    return events.select((F.col("start") + F.col("event_no")).alias("cell_id"), F.col("path").alias("label"), array(used).alias("features"), array(extra or []).alias("extra"))
+    return events.select((F.col("start") + F.col("event_no")).alias("cell_id"), F.col("path").alias("label"), array(used, 0).alias("features"), array(extra or [], len(used)).alias("extra"))
+
+
+def _names(head: dict) -> list[str | None]:
+    """A file's markers: the long name, or the short one where that is blank."""
+    return [(p["par_name2"] or "").strip() or p["par_name"] for p in head["par"]]
+
+
+def _scaled(events: np.ndarray, head: dict) -> tuple[np.ndarray, np.ndarray]:
+    """``scaled`` of the events of files with this header, and which parameters have no value, as a logarithmic one without a range."""
+    x, missing = events, np.zeros(len(head["par"]), bool)
+    for i, p in enumerate(head["par"]):
+        if p["par_gain"] != 1:
+            x[:, i] /= p["par_gain"]
+        elif p["par_decade"] != 0:
+            missing[i] = p["par_range"] == 0
+            x[:, i] = np.nan if missing[i] else p["par_logzero"] * 10.0 ** (x[:, i] / p["par_range"] * p["par_decade"])
+    return x, missing
 
 
-def _is(name: str):
-    return lambda x: x == name
+def _compensated(values: np.ndarray, head: dict) -> np.ndarray:
+    """The events with their spillover columns multiplied by the inverse of the matrix, if there is one for parameters of the file."""
+    names, labels = [p["par_name"] for p in head["par"]], head["comp_labels"]
+    if labels and all(x in names for x in labels):
+        at = [names.index(x) for x in labels]
+        values[:, at] = np.linalg.solve(np.array(head["comp"], float).T, values[:, at].T).T
+    return values
 
 
 def read_headers(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
@@ -225,13 +353,8 @@ def read_events(spark: SparkSession, path: str | list[str] | DataFrame, conventi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, content in zip(b.column(0).to_pylist(), b.column(1)):
-                content = content.as_py()
-                events = decode(content, parse(content), convention)
-                for lo in range(0, len(events), EVENTS_AT_ONCE):
-                    part = events[lo : lo + EVENTS_AT_ONCE]
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(part)), pa.array(np.arange(lo + 1, lo + 1 + len(part))), values], names=["path", "event_no", "values"])
+            for _, paths, n, events in _decoded(*_contents(b), convention):
+                yield from _event_rows(paths, n, pa.array(events.ravel()), events.shape[1])
 
     return _files(spark, path).mapInArrow(run, "path string, event_no long, values array<double>")
 
@@ -261,9 +384,7 @@ def compensated(events: DataFrame, headers: DataFrame) -> DataFrame:
                 rows = np.flatnonzero(of == f)
                 values = np.array(b.column("values").take(pa.array(rows)).to_pylist(), float)
                 names, labels, comp = (b.column(c)[int(rows[0])].as_py() for c in ("names", "comp_labels", "comp"))
-                if labels and all(x in names for x in labels):
-                    at = [names.index(x) for x in labels]
-                    values[:, at] = np.linalg.solve(np.array(comp, float).T, values[:, at].T).T
+                values = _compensated(values, {"par": [{"par_name": x} for x in names], "comp_labels": labels, "comp": comp})
                 for r, v in zip(rows, values):
                     out[r] = v
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("event_no"), pa.array(out, pa.list_(pa.float64()))], names=["path", "event_no", "values"])

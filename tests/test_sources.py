@@ -80,6 +80,27 @@ def test_convention_follows_the_header():
     assert fcs.convention_of(head | {"datatype": "F"}) == fcs.convention_of(head | {"keywords": {}}) == "standard"
 
 
+def test_many_small_files_without_broadcast(spark):
+    """Files over several Arrow batches, of other headers and lengths, come back whole; their headers stay in the tasks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(600).selectExpr("concat('f', cast(sqrt(id) as int)) as file", "id as cell_id", "array(double(id), id * 2.0, id / 4.0) as values")
+        par = [{"par_name": "CH1", "par_name2": "a", "par_gain": 2}, {"par_name": "b"}, {"par_name": "CH3", "par_name2": "c", "par_decade": 4, "par_logzero": 1, "par_range": 0}]
+        files = fcs.pack_files(rows, F.col("file"), par, {"$SPILLOVER": "2,CH1,b,1,0.5,0,1"}).cache()
+        assert files.count() == 25
+        cells = fcs.cells_from_files(spark, files, ["b", "a"], ["c"])
+        got = sorted((r["label"], r["cell_id"], *r["features"], r["extra"][0]) for r in cells.collect())
+        order = sorted(range(600), key=lambda i: (f"f{int(i ** 0.5)}", i))
+        assert got == [(f"f{int(i ** 0.5)}", n, i * 2.0, i / 2.0, None) for n, i in enumerate(order, start=1)]
+        assert "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()
+        solved = fcs.cells_from_files(spark, files, ["b"], compensate=True).orderBy("cell_id").collect()
+        assert [r["features"][0] for r in solved] == [i * 2.0 - i / 4 for i in order]
+        with pytest.raises(ValueError, match="missing or doubled"):
+            fcs.cells_from_files(spark, files, ["a", "CH1"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_cells_by_name(spark, tmp_path):
     df = spark.createDataFrame([(1, "s", 5.0, 2.0)], "id int, lab string, b double, a double")
     row = tables.cells_from_wide(df, "id", "lab", ["a", "b"]).first()
