@@ -173,12 +173,12 @@ def _parts(dim: int, threshold: float, missing: float | None):
 
         tree, queries, whole = Tree(x[node[at]]), x[node], True
         asked = np.concatenate([some for _, _, some in tree._home(queries)])
+        after = np.full(len(node), -1)
+        after[at[tree.order]] = np.arange(len(at))  # a link between own vectors is found once, by the earlier of them
         for i in range(0, len(asked), SEARCHED):
             some = asked[i : i + SEARCHED]
-            for q, p, d in tree.within(queries[some], np.full(len(some), threshold)):
+            for q, p, d in tree.within(queries[some], np.full(len(some), threshold), after=after[some]):
                 q, p = some[q], at[p]
-                use = (q < p) | ~own[q]  # a link between own vectors is found from both sides
-                q, p, d = q[use], p[use], d[use]
                 if not len(q) or graph.add(np.minimum(q, p), np.maximum(q, p), d) <= most:
                     continue
                 graph.settle()

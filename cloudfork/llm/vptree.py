@@ -24,7 +24,8 @@ def widest(points: np.ndarray, rng: np.random.Generator, tries: int = 6) -> np.n
     """Of a few random points, the one whose distances to a sample vary most."""
     sample = points[rng.integers(0, len(points), min(len(points), 64))]
     candidates = points[rng.integers(0, len(points), tries)]
-    return candidates[int(np.argmax([distances(sample, c).std() for c in candidates]))]
+    diff = sample - candidates[:, None]
+    return candidates[int(np.argmax(np.sqrt(np.einsum("cij,cij->ci", diff, diff)).std(axis=1)))]
 
 
 def outlook(points: np.ndarray, rng: np.random.Generator, tries: int = 8) -> np.ndarray:
@@ -115,6 +116,7 @@ class Tree:
             todo += [(lo + half, hi, at, 1), (lo, lo + half, at, 0)]
         self.sorted = points[self.order]
         self.squares = np.einsum("ij,ij->i", self.sorted, self.sorted)
+        self.lifted = np.concatenate([self.sorted, -0.5 * self.squares[:, None]], axis=1).T.copy()
 
     def _leaf(self, queries: np.ndarray, squares: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """Squared distances, by the expansion; up to rounding."""
@@ -122,16 +124,18 @@ class Tree:
         d -= 2.0 * (queries @ self.sorted[lo:hi].T)
         return d
 
-    def _walk(self, queries: np.ndarray, reach: np.ndarray, factor: float):
-        """(lo, hi, query rows) of the leaves; ``reach`` may shrink between the steps."""
+    def _walk(self, queries: np.ndarray, reach: np.ndarray, factor: float, after: np.ndarray | None = None):
+        """(lo, hi, query rows) of the leaves, of those that go beyond the place ``after``; ``reach`` may shrink between the steps."""
         todo = [(0, np.arange(len(queries)), np.full(len(queries), -np.inf))]
         while todo:
             at, rows, least = todo.pop()
+            lo, hi, centre, bounds, left, right = self.nodes[at]
             keep = least <= reach[rows] / factor
+            if after is not None:
+                keep &= after[rows] < hi - 1
             rows = rows[keep]
             if not len(rows):
                 continue
-            lo, hi, centre, bounds, left, right = self.nodes[at]
             if centre is None:
                 yield lo, hi, rows
                 continue
@@ -184,20 +188,26 @@ class Tree:
             look(lo, hi, rows[first[rows] != lo])
         return reach, who
 
-    def within(self, queries: np.ndarray, reach: np.ndarray, factor: float = 1.0, bound: np.ndarray | None = None):
+    def within(self, queries: np.ndarray, reach: np.ndarray, factor: float = 1.0, bound: np.ndarray | None = None, after: np.ndarray | None = None):
         """Blocks (query row, point row, distance) of the points at most ``reach`` away.
 
-        ``bound`` also limits the search, but only up to rounding.
+        ``bound`` also limits the search, but only up to rounding. ``after``: for each query the place in ``order``
+        behind which its points are, so that points that look for one another meet once.
         """
         squares = np.einsum("ij,ij->i", queries, queries)
         slack = (reach if bound is None else np.minimum(reach, bound)) * (1 + 1e-7) + 1e-6
-        for lo, hi, rows in self._walk(queries, slack, factor):
+        # |q - p|^2 <= slack^2, as q.p - |p|^2 / 2 >= (|q|^2 - slack^2) / 2: one product, one comparison
+        lifted, least = np.concatenate([queries, np.ones((len(queries), 1))], axis=1), 0.5 * (squares - slack**2)
+        for lo, hi, rows in self._walk(queries, slack, factor, after):
             for i in range(0, len(rows), CHUNK):
                 some = rows[i : i + CHUNK]
-                d = self._leaf(queries[some], squares[some], lo, hi)
-                a, b = np.nonzero(d <= (slack[some] ** 2)[:, None])
-                if len(a):
-                    a, b = some[a], self.order[lo + b]
+                hit = np.flatnonzero(lifted[some] @ self.lifted[:, lo:hi] >= least[some, None])
+                if len(hit):
+                    a, b = some[hit // (hi - lo)], lo + hit % (hi - lo)
+                    if after is not None:
+                        behind = b > after[a]
+                        a, b = a[behind], b[behind]
+                    b = self.order[b]
                     exact = distances(queries[a], self.points[b])
                     keep = exact <= reach[a]
                     yield a[keep], b[keep], exact[keep]

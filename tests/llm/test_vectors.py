@@ -128,6 +128,25 @@ def test_tree_and_router_miss_nothing():
         assert all((i, home[j]) in visits for j in near)
 
 
+def test_points_that_look_for_one_another_meet_once(monkeypatch):
+    from cloudfork.llm import vptree
+
+    x = blobs(2000, seed=13)
+    tree = Tree(x)
+    place = np.empty(2000, int)
+    place[tree.order] = np.arange(2000)
+    looked, walk = [], Tree._walk
+    monkeypatch.setattr(vptree.Tree, "_walk", lambda *a: (leaf for leaf in walk(*a) if looked.append((leaf[1] - leaf[0]) * len(leaf[2])) is None))
+    found = [(int(a), int(b)) for q, p, _ in tree.within(x, np.full(2000, 0.3), after=place) for a, b in zip(q, p)]
+    once = sum(looked)
+    looked.clear()
+    both = {(int(a), int(b)) for q, p, _ in tree.within(x, np.full(2000, 0.3)) for a, b in zip(q, p)}
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.3
+    assert both == set(zip(*(i.tolist() for i in np.nonzero(near))))
+    assert len(found) == len(set(found)) == near[np.triu_indices(2000, 1)].sum() and all((b, a) in both for a, b in found)
+    assert not {(b, a) for a, b in found} & set(found) and once < 0.6 * sum(looked)
+
+
 def test_blocks_of_queries_find_the_same(monkeypatch):
     from cloudfork.llm import vptree
 
